@@ -41,3 +41,42 @@ def with_name_key(df: DataFrame, name: str, key: str) -> DataFrame:
 def blank_trimmed(c: Column) -> Column:
     """White space of any kind removed at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def normalized(text: str) -> str:
+    """A query's text as it is compared: decomposed, trimmed."""
+    return unicodedata.normalize("NFD", text).strip()
+
+
+# Common words for packages.
+PHRASE_ALIASES = {
+    "node": ["nodejs"],
+    "npm": ["nodejs"],
+    "golang": ["go"],
+    "rust": ["rustc"],
+    "py3": ["python3"],
+    "java": ["jdk"],
+    "haskell": ["ghc"],
+    "dotnet": ["dotnet-sdk"],
+    "csharp": ["dotnet-sdk"],
+    "postgres": ["postgresql"],
+    "psql": ["postgresql"],
+    "pg": ["postgresql"],
+    "mongo": ["mongodb"],
+    "sqlite3": ["sqlite"],
+    "k8s": ["kubectl"],
+    "kube": ["kubectl"],
+    "gcloud": ["google-cloud-sdk"],
+    "az": ["azure-cli"],
+    "tofu": ["opentofu"],
+    "nvim": ["neovim"],
+    "rg": ["ripgrep"],
+    "make": ["gnumake"],
+    "ssh": ["openssh"],
+    "gpg": ["gnupg"],
+    "magick": ["imagemagick"],
+    "mvn": ["maven"],
+    "protoc": ["protobuf"],
+    "pwsh": ["powershell"],
+    "chrome": ["google-chrome"],
+}
