@@ -37,7 +37,8 @@ def place_cuts(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
     """Token positions at which the pieces after the first begin, before their overlap is added.
 
     The least number of pieces gets equal targets; each cut goes to the strongest place near its target, the
-    nearest of equals, within what the limits leave. If some cut then falls inside a word, more pieces are tried.
+    nearest of equals, or wherever the limits allow if there is none between words nearby. If some cut still falls
+    inside a word, more pieces are tried.
     """
     total, step = len(strength), limit - overlap
     if total <= limit:
@@ -49,11 +50,14 @@ def place_cuts(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
         cuts, weakest, at = [], PARAGRAPH, 0
         for k in range(1, n):
             target = round(size + (k - 1) * (size - overlap))
-            high = min(at + (step if at else limit), total - 1, target + step // 4)
-            low = max(at + 1, overlap, total - (n - k) * step, target - step // 4)
-            low = min(low, high)
+            furthest = min(at + (step if at else limit), total - 1)
+            nearest = min(max(at + 1, overlap, total - (n - k) * step), furthest)
+            for reach in (step // 4, total):
+                low, high = min(max(nearest, target - reach), furthest), max(min(furthest, target + reach), nearest)
+                near = strength[low : high + 1]
+                if near.max() >= WORD:
+                    break
             places = np.arange(low, high + 1)
-            near = strength[low : high + 1]
             top = near == near.max()
             at = int(places[top][np.argmin(np.abs(places[top] - target))])
             weakest = min(weakest, int(near.max()))
