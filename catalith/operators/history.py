@@ -63,14 +63,15 @@ def newest_common(intervals: DataFrame, entity: str, group: str, low: str, high:
     named = intervals.select(F.struct(entity, group).alias("_of"), F.col(low).alias("_low"), F.col(high).alias("_high"))
     merged = continuous_periods(named, "_of", "_low", "_high").where(F.col("piece") == "period")
     merged = merged.select(F.col(f"_of.{entity}").alias(entity), F.col(f"_of.{group}").alias(group), "_low", "_high")
-    groups = merged.groupBy(entity).agg(F.count_distinct(group).alias("groups"))
+    groups = merged.groupBy(F.col(entity).alias("_of")).agg(F.count_distinct(group).alias("_groups"))
     both = F.array(F.struct(F.col("_low").alias("at"), F.lit(0).alias("ends")), F.struct(F.col("_high").alias("at"), F.lit(1).alias("ends")))
-    events = merged.select(entity, F.explode(both).alias("e")).select(entity, "e.at", "e.ends")
-    earlier = Window.partitionBy(entity).orderBy("at", "ends").rowsBetween(Window.unboundedPreceding, -1)
-    present = F.sum(F.when(F.col("ends") == 1, -1).otherwise(1)).over(earlier)
-    swept = events.withColumn("_present", present).join(groups, entity)
-    shared = F.max(F.when((F.col("ends") == 1) & (F.col("_present") == F.col("groups")), F.col("at")))
-    return swept.groupBy(entity).agg(F.max("groups").alias("groups"), shared.alias("seq"))
+    events = merged.select(entity, F.explode(both).alias("_e")).select(F.col(entity).alias("_of"), F.col("_e.at").alias("_at"), F.col("_e.ends").alias("_ends"))
+    earlier = Window.partitionBy("_of").orderBy("_at", "_ends").rowsBetween(Window.unboundedPreceding, -1)
+    present = F.sum(F.when(F.col("_ends") == 1, -1).otherwise(1)).over(earlier)
+    swept = events.withColumn("_present", present).join(groups, "_of")
+    shared = F.max(F.when((F.col("_ends") == 1) & (F.col("_present") == F.col("_groups")), F.col("_at")))
+    found = swept.groupBy("_of").agg(F.max("_groups").alias("groups"), shared.alias("seq"))
+    return found.select(F.col("_of").alias(entity), "groups", "seq")
 
 
 def common_commits(c: Catalog) -> DataFrame:
