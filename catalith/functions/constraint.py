@@ -79,12 +79,25 @@ def satisfies(c: Constraint, major: Column, minor: Column, patch: Column, pre: C
     Prereleases only meet an exact constraint or one with a bound that names a prerelease. The bounds on ``major`` alone
     come first, so that a scan can push them down.
     """
-    own = precedence(major, minor, patch, pre)
+    numbers = F.struct(*(F.coalesce(x, F.lit(0)).cast("long").alias(k) for k, x in zip("abc", (major, minor, patch))))
+    final = F.coalesce(pre, F.lit("")) == ""
+
+    def against(bound: Bound, below: bool) -> Column:
+        """On the bound's inner side, or on it if it is included."""
+        if bound.pre:
+            own, limit = precedence(major, minor, patch, pre), bound.column
+            return (own < limit if below else own > limit) | (F.lit(bound.inclusive) & (own == limit))
+        limit = F.struct(*(F.lit(n).cast("long").alias(k) for k, n in zip("abc", bound.numbers)))
+        on = final & F.lit(bound.inclusive)
+        if below:  # prereleases of the bound come before it
+            return (numbers < limit) | ((numbers == limit) & (on | ~final))
+        return (numbers > limit) | ((numbers == limit) & on)
+
     out = major.isNotNull()
     if c.low:
-        out = out & (major >= c.low.numbers[0]) & ((own >= c.low.column) if c.low.inclusive else (own > c.low.column))
+        out = out & (major >= c.low.numbers[0]) & against(c.low, below=False)
     if c.high:
-        out = out & (major <= c.high.numbers[0]) & ((own <= c.high.column) if c.high.inclusive else (own < c.high.column))
+        out = out & (major <= c.high.numbers[0]) & against(c.high, below=True)
     if not c.exact and not any(b and b.pre for b in (c.low, c.high)):
         out = out & (F.coalesce(pre, F.lit("")) == "")
     return F.coalesce(out, F.lit(False))

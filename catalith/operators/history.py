@@ -42,7 +42,7 @@ def presence_runs(c: Catalog, rows: DataFrame) -> DataFrame:
     keyed = rows.select("system", "commit_seq", *KEY).distinct().join(small(evals), ["system", "commit_seq"])
     run = F.col("_n") - F.row_number().over(Window.partitionBy("system", *KEY).orderBy("commit_seq"))
     runs = keyed.withColumn("_run", run).groupBy("system", *KEY, "_run").agg(F.min("commit_seq").alias("first_seq"), F.max("commit_seq").alias("last_seq"))
-    imports = c.imports.select("system", "commit_seq")
+    imports = c.imports("system", "commit_seq")
     return next_point(runs.drop("_run"), "system", "last_seq", imports, "commit_seq", "next_seq").select("system", *KEY, "first_seq", "last_seq", "next_seq")
 
 
@@ -80,13 +80,13 @@ def common_commits(c: Catalog) -> DataFrame:
     Of each system the first attribute path counts, seeded points don't, an open range lasts to the system's newest import.
     Versions that fewer than two systems list, or that share no commit, have no row.
     """
-    first = first_per_key(c.variants.select("variant_id", "version_id", "system", "attr_path"), ["version_id", "system"], [F.asc("attr_path"), F.asc("variant_id")])
-    heads = c.imports.groupBy("system").agg(F.max("commit_seq").alias("head"))
-    own = c.ranges.where(~F.coalesce("seeded", F.lit(False))).select("variant_id", "first_seq", "last_seq")
+    first = first_per_key(c.variants("variant_id", "version_id", "system", "attr_path"), ["version_id", "system"], [F.asc("attr_path"), F.asc("variant_id")])
+    heads = c.imports("commit_seq", "system").groupBy("system").agg(F.max("commit_seq").alias("head"))
+    own = c.ranges("variant_id", "first_seq", "last_seq", "seeded").where(~F.coalesce("seeded", F.lit(False))).select("variant_id", "first_seq", "last_seq")
     rows = own.join(first, "variant_id").join(F.broadcast(heads), "system")  # a row a system
     rows = rows.select("version_id", "system", "first_seq", F.coalesce("last_seq", "head").alias("last_seq"))
     best = newest_common(rows, "version_id", "system", "first_seq", "last_seq").where((F.col("groups") >= 2) & F.col("seq").isNotNull())
-    commits = c.commits.select(F.col("seq"), F.col("hash").alias("commit_hash"), "committed_at")
+    commits = c.commits("seq", "hash", "committed_at").select(F.col("seq"), F.col("hash").alias("commit_hash"), "committed_at")
     return best.join(commits, "seq").select("version_id", F.col("groups").alias("systems"), F.col("seq").alias("commit_seq"), "commit_hash", "committed_at")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions.constraint import parse_constraint, prefix_with_boundary, satisfies
 from catalith.functions.names import name_key_of
-from catalith.sources.catalog import Catalog
+from catalith.sources.catalog import Catalog, literal_rows
 
 OPEN_END = 2147483647
 
@@ -17,18 +17,18 @@ def variants_of(c: Catalog, term: str) -> DataFrame:
 
     Two walks and a union, so that either side keeps its own pushed filter.
     """
-    named = c.packages.where(F.col("name_key") == name_key_of(term)).select("package_id")
-    by_name = c.variants.select("variant_id", "version_id").join(c.versions.select("version_id", "package_id").join(named, "package_id", "left_semi"), "version_id", "left_semi")
-    by_path = c.variants.where(F.col("attr_path") == term).select("variant_id", "version_id")
+    named = c.packages("package_id", "name_key").where(F.col("name_key") == name_key_of(term)).select("package_id")
+    by_name = c.variants("variant_id", "version_id").join(c.versions("version_id", "package_id").join(named, "package_id", "left_semi"), "version_id", "left_semi")
+    by_path = c.variants("variant_id", "version_id", "attr_path").where(F.col("attr_path") == term).select("variant_id", "version_id")
     return by_name.unionByName(by_path).distinct()
 
 
 def result_rows(c: Catalog, variants: DataFrame) -> DataFrame:
     """The wide row that queries return: variants with their version, package, metadata and commit of last change."""
-    commits = c.commits.select(F.col("seq").alias("commit_seq"), F.col("hash").alias("commit_hash"), F.col("committed_at").alias("last_updated"))
-    meta = c.meta.select("meta_id", "summary", "description", "homepage", "license", "platforms")
-    packages = c.packages.select("package_id", "name")
-    wide = variants.join(c.versions, "version_id").join(packages, "package_id").join(meta, "meta_id").join(commits, "commit_seq")
+    commits = c.commits("seq", "hash", "committed_at").select(F.col("seq").alias("commit_seq"), F.col("hash").alias("commit_hash"), F.col("committed_at").alias("last_updated"))
+    meta = c.meta("meta_id", "summary", "description", "homepage", "license", "platforms")
+    packages = c.packages("package_id", "name")
+    wide = variants.join(c.versions("version_id", "package_id", "version", "sort_key", "prerelease"), "version_id").join(packages, "package_id").join(meta, "meta_id").join(commits, "commit_seq")
     columns = ["name", "version", "commit_hash", "last_updated", "store_hash", "store_name", F.col("version").alias("store_version"), "meta_name", "meta_version", "attr_path", "system", "program"]
     columns += ["summary", "description", "homepage", "license", "broken", "insecure", "prerelease", "platforms"]
     return wide.select("variant_id", "version_id", "package_id", "sort_key", *columns)
@@ -48,7 +48,7 @@ def scoped(rows: DataFrame, system: str | None = None, no_prerelease: bool = Fal
 def versions_by_name(c: Catalog, term: str, system: str | None = None, no_prerelease: bool = False) -> DataFrame:
     """Every version of a name or attribute path, newest first, then by system and path."""
     hit = variants_of(c, term).select("variant_id")
-    rows = scoped(result_rows(c, c.variants.join(hit, "variant_id", "left_semi")), system, no_prerelease)
+    rows = scoped(result_rows(c, c.shown_variants().join(hit, "variant_id", "left_semi")), system, no_prerelease)
     return rows.orderBy(*release_order(), "system", "attr_path")
 
 
@@ -60,9 +60,9 @@ def last_seen(ranges: DataFrame) -> DataFrame:
 
 def version_standing(c: Catalog, system: str | None = None) -> DataFrame:
     """``(version_id, working, last_seen)`` of each version with variants in scope: any of them not broken, newest presence."""
-    v = c.variants.select("variant_id", "version_id", "system", "broken")
+    v = c.variants("variant_id", "version_id", "system", "broken")
     v = v.where(F.col("system") == system) if system else v
-    seen = v.join(last_seen(c.ranges), "variant_id", "left")
+    seen = v.join(last_seen(c.ranges("variant_id", "last_seq", "seeded")), "variant_id", "left")
     return seen.groupBy("version_id").agg(F.bool_or(~F.coalesce("broken", F.lit(False))).alias("working"), F.max(F.coalesce("last_seen", F.lit(0))).alias("last_seen"))
 
 
@@ -72,9 +72,9 @@ def latest_versions(c: Catalog, by: str = "package_id", system: str | None = Non
     In order: no prerelease (``prereleases="last"``; ``"never"`` leaves them out, ``"any"`` ignores the mark), a variant that isn't broken, newest
     presence, highest version; then the smaller version string and id. A group without variants in scope has no row.
     """
-    rows = version_standing(c, system).join(c.versions.select("version_id", "package_id", "version", "sort_key", "prerelease"), "version_id")
+    rows = version_standing(c, system).join(c.versions("version_id", "package_id", "version", "sort_key", "prerelease"), "version_id")
     if by == "name_key":
-        rows = rows.join(c.packages.select("package_id", "name_key"), "package_id")
+        rows = rows.join(c.packages("package_id", "name_key"), "package_id")
     if prereleases == "never":
         rows = rows.where(~F.col("prerelease"))
     order = ([F.asc("prerelease")] if prereleases == "last" else []) + [F.desc("working"), F.desc("last_seen"), *release_order()]
@@ -83,7 +83,7 @@ def latest_versions(c: Catalog, by: str = "package_id", system: str | None = Non
 
 
 def wanted_names(c: Catalog, names: list[str]) -> DataFrame:
-    return c.spark.createDataFrame([(k, n, name_key_of(n)) for k, n in enumerate(names, 1)], "ord int, wanted string, name_key string")
+    return literal_rows(c.spark, [(k, n, name_key_of(n)) for k, n in enumerate(names, 1)], ["ord", "wanted", "name_key"])
 
 
 def latest_for(c: Catalog, names: list[str]) -> DataFrame:
@@ -92,17 +92,17 @@ def latest_for(c: Catalog, names: list[str]) -> DataFrame:
     A wanted name is met by package name or attribute path.
     """
     wanted = F.broadcast(wanted_names(c, names))
-    v = c.variants.select("variant_id", "version_id", "attr_path")
-    named = wanted.join(c.packages.select("package_id", "name_key"), "name_key").join(c.versions.select("package_id", "version_id"), "package_id")
+    v = c.variants("variant_id", "version_id", "attr_path")
+    named = wanted.join(c.packages("package_id", "name_key"), "name_key").join(c.versions("package_id", "version_id"), "package_id")
     hits = v.join(named.select("ord", "version_id"), "version_id").select("ord", "variant_id", "version_id")
     hits = hits.union(v.join(wanted.select("ord", F.col("wanted").alias("attr_path")), "attr_path").select("ord", "variant_id", "version_id")).distinct()
-    working = c.variants.where(~F.coalesce("broken", F.lit(False))).select("version_id").distinct().withColumn("working", F.lit(True))
-    rows = hits.join(last_seen(c.ranges), "variant_id", "left").join(working, "version_id", "left").join(c.versions, "version_id")
+    working = c.variants("version_id", "broken").where(~F.coalesce("broken", F.lit(False))).select("version_id").distinct().withColumn("working", F.lit(True))
+    rows = hits.join(last_seen(c.ranges("variant_id", "last_seq", "seeded")), "variant_id", "left").join(working, "version_id", "left").join(c.versions("version_id", "version", "sort_key", "prerelease"), "version_id")
     seen, works = F.coalesce("last_seen", F.lit(0)), F.coalesce("working", F.lit(False))
     first = F.row_number().over(Window.partitionBy("ord").orderBy(F.asc("prerelease"), works.desc(), seen.desc(), *release_order()))
     best = rows.withColumn("_place", first).where(F.col("_place") == 1).select("ord", "version_id", "version")
-    commits = c.commits.select(F.col("seq").alias("commit_seq"), "committed_at")
-    detail = best.join(c.variants.select("version_id", "system", "attr_path", "commit_seq"), "version_id").join(commits, "commit_seq")
+    commits = c.commits("seq", "committed_at").select(F.col("seq").alias("commit_seq"), "committed_at")
+    detail = best.join(c.variants("version_id", "system", "attr_path", "commit_seq"), "version_id").join(commits, "commit_seq")
     facts = detail.groupBy("ord", "version").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"), F.min("attr_path").alias("attr_path"), F.max("committed_at").alias("last_updated"))
     return wanted.select("ord", "wanted").join(facts, "ord", "left").orderBy("ord")
 
@@ -113,13 +113,14 @@ def constrained_versions(c: Catalog, requests: list[tuple[str, str]]) -> DataFra
     A constraint that is a range of semantic versions is met by those; if none is, or the text is no range, by versions
     it is a prefix of up to a dot or dash. Every candidate counts, however many there are. A request that nothing meets has nulls.
     """
-    rows = c.spark.createDataFrame([(k, n, t, name_key_of(n)) for k, (n, t) in enumerate(requests, 1)], "ord int, wanted string, constraint string, name_key string")
+    rows = literal_rows(c.spark, [(k, n, t, name_key_of(n)) for k, (n, t) in enumerate(requests, 1)], ["ord", "wanted", "constraint", "name_key"])
     wanted = F.broadcast(rows)
-    v = c.variants.select("version_id", "attr_path").distinct()
-    ids = wanted.join(c.packages.select("package_id", "name_key"), "name_key").join(c.versions.select("package_id", "version_id"), "package_id").select("ord", "version_id")
+    v = c.variants("version_id", "attr_path").distinct()
+    ids = wanted.join(c.packages("package_id", "name_key"), "name_key").join(c.versions("package_id", "version_id"), "package_id").select("ord", "version_id")
     ids = ids.join(v.select("version_id"), "version_id", "left_semi").select("ord", "version_id")
     by_path = v.join(wanted.select("ord", F.col("wanted").alias("attr_path")), "attr_path").select("ord", "version_id")
-    candidates = ids.union(by_path).distinct().join(c.versions, "version_id")
+    columns = ["version_id", "version", "sort_key", *(f"semver_{x}" for x in ("major", "minor", "patch", "pre"))]
+    candidates = ids.union(by_path).distinct().join(c.versions(*columns), "version_id")
     fits, near = F.lit(False), F.lit(False)
     for k, (_, text) in enumerate(requests, 1):
         parsed = parse_constraint(text)
@@ -135,8 +136,8 @@ def constrained_versions(c: Catalog, requests: list[tuple[str, str]]) -> DataFra
 
 def newest_releases(c: Catalog, count: int | None) -> DataFrame:
     """``(package_id, place, version, systems)``: the newest releases that have variants, all of them for None."""
-    systems = c.variants.groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"))
-    rows = c.versions.select("version_id", "package_id", "version", "sort_key").join(systems, "version_id")
+    systems = c.variants("version_id", "system").groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"))
+    rows = c.versions("version_id", "package_id", "version", "sort_key").join(systems, "version_id")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("package_id").orderBy(*release_order())))
     return (rows if count is None else rows.where(F.col("place") <= count)).select("package_id", "place", "version", "systems")
 
@@ -170,18 +171,18 @@ def dispatch(c: Catalog, *, phrase: str = "", name: str = "", version: str = "",
 
 def by_name_and_version(c: Catalog, name: str, version: str, system: str | None = None, no_prerelease: bool = False) -> DataFrame:
     """All rows in scope of the one version that a name and ``latest`` or a constraint mean; at most 1,000, by system and path."""
-    hits = scoped(c.variants.join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi").join(c.versions.select("version_id", "package_id", "version", "sort_key", "prerelease", *[f"semver_{x}" for x in ("major", "minor", "patch", "pre")]), "version_id"), system, no_prerelease)
+    hits = scoped(c.variants("variant_id", "version_id", "system").join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi").join(c.versions("version_id", "package_id", "version", "sort_key", "prerelease", "semver_major", "semver_minor", "semver_patch", "semver_pre").select("version_id", "package_id", "version", "sort_key", "prerelease", *[f"semver_{x}" for x in ("major", "minor", "patch", "pre")]), "version_id"), system, no_prerelease)
     if version == "latest":
         working = version_standing(c, system).select("version_id", "working")
         order = [F.desc("working"), F.coalesce("last_seen", F.lit(0)).desc(), *release_order()]
-        ranked = hits.join(last_seen(c.ranges), "variant_id", "left").join(working, "version_id")
+        ranked = hits.join(last_seen(c.ranges("variant_id", "last_seq", "seeded")), "variant_id", "left").join(working, "version_id")
     else:
         parsed = parse_constraint(version)
         fits = satisfies(parsed, *(F.col(f"semver_{x}") for x in ("major", "minor", "patch", "pre"))) if parsed else F.lit(False)
         ranked = hits.withColumn("_fits", fits).where(F.col("_fits") | prefix_with_boundary(F.col("version"), version))
         order = [F.desc("_fits"), *release_order()]
     best = ranked.orderBy(*order).limit(1).select("version_id")
-    rows = scoped(result_rows(c, c.variants.join(F.broadcast(best), "version_id", "left_semi")), system, no_prerelease)
+    rows = scoped(result_rows(c, c.shown_variants().join(F.broadcast(best), "version_id", "left_semi")), system, no_prerelease)
     return rows.orderBy("system", "attr_path").limit(1000)
 
 
@@ -189,7 +190,7 @@ def resolve(c: Catalog, name: str, version: str, system: str | None = None) -> D
     """``by_name_and_version``; at ``latest`` prereleases count only when there is nothing else."""
     if version != "latest":
         return dispatch(c, name=name, version=version, system=system or "")
-    rows = c.variants.join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi")
+    rows = c.variants("variant_id", "version_id", "system").join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi")
     rows = rows.where(F.col("system") == system) if system else rows
-    finals = rows.join(c.versions.where(~F.col("prerelease")).select("version_id"), "version_id", "left_semi")
+    finals = rows.join(c.versions("version_id", "prerelease").where(~F.col("prerelease")).select("version_id"), "version_id", "left_semi")
     return by_name_and_version(c, name, version, system, no_prerelease=bool(finals.take(1)))

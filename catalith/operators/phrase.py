@@ -51,12 +51,12 @@ def search_phrase(c: Catalog, phrase: str, latest_only: bool = True, releases: i
     if latest_only:
         chosen = latest_versions(c).join(hits, "package_id").select("ord", "version_id")
     else:
-        chosen = c.versions.select("package_id", "version_id").join(hits, "package_id").select("ord", "version_id")
-    rows = result_rows(c, c.variants.join(chosen.select("version_id"), "version_id", "left_semi")).join(chosen, "version_id")
+        chosen = c.versions("package_id", "version_id").join(hits, "package_id").select("ord", "version_id")
+    rows = result_rows(c, c.shown_variants().join(chosen.select("version_id"), "version_id", "left_semi")).join(chosen, "version_id")
     if not latest_only:
         rows = first_per_key(rows, ["ord", "sort_key", "version"], [F.asc("system"), F.asc("attr_path")])
         return rows.orderBy("ord", *release_order(), "system", "attr_path").limit(ROWS)
-    systems = c.variants.groupBy("version_id").agg(F.array_sort(F.collect_set("system")).alias("version_systems"))
+    systems = c.variants("version_id", "system").groupBy("version_id").agg(F.array_sort(F.collect_set("system")).alias("version_systems"))
     rows = first_per_key(rows, ["ord"], [F.asc("system"), F.asc("attr_path")]).join(systems, "version_id")
     if releases is not None:
         listed = newest_releases(c, None if releases == "all" else int(releases)).join(hits, "package_id")

@@ -23,14 +23,14 @@ def row_counts(c: Catalog) -> DataFrame:
 
 def system_status(c: Catalog) -> DataFrame:
     """``(system, imports, newest_seq, behind, nix_version, last_import_at, commit_hash, committed_at)`` of each system."""
-    by = c.imports.groupBy("system").agg(
+    by = c.imports("commit_seq", "system", "imported_at", "nix_version").groupBy("system").agg(
         F.count_distinct("commit_seq").alias("imports"),
         F.max("commit_seq").alias("newest_seq"),
         F.max_by("nix_version", F.struct("commit_seq", "imported_at")).alias("nix_version"),
         F.max("imported_at").alias("last_import_at"),
     )
-    head = c.commits.agg(F.max("seq").alias("head"))
-    commits = c.commits.select(F.col("seq").alias("newest_seq"), F.col("hash").alias("commit_hash"), "committed_at")
+    head = c.commits("seq").agg(F.max("seq").alias("head"))
+    commits = c.commits("seq", "hash", "committed_at").select(F.col("seq").alias("newest_seq"), F.col("hash").alias("commit_hash"), "committed_at")
     rows = by.join(commits, "newest_seq").join(F.broadcast(head))  # one row
     return rows.select("system", "imports", "newest_seq", (F.col("head") - F.col("newest_seq")).alias("behind"), "nix_version", "last_import_at", "commit_hash", "committed_at")
 
@@ -38,22 +38,22 @@ def system_status(c: Catalog) -> DataFrame:
 def commit_ends(c: Catalog) -> DataFrame:
     """``(place, seq, hash, committed_at)`` of the oldest and the newest commit."""
     one = F.struct("seq", "hash", "committed_at")
-    ends = c.commits.agg(F.min(one).alias("oldest"), F.max(one).alias("newest"))
+    ends = c.commits("seq", "hash", "committed_at").agg(F.min(one).alias("oldest"), F.max(one).alias("newest"))
     return ends.select(F.expr("stack(2, 'oldest', oldest, 'newest', newest) as (place, c)")).select("place", "c.seq", "c.hash", "c.committed_at")
 
 
 def incomplete_commits(c: Catalog, systems: list[str]) -> DataFrame:
     """``(seq, hash, missing)``: commits that some of the systems weren't imported for."""
     expected = F.explode(F.array(*(F.lit(s) for s in systems))).alias("system")
-    matrix = c.commits.select("seq", "hash", expected)
-    have = c.imports.select(F.col("commit_seq").alias("seq"), "system").distinct()
+    matrix = c.commits("seq", "hash").select("seq", "hash", expected)
+    have = c.imports("commit_seq", "system").select(F.col("commit_seq").alias("seq"), "system").distinct()
     lacking = matrix.join(have, ["seq", "system"], "left_anti")
     return lacking.groupBy("seq", "hash").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("missing"))
 
 
 def page_after(c: Catalog, after: int, limit: int = PAGE) -> DataFrame:
     """``(package_id, name)`` of the packages after an id, in the order of ids."""
-    return c.packages.select("package_id", "name").where(F.col("package_id") > after).orderBy("package_id").limit(limit)
+    return c.packages("package_id", "name").where(F.col("package_id") > after).orderBy("package_id").limit(limit)
 
 
 def page_start(c: Catalog, page: int, size: int = PAGE) -> DataFrame:
@@ -82,7 +82,7 @@ def pending_commits(c: Catalog, releases: DataFrame, limit: int = 4) -> DataFram
     ``releases (short_hash, number)`` abbreviate hashes to various lengths; known commits are cut to each of them.
     """
     lengths = releases.select(F.length("short_hash").alias("n")).distinct().join(F.broadcast(c.spark.range(1).select(F.lit(1).alias("_one"))))
-    known = c.commits.select("hash").distinct().join(F.broadcast(lengths.select("n"))).select(F.expr("left(hash, n)").alias("short_hash")).distinct()
+    known = c.commits("hash").distinct().join(F.broadcast(lengths.select("n"))).select(F.expr("left(hash, n)").alias("short_hash")).distinct()
     head = releases.join(known, "short_hash", "left_semi").agg(F.coalesce(F.max("number"), F.lit(0)).alias("head"))
     new = releases.join(known, "short_hash", "left_anti").join(F.broadcast(head)).where(F.col("number") > F.col("head"))
     return new.orderBy("number").limit(limit).select("short_hash", "number")
@@ -96,7 +96,7 @@ def with_backfill(incomplete: DataFrame, pending: DataFrame, limit: int, key: st
 
 def canonical_spellings(c: Catalog) -> DataFrame:
     """``(name_key, spelling, spellings)``: the spelling most versions use, the smallest of equals."""
-    uses = c.packages.join(c.versions.select("package_id"), "package_id").groupBy("name_key", "name").agg(F.count(F.lit(1)).alias("n"))
+    uses = c.packages().join(c.versions("package_id"), "package_id").groupBy("name_key", "name").agg(F.count(F.lit(1)).alias("n"))
     best = uses.groupBy("name_key").agg(F.min(F.struct((-F.col("n")).alias("n"), "name")).alias("b"), F.count(F.lit(1)).alias("spellings"))
     return best.select("name_key", F.col("b.name").alias("spelling"), "spellings")
 

@@ -57,20 +57,20 @@ SELECT version_id, array_to_string(list_transform(
   lambda c: CASE WHEN regexp_matches(c, '^[0-9]') THEN regexp_replace(c, '^0+(.)', '\1')
     WHEN lower(c) IN ('a','b','c','rc','alpha','beta','pre','preview') THEN lower(c) ELSE c END), '|') AS components FROM ve""")
 def version_components(c: Catalog) -> DataFrame:
-    return c.versions.select("version_id", F.array_join(V.components(F.col("version")), "|").alias("components"))
+    return c.versions("version_id", "version").select("version_id", F.array_join(V.components(F.col("version")), "|").alias("components"))
 
 
 @query("SELECT version_id, hex(sort_key) AS sort_key FROM ve WHERE sort_key IS NOT NULL")
 def version_sort_keys(c: Catalog) -> DataFrame:
     """The engine's own key of each version whose record has one."""
-    return c.versions.where(F.col("sort_key").isNotNull()).select("version_id", F.hex(V.sort_key(F.col("version"))).alias("sort_key"))
+    return c.versions("version_id", "version", "sort_key").where(F.col("sort_key").isNotNull()).select("version_id", F.hex(V.sort_key(F.col("version"))).alias("sort_key"))
 
 
 @query("""
 SELECT version_id, row_number() OVER (PARTITION BY package_id ORDER BY sort_key DESC NULLS LAST, version, version_id)::int AS place FROM ve""")
 def version_order(c: Catalog) -> DataFrame:
     w = Window.partitionBy("package_id").orderBy(*lookup.release_order())
-    return c.versions.select("version_id", F.row_number().over(w).alias("place"))
+    return c.versions("version_id", "package_id", "sort_key", "version").select("version_id", F.row_number().over(w).alias("place"))
 
 
 @query("""
@@ -78,7 +78,7 @@ SELECT a.version_id, CASE WHEN a.sort_key < b.sort_key THEN -1 WHEN a.sort_key >
 FROM ve a JOIN ve b ON b.version_id = a.version_id + 1 WHERE a.sort_key IS NOT NULL AND b.sort_key IS NOT NULL""")
 def version_comparison(c: Catalog) -> DataFrame:
     """Each version against the record with the next id."""
-    v = c.versions.where(F.col("sort_key").isNotNull()).select("version_id", "version")
+    v = c.versions("version_id", "version", "sort_key").where(F.col("sort_key").isNotNull()).select("version_id", "version")
     following = v.select((F.col("version_id") - 1).alias("version_id"), F.col("version").alias("other"))
     return v.join(following, "version_id").select("version_id", V.compare_versions(F.col("version"), F.col("other")).alias("sign"))
 
@@ -93,7 +93,7 @@ _PEP = r"^[\t\n\f\r ]*v?(?:[0-9]+!)?[0-9]+(?:\.[0-9]+)*([-_.]?(?:alpha|beta|prev
 @query(f"""SELECT version_id, CASE WHEN regexp_matches(version, '{_GO}') THEN regexp_extract(version, '{_GO}', 1) <> ''
   ELSE regexp_matches(lower(version), '{_PEP}') OR regexp_matches(version, '(?:alpha|beta|pre|preview|rc)$') END AS prerelease FROM ve""")
 def prerelease_flags(c: Catalog) -> DataFrame:
-    return c.versions.select("version_id", V.is_prerelease(F.col("version")).alias("prerelease"))
+    return c.versions("version_id", "version", "prerelease").select("version_id", V.is_prerelease(F.col("version")).alias("prerelease"))
 
 
 @query(f"""SELECT version_id, CASE WHEN ok THEN a END AS major, CASE WHEN ok THEN b END AS minor, CASE WHEN ok THEN c END AS patch, CASE WHEN ok THEN nullif(regexp_extract(version, '{_STRICT}', 4), '') END AS pre
@@ -101,7 +101,7 @@ FROM (SELECT *, coalesce(regexp_matches(version, '{_STRICT}') AND greatest(a, b,
 FROM (SELECT version_id, version, try_cast(regexp_extract(version, '{_STRICT}', 1) AS bigint) AS a, try_cast(regexp_extract(version, '{_STRICT}', 2) AS bigint) AS b, try_cast(regexp_extract(version, '{_STRICT}', 3) AS bigint) AS c FROM ve))""")
 def semver_parts(c: Catalog) -> DataFrame:
     s = V.semver(F.col("version"))
-    return c.versions.select("version_id", s["major"].alias("major"), s["minor"].alias("minor"), s["patch"].alias("patch"), F.nullif(s["pre"], F.lit("")).alias("pre"))
+    return c.versions("version_id", "version").select("version_id", s["major"].alias("major"), s["minor"].alias("minor"), s["patch"].alias("patch"), F.nullif(s["pre"], F.lit("")).alias("pre"))
 
 
 # ---------------------------------------------------------------- lookups
@@ -135,12 +135,12 @@ def versions_by_name(c: Catalog) -> DataFrame:
 
 @query(f"SELECT {_ROW} FROM {_WIDE}")
 def wide_rows(c: Catalog) -> DataFrame:
-    return _row(lookup.result_rows(c, c.variants))
+    return _row(lookup.result_rows(c, c.shown_variants()))
 
 
 @query("SELECT variant_id, last_seen FROM seen")
 def variant_last_seen(c: Catalog) -> DataFrame:
-    return lookup.last_seen(c.ranges)
+    return lookup.last_seen(c.ranges("variant_id", "last_seq", "seeded"))
 
 
 _STANDING = """, standing AS (
@@ -233,13 +233,13 @@ def newest_releases(c: Catalog) -> DataFrame:
 
 @query("SELECT version_id, string_agg(DISTINCT system, ',' ORDER BY system) AS systems FROM va GROUP BY 1")
 def version_systems(c: Catalog) -> DataFrame:
-    return c.variants.groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"))
+    return c.variants("version_id", "system").groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"))
 
 
 @query("""SELECT variant_id, version_id FROM (
   SELECT variant_id, version_id, row_number() OVER (PARTITION BY version_id, system ORDER BY attr_path, variant_id) AS n FROM va) WHERE n = 1""")
 def first_path_per_system(c: Catalog) -> DataFrame:
-    return lookup.first_per_key(c.variants.select("variant_id", "version_id", "system", "attr_path"), ["version_id", "system"], [F.asc("attr_path"), F.asc("variant_id")]).select("variant_id", "version_id")
+    return lookup.first_per_key(c.variants("variant_id", "version_id", "system", "attr_path"), ["version_id", "system"], [F.asc("attr_path"), F.asc("variant_id")]).select("variant_id", "version_id")
 
 
 # ---------------------------------------------------------------- search
@@ -255,7 +255,7 @@ def _similar(a: str, b: str) -> str:
 
 @query(f", g AS (SELECT DISTINCT name, {_TRIGRAMS.format('name')} AS a, {_TRIGRAMS.format(chr(39) + 'ocavel core' + chr(39))} AS b FROM pk) SELECT name, round({_similar('a', 'b')}, 6) AS similarity FROM g")
 def trigram_similarity(c: Catalog) -> DataFrame:
-    return c.packages.select("name").distinct().select("name", F.round(similarity(F.col("name"), F.lit("ocavel core")), 6).alias("similarity"))
+    return c.packages("name").distinct().select("name", F.round(similarity(F.col("name"), F.lit("ocavel core")), 6).alias("similarity"))
 
 
 def _ranked(text: str, hits: int = 50, alias: str = "false") -> str:
@@ -501,7 +501,7 @@ def seeded_ranges(c: Catalog) -> DataFrame:
 
 @query("SELECT hash, row_number() OVER (ORDER BY committed_at, hash)::int AS seq FROM (SELECT DISTINCT hash, committed_at FROM co)")
 def numbered_commits(c: Catalog) -> DataFrame:
-    return merge.numbered_commits(c.commits)
+    return merge.numbered_commits(c.commits("seq", "hash", "committed_at"))
 
 
 # ---------------------------------------------------------------- bookkeeping
@@ -543,12 +543,12 @@ def package_page_start(c: Catalog) -> DataFrame:
 
 @query("SELECT package_id, ((row_number() OVER (ORDER BY package_id) - 1) // 100)::int AS batch FROM pk")
 def package_batches(c: Catalog) -> DataFrame:
-    return status.batches(c.packages.select("package_id"), ["package_id"], 100)
+    return status.batches(c.packages("package_id"), ["package_id"], 100)
 
 
 def _releases(c: Catalog) -> DataFrame:
     """A listing of releases made from the commits: every third, hashes cut to 7 to 11 characters, and one that isn't known yet for each."""
-    own = c.commits.where(F.col("seq") % 3 == 0)
+    own = c.commits("seq", "hash").where(F.col("seq") % 3 == 0)
     known = own.select(F.expr("left(hash, 7 + seq % 5)").alias("short_hash"), (F.col("seq") * 10).alias("number")).where(F.col("number") < 11500)
     return known.unionByName(own.select(F.expr("left(sha1(hash), 9)").alias("short_hash"), (F.col("seq") * 10 + 1).alias("number")))
 
@@ -567,7 +567,7 @@ p AS (SELECT hash, seq AS number FROM co WHERE seq > 1150)
 SELECT hash, number, turn FROM (SELECT hash, number, 0 AS turn FROM o UNION ALL SELECT hash, number, 1 FROM p WHERE hash NOT IN (SELECT hash FROM o)) ORDER BY turn, number LIMIT 600""")
 def backfill_first(c: Catalog) -> DataFrame:
     old = status.incomplete_commits(c, ["x86_64-darwin"]).select("hash", F.col("seq").alias("number"))
-    return status.with_backfill(old, c.commits.where(F.col("seq") > 1150).select("hash", F.col("seq").alias("number")), 600)
+    return status.with_backfill(old, c.commits("seq", "hash").where(F.col("seq") > 1150).select("hash", F.col("seq").alias("number")), 600)
 
 
 @query(""", u AS (SELECT nk, name, count(*) AS n FROM pk JOIN ve USING (package_id) GROUP BY ALL)
@@ -581,7 +581,7 @@ def canonical_spellings(c: Catalog) -> DataFrame:
 SELECT version_id, before FROM (SELECT version_id, new, max(new) OVER (PARTITION BY package_id ORDER BY old ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) WHERE before > new""")
 def order_divergences(c: Catalog) -> DataFrame:
     w = lambda *by: F.row_number().over(Window.partitionBy("package_id").orderBy(*by, F.asc("version_id")))
-    ranked = c.versions.where(F.col("semver_major").isNotNull()).select(
+    ranked = c.versions("version_id", "package_id", "sort_key", "semver_major", "semver_minor", "semver_patch", "semver_pre").where(F.col("semver_major").isNotNull()).select(
         *["version_id", "package_id"], w(F.asc_nulls_last("sort_key")).alias("old"), w(*(F.asc(f"semver_{x}") for x in ("major", "minor", "patch"))).alias("new")
     )
     return status.order_divergences(ranked, "package_id", "old", "new", "version_id")
@@ -603,14 +603,14 @@ whole AS (SELECT version_id, any_value(version) AS version, bool_and(coalesce(br
   concat_ws(' and ', CASE WHEN linux THEN 'Linux' END, CASE WHEN arm AND intel THEN 'macOS' WHEN arm THEN 'macOS (Apple Silicon only)' WHEN intel THEN 'macOS (Intel only)' END) AS platforms_summary
 FROM whole JOIN kept USING (version_id)""")
 def release_rows(c: Catalog) -> DataFrame:
-    rows = render.release_rows(lookup.result_rows(c, c.variants))
+    rows = render.release_rows(lookup.result_rows(c, c.shown_variants()))
     listed = F.array_join(F.transform("platforms", lambda p: F.concat(p["system"], F.lit("="), p["attribute_path"])), ",")
     return rows.select("version_id", "version", "last_updated", listed.alias("platforms"), "broken", "insecure", "platforms_summary")
 
 
 @query("""SELECT version_id, lag(version) OVER w AS newer, lead(version) OVER w AS older FROM ve WINDOW w AS (PARTITION BY package_id ORDER BY sort_key DESC NULLS LAST, version, version_id)""")
 def release_neighbours(c: Catalog) -> DataFrame:
-    return render.release_neighbours(c.versions).select("version_id", "newer", "older")
+    return render.release_neighbours(c.versions("version_id", "package_id", "version", "sort_key")).select("version_id", "newer", "older")
 
 
 @query(f"""SELECT version_id, system, string_agg(attr_path, ',' ORDER BY attr_path, program, committed_at) AS attr_paths,
@@ -619,7 +619,7 @@ def release_neighbours(c: Catalog) -> DataFrame:
   array_to_string(list_filter(first(platforms ORDER BY attr_path, program, committed_at), lambda p: p IN ('aarch64-darwin', 'aarch64-linux', 'x86_64-darwin', 'x86_64-linux')), ',') AS platforms
 FROM {_WIDE} GROUP BY version_id, system""")
 def legacy_versions(c: Catalog) -> DataFrame:
-    return render.legacy_versions(lookup.result_rows(c, c.variants)).select("version_id", "system", "attr_paths", "programs", "last_updated", "platforms")
+    return render.legacy_versions(lookup.result_rows(c, c.shown_variants())).select("version_id", "system", "attr_paths", "programs", "last_updated", "platforms")
 
 
 @query()
@@ -660,7 +660,7 @@ def decoded_packages(c: Catalog) -> DataFrame:
 
 @query("SELECT package_id, '<url><loc>https://catalog.example/pkg/' || url_encode(name) || '</loc></url>' AS line FROM pk")
 def site_map(c: Catalog) -> DataFrame:
-    return render.site_map(c.packages, "https://catalog.example")
+    return render.site_map(c.packages("package_id", "name"), "https://catalog.example")
 
 
 @query(r"""SELECT variant_id, arch.arch AS arch, arch.os AS os, top, known FROM (
@@ -669,7 +669,7 @@ def site_map(c: Catalog) -> DataFrame:
     CASE WHEN attr_path NOT LIKE '%.%' THEN attr_path END AS top, system IN ('aarch64-darwin', 'aarch64-linux', 'x86_64-darwin', 'x86_64-linux') AS known FROM va)""".join([", one AS (SELECT 1) ", ""]))
 def systems_and_paths(c: Catalog) -> DataFrame:
     s = arch_os(F.col("system"))
-    return c.variants.select("variant_id", s["arch"].alias("arch"), s["os"].alias("os"), top_level(F.col("attr_path")).alias("top"), supported(F.col("system")).alias("known"))
+    return c.variants("variant_id", "system", "attr_path").select("variant_id", s["arch"].alias("arch"), s["os"].alias("os"), top_level(F.col("attr_path")).alias("top"), supported(F.col("system")).alias("known"))
 
 
 _RULES = [("family", r"^pyrennet[0-9]*$"), ("family-packages", r"^pyrennet[0-9]+Packages\..+$"), ("core", r"^ocavelPackages\.core$")]
@@ -678,7 +678,7 @@ _RULES = [("family", r"^pyrennet[0-9]*$"), ("family-packages", r"^pyrennet[0-9]+
 @query(r""", paths AS (SELECT DISTINCT attr_path FROM va) SELECT attr_path, CASE WHEN regexp_matches(attr_path, '^pyrennet[0-9]*$') THEN 'family'
   WHEN regexp_matches(attr_path, '^pyrennet[0-9]+Packages\..+$') THEN 'family-packages' WHEN regexp_matches(attr_path, '^ocavelPackages\.core$') THEN 'core' ELSE attr_path END AS name FROM paths""")
 def canonical_names(c: Catalog) -> DataFrame:
-    return c.variants.select("attr_path").distinct().select("attr_path", canonical_name(F.col("attr_path"), _RULES).alias("name"))
+    return c.variants("attr_path").distinct().select("attr_path", canonical_name(F.col("attr_path"), _RULES).alias("name"))
 
 
 @query(r""", s AS (SELECT variant_id, '/nix/store/' || store_hash || '-' || meta_name AS path, meta_name AS n FROM va WHERE length(store_hash) = 32),
@@ -688,27 +688,27 @@ SELECT variant_id, substr(path, 12, 32) AS hash, CASE WHEN parted THEN regexp_ex
 def store_paths(c: Catalog) -> DataFrame:
     path = F.concat(F.lit("/nix/store/"), "store_hash", F.lit("-"), "meta_name")
     p = split_store_path(path)
-    return c.variants.where(F.length("store_hash") == 32).select("variant_id", p["hash"].alias("hash"), p["name"].alias("name"), p["version"].alias("version"))
+    return c.variants("variant_id", "store_hash", "meta_name").where(F.length("store_hash") == 32).select("variant_id", p["hash"].alias("hash"), p["name"].alias("name"), p["version"].alias("version"))
 
 
 @query("""SELECT seq, strftime(committed_at, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, floor(epoch(committed_at))::bigint AS seconds,
   'x86_64-linux/' || floor(epoch(committed_at))::bigint || '-' || hash || '.json.gz' AS archive FROM co""")
 def commit_times(c: Catalog) -> DataFrame:
     at = F.col("committed_at")
-    return c.commits.select("seq", rfc3339(at).alias("rfc3339"), unix_seconds(at).alias("seconds"), archive_key(F.lit("x86_64-linux"), at, F.col("hash")).alias("archive"))
+    return c.commits("seq", "hash", "committed_at").select("seq", rfc3339(at).alias("rfc3339"), unix_seconds(at).alias("seconds"), archive_key(F.lit("x86_64-linux"), at, F.col("hash")).alias("archive"))
 
 
 @query(r"""SELECT meta_id, replace(replace(replace(replace(replace(summary, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
   regexp_replace(summary, '([\\%_])', '\\\1', 'g') AS pattern, sha256(description) AS digest, url_encode(summary) AS segment FROM me""")
 def escaped_text(c: Catalog) -> DataFrame:
     s = F.col("summary")
-    return c.meta.select("meta_id", escape_html(s).alias("html"), escape_like(s).alias("pattern"), F.sha2("description", 256).alias("digest"), url_segment(s).alias("segment"))
+    return c.meta("meta_id", "description", "summary").select("meta_id", escape_html(s).alias("html"), escape_like(s).alias("pattern"), F.sha2("description", 256).alias("digest"), url_segment(s).alias("segment"))
 
 
 @query(r"""SELECT version_id, concat_ws(chr(9), version_id::varchar, replace(version, '\', '\\'), CASE WHEN sort_key IS NULL THEN '\N' ELSE '\\x' || lower(hex(sort_key)) END,
   CASE WHEN prerelease IS NULL THEN '\N' WHEN prerelease THEN 't' ELSE 'f' END, coalesce(semver_major::varchar, '\N')) AS line FROM ve""")
 def copy_lines(c: Catalog) -> DataFrame:
-    rows = c.versions.select("version_id", "version", "sort_key", "prerelease", "semver_major")
+    rows = c.versions("version_id", "version", "sort_key", "prerelease", "semver_major")
     return rows.select("version_id", copy_line(rows.dtypes).alias("line"))
 
 
@@ -718,7 +718,7 @@ def response_texts(c: Catalog) -> DataFrame:
     now = F.lit(datetime.datetime(2026, 1, 1))
     ref = split_reference(F.concat("summary", F.lit("@"), "license"))
     name = parse_archive_name(F.concat(F.lit("out/eval-x86_64-linux-"), F.substring("meta_hash", 1, 40), F.lit(".json.gz")))
-    rows = c.meta.select("meta_id", "meta_hash", "summary", "license", "homepage", "platforms")
+    rows = c.meta("meta_id", "meta_hash", "summary", "license", "homepage", "platforms")
     kinds = [(k, t) for k, t in rows.dtypes if k in ("summary", "license", "homepage", "platforms")]
     return rows.select(
         *["meta_id", highlight(F.col("summary"), "pa").alias("highlight"), etag(F.col("summary")).alias("etag")],

@@ -14,7 +14,7 @@ from catalith.sources.tables import table
 
 
 class Catalog:
-    """Tables of one data folder. Each property is a plan, read with only the columns its user takes."""
+    """Tables of one data folder. Each method is a plan that reads only the columns asked for."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
@@ -22,44 +22,59 @@ class Catalog:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.base, name)
 
-    @cached_property
-    def packages(self) -> DataFrame:
+    def _records(self, name: str, ident: str, new: str, cols: tuple[str, ...]) -> DataFrame:
+        """The columns asked for (all for none), copies of a record made one over these columns and the id alone."""
+        rows = self.raw(name).withColumnRenamed(ident, new)
+        return rows.select(new, *(k for k in cols if k != new)).distinct().select(*cols) if cols else rows.distinct()
+
+    def packages(self, *cols: str) -> DataFrame:
         """``(package_id, name, name_key)``."""
-        return self.raw("packages").distinct().select(F.col("id").alias("package_id"), "name", name_key(F.col("name")).alias("name_key"))
+        rows = self._records("packages", "id", "package_id", ("package_id", "name")).withColumn("name_key", name_key(F.col("name")))
+        return rows.select(*cols) if cols else rows
 
-    @cached_property
-    def versions(self) -> DataFrame:
-        return self.raw("versions").distinct().withColumnRenamed("id", "version_id")
+    def versions(self, *cols: str) -> DataFrame:
+        return self._records("versions", "id", "version_id", cols)
 
-    @cached_property
-    def variants(self) -> DataFrame:
-        return self.raw("variants").distinct().withColumnRenamed("id", "variant_id")
+    def variants(self, *cols: str) -> DataFrame:
+        return self._records("variants", "id", "variant_id", cols)
 
-    @cached_property
-    def ranges(self) -> DataFrame:
-        return self.raw("variant_ranges").distinct()
+    def shown_variants(self) -> DataFrame:
+        """What a result row shows of variants."""
+        columns = "variant_id version_id system attr_path meta_id commit_seq store_hash store_name meta_name meta_version program broken insecure"
+        return self.variants(*columns.split())
 
-    @cached_property
-    def meta(self) -> DataFrame:
-        return self.raw("meta").distinct().withColumnRenamed("id", "meta_id").withColumnRenamed("hash", "meta_hash")
+    def ranges(self, *cols: str) -> DataFrame:
+        """Of some columns only the different ones."""
+        rows = self.raw("variant_ranges")
+        return (rows.select(*cols) if cols else rows).distinct()
 
-    @cached_property
-    def commits(self) -> DataFrame:
-        return self.raw("commits").distinct()
+    def meta(self, *cols: str) -> DataFrame:
+        rows = self._records("meta", "id", "meta_id", tuple("hash" if k == "meta_hash" else k for k in cols))
+        return rows.withColumnRenamed("hash", "meta_hash")
 
-    @cached_property
-    def imports(self) -> DataFrame:
-        return self.raw("commit_systems").distinct()
+    def commits(self, *cols: str) -> DataFrame:
+        return self._records("commits", "seq", "seq", cols)
+
+    def imports(self, *cols: str) -> DataFrame:
+        """Of some columns only the different ones."""
+        rows = self.raw("commit_systems")
+        return (rows.select(*cols) if cols else rows).distinct()
 
     @cached_property
     def search_terms(self) -> DataFrame:
         """``(package_id, name, attr_path, top_level_attr)``: each name with the attribute paths that serve it."""
-        v = self.variants.select("version_id", "attr_path").distinct()
-        owned = v.join(self.versions.select("version_id", "package_id"), "version_id").select("package_id", "attr_path").distinct()
-        terms = owned.join(self.packages.select("package_id", "name"), "package_id")
+        v = self.raw("variants").select("version_id", "attr_path").distinct()
+        owned = v.join(self.versions("version_id", "package_id"), "version_id").select("package_id", "attr_path").distinct()
+        terms = owned.join(self.packages("package_id", "name"), "package_id")
         return terms.select("package_id", "name", "attr_path", top_level(F.col("attr_path")).alias("top_level_attr"))
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A few rows as literals of the plan: no Python worker and no job to make them."""
+    one = lambda r: F.struct(*(F.lit(v).alias(c) for v, c in zip(r, columns)))
+    return spark.range(1).select(F.inline(F.array(*map(one, rows))))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table, to be broadcast if it is counted to be small; left to the optimizer otherwise."""
     return F.broadcast(df) if df.count() <= rows else df
