@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, of_word)))
 
 
+def trigrams_of(text: str) -> list[str]:
+    """The same of one string, on the driver."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    return list(dict.fromkeys(p[i : i + 3] for w in words for p in [f"  {w} "] for i in range(len(w) + 1)))
+
+
 def similarity_of(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams; ``a`` and ``b`` are arrays of ``trigrams``."""
     shared = F.size(F.array_intersect(a, b))

@@ -169,12 +169,14 @@ def dispatch(c: Catalog, *, phrase: str = "", name: str = "", version: str = "",
     raise ValueError("unsupported search: neither a phrase nor a name")
 
 
-def by_name_and_version(c: Catalog, name: str, version: str, system: str | None = None, no_prerelease: bool = False) -> DataFrame:
+def by_name_and_version(c: Catalog, name: str, version: str, system: str | None = None, no_prerelease: bool = False, prereleases_last: bool = False) -> DataFrame:
     """All rows in scope of the one version that a name and ``latest`` or a constraint mean; at most 1,000, by system and path."""
-    hits = scoped(c.variants("variant_id", "version_id", "system").join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi").join(c.versions("version_id", "package_id", "version", "sort_key", "prerelease", "semver_major", "semver_minor", "semver_patch", "semver_pre").select("version_id", "package_id", "version", "sort_key", "prerelease", *[f"semver_{x}" for x in ("major", "minor", "patch", "pre")]), "version_id"), system, no_prerelease)
+    columns = ["version_id", "package_id", "version", "sort_key", "prerelease", *(f"semver_{x}" for x in ("major", "minor", "patch", "pre"))]
+    hits = c.variants("variant_id", "version_id", "system").join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi")
+    hits = scoped(hits.join(c.versions(*columns), "version_id"), system, no_prerelease)
     if version == "latest":
         working = version_standing(c, system).select("version_id", "working")
-        order = [F.desc("working"), F.coalesce("last_seen", F.lit(0)).desc(), *release_order()]
+        order = [F.asc("prerelease")] * prereleases_last + [F.desc("working"), F.coalesce("last_seen", F.lit(0)).desc(), *release_order()]
         ranked = hits.join(last_seen(c.ranges("variant_id", "last_seq", "seeded")), "variant_id", "left").join(working, "version_id")
     else:
         parsed = parse_constraint(version)
@@ -187,10 +189,7 @@ def by_name_and_version(c: Catalog, name: str, version: str, system: str | None
 
 
 def resolve(c: Catalog, name: str, version: str, system: str | None = None) -> DataFrame:
-    """``by_name_and_version``; at ``latest`` prereleases count only when there is nothing else."""
-    if version != "latest":
-        return dispatch(c, name=name, version=version, system=system or "")
-    rows = c.variants("variant_id", "version_id", "system").join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi")
-    rows = rows.where(F.col("system") == system) if system else rows
-    finals = rows.join(c.versions("version_id", "prerelease").where(~F.col("prerelease")).select("version_id"), "version_id", "left_semi")
-    return by_name_and_version(c, name, version, system, no_prerelease=bool(finals.take(1)))
+    """``by_name_and_version``; at ``latest`` prereleases come last, so they count only when there is nothing else."""
+    if version == "latest":
+        return by_name_and_version(c, name, version, system, prereleases_last=True)
+    return dispatch(c, name=name, version=version, system=system or "")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.names import PHRASE_ALIASES
-from catalith.functions.trigram import ALIKE, similarity_of, trigrams
+from catalith.functions.trigram import ALIKE, similarity_of, trigrams, trigrams_of
 from catalith.operators.lookup import first_per_key, latest_versions, newest_releases, release_order, result_rows
 from catalith.sources.catalog import Catalog
 
@@ -14,16 +14,22 @@ from catalith.sources.catalog import Catalog
 HITS, ROWS = 50, 1000
 
 
-def _rank(phrase: str, aliases: list[str]) -> tuple[Column, Column, Column]:
-    """(rank, whether it is a prefix match, whether it is alike)."""
-    name, path, low = F.lower("name"), F.lower("attr_path"), phrase.lower()
-    own = trigrams(F.lit(phrase))
-    by_name = similarity_of(trigrams(F.col("name")), own)
-    by_path = F.when(F.col("name") == F.col("attr_path"), by_name).otherwise(similarity_of(trigrams(F.col("attr_path")), own))
+def _scored(terms: DataFrame, phrase: str, aliases: list[str]) -> DataFrame:
+    """``(package_id, name, rank)`` of the terms that match by prefix, alias or likeness.
+
+    Trigrams, then similarities, then the rank, each in a projection of its own, so that nothing is computed twice.
+    """
+    own = F.array(*(F.lit(t) for t in trigrams_of(phrase))).cast("array<string>")
+    same = F.col("name") == F.col("attr_path")
+    grams = terms.select("package_id", "name", "top_level_attr", F.lower("name").alias("_n"), F.lower("attr_path").alias("_p"), trigrams(F.col("name")).alias("_gn"), F.when(~same, trigrams(F.col("attr_path"))).alias("_gp"))
+    by_path = F.when(F.col("_gp").isNotNull(), similarity_of(F.col("_gp"), own))
+    alike = grams.select("package_id", "name", "top_level_attr", "_n", "_p", similarity_of(F.col("_gn"), own).alias("_sn"), by_path.alias("_sp"))
+    alike = alike.withColumn("_s", F.greatest("_sn", "_sp"))
+    name, path, low = F.col("_n"), F.col("_p"), phrase.lower()
     alias = name.isin(aliases) | path.isin(aliases) if aliases else F.lit(False)
     tier = F.when(alias, 2000).when(name == low, 1000).when(path == low, 900).when(name.startswith(low), 800).when(path.startswith(low), 700).otherwise(0)
-    rank = tier + 100 * F.greatest(by_name, by_path) + F.when(F.col("top_level_attr").isNotNull(), 25).otherwise(0)
-    return rank, name.startswith(low) | path.startswith(low) | alias, (by_name >= ALIKE) | (by_path >= ALIKE)
+    ranked = alike.select("package_id", "name", "_s", tier.alias("_tier"), F.when(F.col("top_level_attr").isNotNull(), 25).otherwise(0).alias("_top"))
+    return ranked.where((F.col("_tier") > 0) | (F.col("_s") >= ALIKE)).select("package_id", "name", (F.col("_tier") + 100 * F.col("_s") + F.col("_top")).alias("rank"))
 
 
 def rank_phrase(c: Catalog, phrase: str, hits: int = HITS, aliases: dict[str, list[str]] = PHRASE_ALIASES) -> DataFrame:
@@ -34,8 +40,7 @@ def rank_phrase(c: Catalog, phrase: str, hits: int = HITS, aliases: dict[str, li
     ``hits`` packages match by prefix. One scan of the terms scores both tiers, as the lower tier never reaches the upper's scores.
     """
     known = [a.lower() for a in aliases.get(phrase.lower(), [])] if any(ch.isalnum() for ch in phrase) else []
-    rank, prefix, alike = _rank(phrase, known)
-    scored = c.search_terms.select("package_id", "name", rank.alias("rank"), prefix.alias("prefix"), alike.alias("alike")).where("prefix or alike")
+    scored = _scored(c.search_terms, phrase, known)
     best = scored.groupBy("package_id", "name").agg(F.max("rank").alias("rank"))
     top = best.orderBy(F.desc("rank"), "name", "package_id").limit(hits)
     ordered = top.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("rank"), "name", "package_id"))).alias("a"))  # at most ``hits`` rows

@@ -18,9 +18,13 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.base, name)
+        """The table as it is; its schema is read once."""
+        if name not in self._raw:
+            self._raw[name] = table(self.spark, self.base, name)
+        return self._raw[name]
 
     def _records(self, name: str, ident: str, new: str, cols: tuple[str, ...]) -> DataFrame:
         """The columns asked for (all for none), copies of a record made one over these columns and the id alone."""
