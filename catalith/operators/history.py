@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from catalith.operators.intervals import OPEN_END, continuous_periods, timeline_ranks
 from catalith.operators.lookup import first_per_key
-from catalith.session import BROADCAST_ROWS
 from catalith.sources.catalog import Catalog, small
 
 KEY = ["name_key", "version", "attr_path"]
@@ -22,9 +21,9 @@ def evaluated_rows(c: Catalog) -> DataFrame:
 def next_point(rows: DataFrame, scope: str, at: str, points: DataFrame, point: str, out: str) -> DataFrame:
     """Adds the smallest point of the scope beyond ``at``, null if there is none."""
     points = points.select(scope, point).distinct()
-    ranks, low, high = timeline_ranks(points, scope, point)
+    ranks, low, high, fits = timeline_ranks(points, scope, point)
     ranked = points.select(scope, F.col(point).alias(out), F.row_number().over(Window.partitionBy(scope).orderBy(point)).alias("_n"))
-    if points.select(scope).distinct().count() * (high - low + 1) <= BROADCAST_ROWS:
+    if fits:
         ranks, ranked = F.broadcast(ranks), F.broadcast(ranked)
     clamped = F.greatest(F.lit(low), F.least(F.lit(high), F.col(at))).cast("int")
     rows = rows.withColumn("_at", clamped).join(ranks.select(scope, F.col("at").alias("_at"), (F.col("through") + 1).alias("_n")), [scope, "_at"], "left")

@@ -12,16 +12,18 @@ OPEN_END = 2147483647
 ENTITY_STARTS = 1_000_000
 
 
-def timeline_ranks(points: DataFrame, scope: str, point: str) -> tuple[DataFrame, int, int]:
+def timeline_ranks(points: DataFrame, scope: str, point: str) -> tuple[DataFrame, int, int, bool]:
     """How many points of each scope lie before and up to each place of the timeline.
 
     Returns ``(scope, at, before, through)`` with one row for each integer of the timeline, one place
-    beyond either end included, and these two ends; a place outside counts as the nearest end.
+    beyond either end included; these two ends, as a place outside counts as the nearest end; and whether the
+    table is small enough to be broadcast.
     Null scopes and points are no points; copies count once.
     """
     points = points.select(scope, point).where(F.col(scope).isNotNull() & F.col(point).isNotNull()).distinct()
-    low, high = points.agg(F.min(point), F.max(point)).first()
+    low, high, scopes = points.agg(F.min(point), F.max(point), F.count_distinct(scope)).first()
     low, high = (0, 0) if low is None else (low - 1, high + 1)
+    fits = scopes * (high - low + 1) <= BROADCAST_ROWS
     first = points.select(scope).distinct().select(scope, F.lit(low).cast("int").alias(point), F.lit(0).alias("_real"))
     w = Window.partitionBy(scope).orderBy(point)
     steps = points.select(scope, F.col(point).cast("int").alias(point), F.lit(1).alias("_real")).unionByName(first)
@@ -29,7 +31,7 @@ def timeline_ranks(points: DataFrame, scope: str, point: str) -> tuple[DataFrame
     at = F.explode(F.sequence(F.col(point), F.coalesce(F.col("_next") - 1, F.lit(high)))).alias("at")
     ranks = steps.select(scope, at, point, "_real", "_rank")
     before = F.when(F.col("at") == F.col(point), F.col("_rank") - F.col("_real")).otherwise(F.col("_rank"))
-    return ranks.select(scope, "at", before.alias("before"), F.col("_rank").alias("through")), low, high
+    return ranks.select(scope, "at", before.alias("before"), F.col("_rank").alias("through")), low, high, fits
 
 
 def continuous_periods(
@@ -43,6 +45,7 @@ def continuous_periods(
     scope: str = "scope",
     point: str = "point",
     entity_starts: int = ENTITY_STARTS,
+    bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Merges each entity's closed integer intervals into periods and lists the gaps between them.
 
@@ -59,12 +62,12 @@ def continuous_periods(
     Order by start, running maximum of the previous ends, islands by cumulative sum, aggregate. Before that
     an entity keeps one row for each start, so the timeline bounds its rows; if the starts span more than
     ``entity_starts`` places, entities that have more are cut into blocks of the timeline and the running maximum is
-    carried from block to block.
+    carried from block to block. ``bounds`` are the least and the greatest start, where the caller knows them cheaply.
     """
     e, s, t = "_entity", "_start", "_end"
     rows = ranges.select(F.col(entity).alias(e), F.col(start).alias(s), F.coalesce(F.col(end), F.lit(OPEN_END)).alias(t))
     rows = rows.where(F.col(e).isNotNull() & F.col(s).isNotNull() & (F.col(t) >= F.col(s)))
-    low, high = rows.agg(F.min(s), F.max(s)).first()
+    low, high = bounds or rows.agg(F.min(s), F.max(s)).first()
     rows = rows.groupBy(e, s).agg(F.max(t).alias(t))
     if points is None:
         rows = rows.withColumns({"_before": F.col(s).cast("long"), "_through": F.col(t).cast("long") + 1})
@@ -81,9 +84,8 @@ def continuous_periods(
 
 def _ranked(rows, e, s, t, scopes, points, scope, point):
     scopes = scopes.where(F.col(e).isNotNull()).groupBy(e).agg(F.min("_scope").alias("_scope"))
-    ranks, low, high = timeline_ranks(points, scope, point)
-    wide = points.select(scope).distinct().count() * (high - low + 1)
-    ranks = F.broadcast(ranks) if wide <= BROADCAST_ROWS else ranks
+    ranks, low, high, fits = timeline_ranks(points, scope, point)
+    ranks = F.broadcast(ranks) if fits else ranks
     clamp = lambda c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))).cast("int")
     rows = rows.join(scopes, e, "left")
     for at, rank, out in ((s, "before", "_before"), (t, "through", "_through")):

@@ -38,7 +38,10 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     ranges = ranges.select("variant_id", "first_seq", "last_seq").unionByName(backfill_of_variants(spark, base))
     imports = table(spark, base, "commit_systems").select(F.col("system").alias("scope"), F.col("commit_seq").alias("point"))
     systems = table(spark, base, "variants").select(F.col("id").alias("variant_id"), F.col("system").alias("scope"))
-    out = continuous_periods(ranges, "variant_id", "first_seq", "last_seq", scope_of=systems, points=imports)
+    starts = table(spark, base, "variant_ranges").select("first_seq").unionByName(table(spark, base, "stage_backfill_ranges").select("first_seq"))
+    low, high = starts.agg(F.min("first_seq"), F.max("first_seq")).first()
+    bounds = None if low is None else (low, high)
+    out = continuous_periods(ranges, "variant_id", "first_seq", "last_seq", scope_of=systems, points=imports, bounds=bounds)
     return out.select("variant_id", "piece", "first_seq", "last_seq")
 
 
