@@ -32,7 +32,7 @@ def top_n(
     hot = hot_keys(rows, group, rows=hot_rows, share=hot_share)
     ranked = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
     light = rows.where(~F.col(group).isin(hot)) if hot else rows
-    out = ranked(light.distinct(), group)
+    out = ranked(light.repartition(group).distinct(), group)  # one shuffle for both: a light group, copies included, fits a task
     if hot:
         pieces = rows.where(F.col(group).isin(hot)).distinct().repartitionByRange(F.col(group), *order)
         salted = pieces.withColumn("_salt", F.spark_partition_id())
