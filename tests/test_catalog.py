@@ -156,7 +156,7 @@ def test_status(c, rows):
     assert rows(status.incomplete_commits(c, [LINUX, MAC]).select("seq", "missing")) == [(4, MAC), (5, MAC)]
     assert {r.table_name: r.n_rows for r in status.row_counts(c).collect()}["variants"] == 11
     assert [r.package_id for r in status.page_after(c, 2, 2).collect()] == [3, 4] and status.page_start(c, 2, 2).first()[0] == 2 and status.page_start(c, 9, 2).count() == 0
-    assert rows(status.batches(c.packages.select("package_id"), ["package_id"], 2)) == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]
+    assert rows(status.batches(c.packages("package_id"), ["package_id"], 2)) == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]
     listed = c.spark.createDataFrame([(f"{n:040x}"[:39], n) for n in (1, 2)] + [("abc", 3), ("abd", 4), ("old", 1)], "short_hash string, number int")
     assert [r.number for r in status.pending_commits(c, listed, 1).collect()] in ([3], [1])
     assert rows(status.canonical_spellings(c).where("spellings > 1")) == []
@@ -165,7 +165,7 @@ def test_status(c, rows):
 
 
 def test_responses(c, rows):
-    rel = {r.version_id: r for r in render.release_rows(lookup.result_rows(c, c.variants)).collect()}
+    rel = {r.version_id: r for r in render.release_rows(lookup.result_rows(c, c.shown_variants())).collect()}
     assert rel[2].platforms_summary == "Linux and macOS (Apple Silicon only)" and len(rel[2].platforms) == 2 and rel[5].broken and len(rel[5].platforms) == 1
     assert '"version":"3.12.0"' in render.package_document(lookup.versions_by_name(c, "python")).first()[0]
     doc = render.resolve_document(lookup.resolve(c, "python", "3.12")).first()[0]
@@ -173,7 +173,7 @@ def test_responses(c, rows):
     assert render.resolve_document(lookup.resolve(c, "python", "99")).count() == 0
     outs = c.spark.createDataFrame([(1, LINUX, "out", True), (1, MAC, "out", True), (1, LINUX, "dev", False), (2, LINUX, "out", True), (3, "x", "o", False)], "v int, system string, name string, is_default boolean")
     assert rows(render.outputs_summary(outs, ["v"])) == [(1, "out, dev (Linux only)"), (2, ""), (3, "")]
-    legacy = render.legacy_versions(lookup.result_rows(c, c.variants)).where("version_id = 5").first()
+    legacy = render.legacy_versions(lookup.result_rows(c, c.shown_variants())).where("version_id = 5").first()
     assert (legacy.attr_paths, legacy.platforms) == ("go,go_1_22", LINUX)
     runs = c.spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, None), (6, None)], "n int, k string")
     assert [r.run for r in lookup.consecutive_groups(runs, [], [F.asc("n")], "k").orderBy("n").collect()] == [0, 0, 1, 2, 3, 3]
