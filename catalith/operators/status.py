@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.sources.catalog import Catalog, small
+from catalith.sources.catalog import Catalog
 
 #: Names of one page of the site map.
 PAGE = 50_000
@@ -64,16 +64,21 @@ def page_start(c: Catalog, page: int, size: int = PAGE) -> DataFrame:
     return ids.orderBy("id").offset((page - 1) * size - 1).limit(1).select(F.col("id").alias("after"))
 
 
-def batches(rows: DataFrame, order: list[str], size: int, out: str = "batch") -> DataFrame:
-    """Adds the number of the batch of ``size`` rows that a row falls into, in a total order.
+def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds the number of each row, from 1, in a total order.
 
-    Ranks come from counts of sorted range pieces, so no task sees all rows.
+    Numbers are a piece's offset plus the place in the piece, pieces being ranges of the order, so no task sees all rows.
     """
     pieces = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_piece", F.spark_partition_id())
     counts = pieces.groupBy("_piece").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
-    placed = pieces.withColumn("_own", own).join(small(counts.select("_piece", "_before")), "_piece")
-    return placed.withColumn(out, F.floor((F.col("_before") + F.col("_own") - 1) / size).cast("int")).drop("_piece", "_own", "_before")
+    placed = pieces.withColumn("_own", own).join(F.broadcast(counts.select("_piece", "_before")), "_piece")  # a row a piece
+    return placed.withColumn(out, (F.col("_before") + F.col("_own")).cast("int")).drop("_piece", "_own", "_before")
+
+
+def batches(rows: DataFrame, order: list[str], size: int, out: str = "batch") -> DataFrame:
+    """Adds the number of the batch of ``size`` rows that a row falls into, in a total order."""
+    return numbered(rows, order, out).withColumn(out, F.floor((F.col(out) - 1) / size).cast("int"))
 
 
 def pending_commits(c: Catalog, releases: DataFrame, limit: int = 4) -> DataFrame:

@@ -177,3 +177,28 @@ def test_responses(c, rows):
     assert (legacy.attr_paths, legacy.platforms) == ("go,go_1_22", LINUX)
     runs = c.spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, None), (6, None)], "n int, k string")
     assert [r.run for r in lookup.consecutive_groups(runs, [], [F.asc("n")], "k").orderBy("n").collect()] == [0, 0, 1, 2, 3, 3]
+
+
+def test_whole_import(c, rows, tmp_path):
+    from catalith.operators.importing import current, imported, publish
+
+    evals = c.raw("stage_keys")
+    contents = evals.select("commit_seq", "system", "name_key", "version", "attr_path", "meta_hash", F.lit("s").alias("store_hash"), F.lit("n").alias("store_name"), F.lit(False).alias("broken"), F.lit(False).alias("insecure"), "content_hash")
+    metas = c.spark.createDataFrame([("M9", "new", "", "", "", []), ("m1", "other", "", "", "", [])], "meta_hash string, summary string, description string, homepage string, license string, platforms array<string>")
+    before = c.raw("commit_systems")
+    c._raw["commit_systems"] = before.where(~((F.col("commit_seq") == 5) & (F.col("system") == LINUX)))
+    publish(imported(c, evals, contents, DAY, metas), str(tmp_path), 1)
+    c._raw["commit_systems"] = before
+    new = current(c.spark, str(tmp_path))
+    assert rows(new.packages("package_id", "name"))[-1:] == [(6, "Fresh")] and new.packages().count() == 6
+    made = {(r.package_id, r.version): r for r in new.versions().where("version_id > 9").collect()}
+    assert set(made) == {(2, "1.23.0"), (6, "1.0")} and made[2, "1.23.0"].semver_minor == 23 and bytes(made[2, "1.23.0"].sort_key) == key(1, 23, 0)
+    got = {r.attr_path: r for r in new.variants().where("commit_seq = 5").collect()}
+    assert set(got) == {"python312", "fresh", "go"} and got["python312"].variant_id == 2 and got["fresh"].meta_id == 2 and got["go"].content_hash == "y"
+    ranges = rows(new.ranges("variant_id", "first_seq", "last_seq"))
+    assert (10, 3, 4) in ranges and (9, 5, None) in ranges and (1, 1, None) in ranges and (3, 1, 3) in ranges and sum(r[1] == 5 for r in ranges) == 3
+    again = imported(new, evals, contents, DAY, metas)
+    for name, df in again.items():
+        assert df.count() == new.raw(name).distinct().count(), name
+    with pytest.raises(ValueError, match="older"):
+        imported(new, evals.withColumn("commit_seq", F.lit(-1)), contents, DAY)
