@@ -202,3 +202,16 @@ def test_whole_import(c, rows, tmp_path):
         assert df.count() == new.raw(name).distinct().count(), name
     with pytest.raises(ValueError, match="older"):
         imported(new, evals.withColumn("commit_seq", F.lit(-1)), contents, DAY)
+
+
+def test_command_line(c, capsys, tmp_path):
+    from catalith.cli import main
+
+    for words, want in ((["resolve", c.base, "go"], '"version":"1.21.0"'), (["counts", c.base], '"n_rows":11'), (["search", c.base, "python"], '"ord":1'), (["backfill-list", c.base, MAC, "--size", "1"], '"batch":1')):
+        main(words)
+        assert want in capsys.readouterr().out, words
+    with pytest.raises(SystemExit):
+        main(["backfill", c.base])
+    main(["import", c.base, "--to", str(tmp_path)])
+    main(["latest", str(tmp_path), "go", "--published"])
+    assert '"wanted":"go"' in capsys.readouterr().out
