@@ -51,7 +51,7 @@ def imported(c: Catalog, evals: DataFrame, contents: DataFrame, moment, metas: D
     wanted = evals.select("name_key", "version").distinct().join(known, "name_key").select("package_id", "version")
     s = V.semver(F.col("version"))
     made = wanted.join(versions.select("package_id", "version"), ["package_id", "version"], "left_anti").withColumn("_s", s)
-    made = made.select("package_id", "version", V.sort_key(F.col("version")).alias("sort_key"), V.is_prerelease(F.col("version")).alias("prerelease"), *(F.col(f"_s.{x}").alias(f"semver_{x}") for x in ("major", "minor", "patch", "pre")))
+    made = made.select("package_id", "version", V.sort_key(F.col("version")).alias("sort_key"), V.is_prerelease(F.col("version")).alias("prerelease"), *(F.col(f"_s.{x}").alias(f"semver_{x}") for x in ("major", "minor", "patch")), F.nullif(F.col("_s.pre"), F.lit("")).alias("semver_pre"))
     versions = _added(versions, made, "version_id", ["package_id", "version"])
     meta = c.meta("meta_id", "meta_hash", "summary", "description", "homepage", "license", "platforms")
     if metas is not None:

@@ -11,7 +11,7 @@ from catalith.functions import version as V
 from catalith.functions.display import ago, byte_size, copy_line, describe_query, escape_html, escape_like, etag, highlight, integer, omit_empty, rfc3339, unix_seconds, url_segment
 from catalith.functions.paths import arch_os, archive_key, canonical_name, parse_archive_name, split_reference, split_store_path, supported, top_level
 from catalith.functions.trigram import similarity
-from catalith.operators import history, lookup, merge, phrase, render, status
+from catalith.operators import history, lookup, merge, phrase, render, seeding, status
 from catalith.operators.decode import decode_packages
 from catalith.operators.nested import shred, subtype_table
 from catalith.sources.catalog import Catalog
@@ -504,6 +504,32 @@ def numbered_commits(c: Catalog) -> DataFrame:
     return merge.numbered_commits(c.commits("seq", "hash", "committed_at"))
 
 
+_SEED = r""", rec AS (SELECT DISTINCT nfc_normalize(lower(split_part(version_key, chr(9), 1))) AS nk, split_part(version_key, chr(9), 1) AS name,
+  substr(version_key, strpos(version_key, chr(9)) + 1) AS version, system, attr_path, regexp_replace(lower(meta_hash), '^\s+|\s+$', '', 'g') AS mh,
+  regexp_replace(lower(commit_hash), '^\s+|\s+$', '', 'g') AS ch, regexp_replace(lower(content_hash), '^\s+|\s+$', '', 'g') AS hh, store_hash, store_name
+  FROM variant_rows WHERE strpos(version_key, chr(9)) > 1 AND substr(version_key, strpos(version_key, chr(9)) + 1) <> ''),
+tl AS (SELECT lower(hash) AS h, row_number() OVER (ORDER BY committed_at, hash)::int AS seq FROM (SELECT DISTINCT hash, committed_at FROM co))
+"""
+
+
+@query(_SEED + """SELECT label, n AS got, n AS want FROM (
+  SELECT 'packages' AS label, count(DISTINCT nk) AS n FROM rec UNION ALL SELECT 'versions', count(*) FROM (SELECT DISTINCT nk, version FROM rec)
+  UNION ALL SELECT 'variants', count(*) FROM (SELECT DISTINCT nk, version, system, attr_path FROM rec)
+  UNION ALL SELECT 'variant_ranges', count(*) FROM (SELECT DISTINCT nk, version, system, attr_path FROM rec JOIN tl ON h = ch))""")
+def seed_counts(c: Catalog) -> DataFrame:
+    records = seeding.seed_records(c.raw("variant_rows"))
+    return seeding.seed_report(records, seeding.seeded(records, c.commits("seq", "hash", "committed_at")))
+
+
+@query(_SEED + """, b AS (SELECT nk, name FROM (SELECT nk, name, count(*) AS n FROM rec GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY nk ORDER BY n DESC, name) = 1),
+one AS (SELECT rec.*, seq FROM rec LEFT JOIN tl ON h = ch QUALIFY row_number() OVER (PARTITION BY nk, version, system, attr_path ORDER BY seq DESC NULLS LAST, hh DESC NULLS LAST, rec.name) = 1)
+SELECT b.name, version, system, attr_path, seq AS commit_seq, hh AS content_hash FROM one JOIN b USING (nk)""")
+def seeded_variants(c: Catalog) -> DataFrame:
+    t = seeding.seeded(seeding.seed_records(c.raw("variant_rows")), c.commits("seq", "hash", "committed_at"))
+    versions = t["versions"].select(F.col("id").alias("version_id"), "package_id", "version").join(t["packages"].withColumnRenamed("id", "package_id"), "package_id")
+    return t["variants"].join(versions, "version_id").select("name", "version", "system", "attr_path", "commit_seq", "content_hash")
+
+
 # ---------------------------------------------------------------- bookkeeping
 
 

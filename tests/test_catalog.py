@@ -215,3 +215,22 @@ def test_command_line(c, capsys, tmp_path):
     main(["import", c.base, "--to", str(tmp_path)])
     main(["latest", str(tmp_path), "go", "--published"])
     assert '"wanted":"go"' in capsys.readouterr().out
+
+
+def test_seed(spark, rows):
+    from catalith.operators.seeding import seed_records, seed_report, seeded
+
+    data = [
+        ("Go\t1.0", LINUX, "go", "m", "AA ", "s", "n", "h1"), ("GO\t1.0", LINUX, "go", "m", "bb", "s", "n", "h2"), ("Go\t1.1-rc1", MAC, "go", None, "zz", "s", "n", None),
+        ("Go\t1.0", LINUX, "go_1", "m", None, "s", "n", "h"), ("none", LINUX, "x", "m", "aa", "s", "n", "h"), (None, LINUX, "x", "m", "aa", "s", "n", "h"), ("a\t", LINUX, "x", "m", "aa", "s", "n", "h"),
+    ]
+    schema = "version_key string, system string, attr_path string, meta_hash string, commit_hash string, store_hash string, store_name string, content_hash string"
+    commits = spark.createDataFrame([("bb", DAY + datetime.timedelta(days=1)), ("aa", DAY)], "hash string, committed_at timestamp_ntz")
+    records = seed_records(spark.createDataFrame(data + data[:2], schema))
+    t = seeded(records, commits)
+    assert rows(t["packages"]) == [(1, "Go")] and rows(t["versions"].select("version", "prerelease", "semver_major", "semver_pre")) == [("1.0", False, None, None), ("1.1-rc1", True, None, None)]
+    assert rows(t["variants"].select("attr_path", "system", "commit_seq", "content_hash")) == sorted([("go", LINUX, 2, "h2"), ("go_1", LINUX, None, "h"), ("go", MAC, None, None)], key=str)
+    assert t["variant_ranges"].count() == 1 and t["search_terms"].count() == 2
+    assert {(r.label, r.got == r.want) for r in seed_report(records, t).collect()} == {(k, True) for k in ("packages", "versions", "variants", "variant_ranges")}
+    empty = seeded(records.limit(0), commits)
+    assert [empty[k].count() for k in ("packages", "versions", "variants", "variant_ranges")] == [0, 0, 0, 0]
