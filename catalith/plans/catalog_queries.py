@@ -13,7 +13,7 @@ from catalith.functions.paths import arch_os, archive_key, canonical_name, parse
 from catalith.functions.trigram import similarity
 from catalith.operators import history, lookup, merge, phrase, render, seeding, status
 from catalith.operators.decode import decode_packages
-from catalith.operators.nested import shred, subtype_table
+from catalith.operators.nested import shred
 from catalith.sources.catalog import Catalog
 
 BASE = """
@@ -673,7 +673,8 @@ def listing_by_name(c: Catalog) -> DataFrame:
 @query()
 def outputs_summaries(c: Catalog) -> DataFrame:
     flat = shred(c.raw("raw_records").where(F.col("shape") == "latest"))
-    outputs = subtype_table(flat, "outputs_array").select("raw_id", F.col("item").alias("name"), "is_default")
+    both = flat.where(F.col("table").isin("outputs_array", "outputs_single"))  # a single output is an array of one
+    outputs = both.select("raw_id", F.col("item").alias("name"), "is_default").distinct()
     systems = c.raw("raw_records").select("raw_id", "system").distinct()
     return render.outputs_summary(outputs.join(systems, "raw_id"), ["raw_id"])
 

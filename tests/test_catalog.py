@@ -234,3 +234,19 @@ def test_seed(spark, rows):
     assert {(r.label, r.got == r.want) for r in seed_report(records, t).collect()} == {(k, True) for k in ("packages", "versions", "variants", "variant_ranges")}
     empty = seeded(records.limit(0), commits)
     assert [empty[k].count() for k in ("packages", "versions", "variants", "variant_ranges")] == [0, 0, 0, 0]
+
+
+def raw_records(spark, base, data):
+    """A folder with the records and a copy of each."""
+    spark.createDataFrame([*data, *data], "raw_id long, shape string, system string, payload string").coalesce(1).write.parquet(f"{base}/raw_records.parquet")
+    return str(base)
+
+
+def test_outputs_of_one_object(spark, rows, tmp_path):
+    from catalith.plans.catalog_queries import QUERIES
+
+    data = [
+        (1, "latest", LINUX, '{"outputs": {"name": "out", "default": true}}'), (2, "latest", MAC, '{"outputs": {"name": "dev", "path": "p"}}'), (3, "latest", LINUX, '{"outputs": {"path": "p"}}'),
+        (4, "latest", LINUX, '{"outputs": [{"name": "out", "default": true}, {"name": "doc"}]}'), (5, "eval", LINUX, '{"a": {"outputs": {"name": "out"}}}'),
+    ]
+    assert rows(QUERIES["outputs_summaries"](spark, raw_records(spark, tmp_path, data))) == [(1, ""), (2, "dev (macOS only)"), (4, "out (Linux only), doc (Linux only)")]
