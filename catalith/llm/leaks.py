@@ -70,7 +70,7 @@ def _unescape(m: re.Match) -> str:
 def _unquote(m: re.Match) -> str:
     data = bytes.fromhex(m[0].replace("%", ""))
     try:
-        return data.decode()
+        return data.decode().replace(_SEP, " ")  # the separators are placed by now
     except UnicodeDecodeError:
         return m[0]
 

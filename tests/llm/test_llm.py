@@ -147,3 +147,14 @@ def test_words_as_a_reader_sees_them():
         assert leaks.reader_words([text]) == words, text
     assert leaks.reader_words(["a", None, "b\x1ec \\u001e d"]) == [b"a", b"\x1e", b"\x1e", b"b", b"c", b"d"]
     assert leaks.reader_words(["Café"]) == leaks.reader_words(["CAFÉ"])
+
+
+def test_percent_escapes_name_no_separator(spark, rows):
+    passage = "each path with a static link starts near owner plugin before the cold mirror hides"
+    for text in ("b %1E d", "b%1ed", "b?%20%1E&d", "b &#30; %c3%a9%1E d"):
+        assert b"\x1e" not in b"".join(leaks.reader_words([text])) and leaks.reader_words(["a", text, "e"]).count(b"\x1e") == 2, text
+    assert leaks.reader_words(["a", "b%1Ed %25", "e"]) == [b"a", b"\x1e", b"b", b"d", b"\x1e", b"e"]
+    docs = [(1, "?q=%1E&x"), (2, passage), (3, passage.replace(" link ", " %1E link ")), (4, "none of it ?q=%1e&x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    held = spark.createDataFrame([(6, "nothing like it ?p=%1E&y"), (7, passage)], "item_id long, text string")
+    assert rows(leaks.find_leaks(df, held)) == [(2, 7), (3, 7)]
