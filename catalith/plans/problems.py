@@ -86,7 +86,7 @@ def variant_row_orphans(spark: SparkSession, base: str) -> DataFrame:
     meta = table(spark, base, "meta").select(hashed("hash").alias("key"))
     packages = table(spark, base, "packages").select(F.col("id").alias("package_id"), name_key(F.col("name")).alias("_name")).distinct()
     versions = table(spark, base, "versions").select("package_id", "version").distinct().join(packages, "package_id")
-    versions = versions.select(F.concat_ws("\t", "_name", "version").alias("key"))
+    versions = versions.select(F.concat("_name", F.lit("\t"), "version").alias("key"))  # null, thus no parent, if either is
     name, version = F.substring_index("version_key", "\t", 1), F.expr("substring(version_key, instr(version_key, '\t') + 1)")
     keys = rows.select("version_key").where(F.col("version_key") != "").distinct()
     keyed = F.when(F.instr("version_key", "\t") > 0, F.concat(name_key(name), F.lit("\t"), version)).otherwise(F.col("version_key"))

@@ -146,3 +146,20 @@ def test_automaton_and_deep_parser():
                 json.loads(bad)
             except ValueError:
                 assert isinstance(_parse_deep(bad), object) and _parse_deep(bad) is parse("{")
+
+
+def test_null_names_and_versions_are_no_parents(spark, rows, tmp_path):
+    from catalith.plans import problems
+
+    tables = {
+        "packages": ("id int, name string", [(1, "Solid"), (2, None)]),
+        "versions": ("package_id int, version string", [(1, None), (1, "1.0"), (2, "2.0"), (1, "")]),
+        "commits": ("hash string, imported_at timestamp_ntz", [("c", DAY)]),
+        "meta": ("hash string", [("m",)]),
+        "variant_rows": ("row_id long, version_key string, meta_hash string, commit_hash string, loaded_at timestamp_ntz", [(n, k, "m", "c", DAY) for n, k in enumerate(["solid", "2.0", "SOLID\t1.0", "Solid\t", "\t2.0", "Solid", "solid\t2.0"])]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame([*data, *data[:1]], schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = [(n, "versions", "2024-01", "missing") for n in (0, 1, 4, 5, 6)]
+    assert rows(problems.p3_found(spark, str(tmp_path))) == want
+    assert rows(problems.p3_counts(spark, str(tmp_path))) == [("versions", "2024-01", "missing", 5)]
