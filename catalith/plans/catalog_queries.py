@@ -681,7 +681,7 @@ def outputs_summaries(c: Catalog) -> DataFrame:
 
 @query()
 def decoded_packages(c: Catalog) -> DataFrame:
-    rows = decode_packages(c.raw("raw_records")).dropDuplicates(["raw_id", "attr_path"])
+    rows = decode_packages(c.raw("raw_records").select("raw_id", "shape", "payload").distinct())  # copies of a record, not paths that clean alike
     return rows.withColumn("platforms", pipe("platforms")).withColumn("outputs", F.to_json("outputs"))
 
 

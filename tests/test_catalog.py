@@ -250,3 +250,11 @@ def test_outputs_of_one_object(spark, rows, tmp_path):
         (4, "latest", LINUX, '{"outputs": [{"name": "out", "default": true}, {"name": "doc"}]}'), (5, "eval", LINUX, '{"a": {"outputs": {"name": "out"}}}'),
     ]
     assert rows(QUERIES["outputs_summaries"](spark, raw_records(spark, tmp_path, data))) == [(1, ""), (2, "dev (macOS only)"), (4, "out (Linux only), doc (Linux only)")]
+
+
+def test_decoded_paths_that_clean_alike(spark, rows, tmp_path):
+    from catalith.plans.catalog_queries import QUERIES
+
+    data = [(1, "eval", LINUX, '{"caf\u00e9": {"version": "1", "outputs": {}}, "cafe\u0301": {"version": "2", "outputs": {}}, " b ": {"version": "3", "outputs": {}}, "b": {"version": "3", "outputs": {}}}'), (2, "eval", LINUX, '{"b": {"outputs": {}}}')]
+    got = QUERIES["decoded_packages"](spark, raw_records(spark, tmp_path, data))
+    assert rows(got.select("raw_id", "attr_path", "version")) == [(1, "b", "3"), (1, "b", "3"), (1, "cafe\u0301", "1"), (1, "cafe\u0301", "2"), (2, "b", "")]
