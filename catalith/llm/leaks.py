@@ -19,6 +19,8 @@ RUN, SHARE, STRETCH = 12, (3, 5), (3, 2)
 ITEM_BLOCK = 2_000
 #: Characters of a corpus batch that are worked on at a time.
 CHUNK = 400_000
+#: Cells of a slice's arrays (bands by words, grams or items).
+CELLS = 8_000_000
 
 # ---------------------------------------------------------------- words as a reader sees them
 
@@ -238,27 +240,41 @@ def _stretches_shared(ids, begin, end, items: Items, known: set) -> set[tuple[in
         doc = np.repeat(np.arange(len(begin)), per_doc)
         start = begin[doc] + (np.arange(total) - first[doc]) * stride
         block = first[owner] + offset // stride
-        counts = np.bincount(block * items.size + words, minlength=total * items.size).astype(np.int16 if stride * blocks < 32_000 else np.int32).reshape(total, items.size)
-        left = first[doc + 1] - np.arange(total)  # blocks of the document from here on
-        held = counts.copy()
-        for j in range(1, min(blocks, total)):
-            held[:-j] += counts[j:] * (left[:-j, None] > j)
-        enough = np.flatnonzero(held.sum(axis=1, dtype=np.int32) >= items.needed[a])
-        if not len(enough):
-            continue
-        held = held[enough]
-        shared = np.concatenate([held[:, w] >= m for w, m in grams], axis=1).astype(np.float32) @ own
-        band, item = np.nonzero(shared >= items.needed[a:b])
-        if not len(band):
-            continue
-        band, item = enough[band], item + a
-        fresh = np.array([(d, k) not in known for d, k in zip(doc[band].tolist(), item.tolist())], bool)
-        band, item = band[fresh], item[fresh]
-        if len(band):
-            out |= _aligned(real, doc, start[band], np.minimum(start[band] + blocks * stride, end[doc[band]]), end[doc[band]], band, item, stride, items)
+        ends = first[doc + 1]
+        step = max(blocks, CELLS // max(items.size, len(own), b - a))
+        for low in range(0, total, step):
+            band, item = _bands_shared(words, block, low, min(low + step, total), ends, (a, b, stride, blocks, grams, own), items)
+            if not len(band):
+                continue
+            fresh = np.array([(d, k) not in known for d, k in zip(doc[band].tolist(), item.tolist())], bool)
+            band, item = band[fresh], item[fresh]
+            if len(band):
+                out |= _aligned(real, doc, start[band], np.minimum(start[band] + blocks * stride, end[doc[band]]), end[doc[band]], band, item, stride, items)
     return out
 
 
+def _bands_shared(words, block, low, high, ends, of_class, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(band, item) of the bands ``low`` to ``high`` that share enough grams; the blocks that the last ones reach into are counted too."""
+    a, b, stride, blocks, grams, own = of_class
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    beyond = min(high + blocks - 1, len(ends))
+    part = slice(*np.searchsorted(block, [low, beyond]))
+    counts = np.bincount((block[part] - low) * items.size + words[part], minlength=(beyond - low) * items.size)
+    counts = counts.astype(np.int16 if stride * blocks < 32_000 else np.int32).reshape(beyond - low, items.size)
+    left = ends[low:high] - np.arange(low, high)  # blocks of the document from here on
+    held = counts[: high - low].copy()
+    for j in range(1, min(blocks, beyond - low)):
+        n = min(high - low, beyond - low - j)
+        held[:n] += counts[j : j + n] * (left[:n, None] > j)
+    enough = np.flatnonzero(held.sum(axis=1, dtype=np.int32) >= items.needed[a])
+    if not len(enough):
+        return none
+    held = held[enough]
+    shared = np.concatenate([held[:, w] >= m for w, m in grams], axis=1).astype(np.float32) @ own
+    band, item = np.nonzero(shared >= items.needed[a:b])
+    return enough[band] + low, item + a
+
+
 def _common(real, start, stop, item, items: Items) -> np.ndarray:
     """Longest common subsequence of each word stretch and its item, all bit vectors advancing together."""
     full = items.sizes[item]

@@ -158,3 +158,32 @@ def test_percent_escapes_name_no_separator(spark, rows):
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     held = spark.createDataFrame([(6, "nothing like it ?p=%1E&y"), (7, passage)], "item_id long, text string")
     assert rows(leaks.find_leaks(df, held)) == [(2, 7), (3, 7)]
+
+
+def test_leaks_of_long_texts_in_slices(monkeypatch):
+    rng = random.Random(7)
+    vocabulary = [f"w{n}" for n in range(40)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 9, 30, 75]))] for _ in range(12)]
+    docs = [[rng.choice(vocabulary + ["other"] * 60) for _ in range(rng.randrange(150))] for _ in range(30)]
+    for d in docs[::2]:
+        at = rng.randrange(len(d) + 1)
+        d[at:at] = [x for w in rng.choice(items) if rng.random() < 0.8 for x in [w, "y"][: 1 + (rng.random() < 0.3)]]
+    texts, held = [" ".join(d) for d in docs], leaks.Items([(n, " ".join(w)) for n, w in enumerate(items)])
+    want = sorted((k, int(n)) for k, d in enumerate(docs) for n, w in enumerate(items) if carries(d, w))
+    for cells in (1, 500, 1000, leaks.CELLS):
+        monkeypatch.setattr(leaks, "CELLS", cells)
+        assert sorted((k, int(held.ids[n])) for k, n in leaks.leaks_of(texts, held)) == want and len(want) > 10, cells
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    words = [f"w{n}" for n in range(2000)]
+    held = leaks.Items([(n, " ".join(words[n : n + 8])) for n in range(0, 2000, 8)])
+    text = "other " * 40_000 + " ".join(words[80:88]) + " other" * 40_000
+    tracemalloc.start()
+    try:
+        assert [int(held.ids[n]) for _, n in leaks.leaks_of([text], held)] == [80]
+        assert tracemalloc.get_traced_memory()[1] < 160e6
+    finally:
+        tracemalloc.stop()
