@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.names import PHRASE_ALIASES
 from catalith.functions.trigram import ALIKE, similarity_of, trigrams, trigrams_of
 from catalith.operators.lookup import first_per_key, latest_versions, newest_releases, release_order, result_rows
-from catalith.sources.catalog import Catalog
+from catalith.sources.catalog import Catalog, small
 
 #: Packages that a phrase finds at most, and rows when all their versions are listed.
 HITS, ROWS = 50, 1000
 
 
-def _scored(terms: DataFrame, phrase: str, aliases: list[str]) -> DataFrame:
-    """``(package_id, name, rank)`` of the terms that match by prefix, alias or likeness.
+def _scored(terms: DataFrame, low: Column, own: Column, aliases: Column, *more: str) -> DataFrame:
+    """``(*more, package_id, name, rank)`` of the terms that match a phrase (``low`` in lower case, ``own`` trigrams) by prefix, alias or likeness.
 
     Trigrams, then similarities, then the rank, each in a projection of its own, so that nothing is computed twice.
     """
-    own = F.array(*(F.lit(t) for t in trigrams_of(phrase))).cast("array<string>")
     same = F.col("name") == F.col("attr_path")
-    grams = terms.select("package_id", "name", "top_level_attr", F.lower("name").alias("_n"), F.lower("attr_path").alias("_p"), trigrams(F.col("name")).alias("_gn"), F.when(~same, trigrams(F.col("attr_path"))).alias("_gp"))
-    by_path = F.when(F.col("_gp").isNotNull(), similarity_of(F.col("_gp"), own))
-    alike = grams.select("package_id", "name", "top_level_attr", "_n", "_p", similarity_of(F.col("_gn"), own).alias("_sn"), by_path.alias("_sp"))
+    kept = [*more, "package_id", "name", "top_level_attr", "_low", "_own", "_aliases"]
+    terms = terms.withColumns({"_low": low, "_own": own, "_aliases": aliases})
+    grams = terms.select(*kept, F.lower("name").alias("_n"), F.lower("attr_path").alias("_p"), trigrams(F.col("name")).alias("_gn"), F.when(~same, trigrams(F.col("attr_path"))).alias("_gp"))
+    by_path = F.when(F.col("_gp").isNotNull(), similarity_of(F.col("_gp"), F.col("_own")))
+    alike = grams.select(*kept, "_n", "_p", similarity_of(F.col("_gn"), F.col("_own")).alias("_sn"), by_path.alias("_sp"))
     alike = alike.withColumn("_s", F.greatest("_sn", "_sp"))
-    name, path, low = F.col("_n"), F.col("_p"), phrase.lower()
-    alias = name.isin(aliases) | path.isin(aliases) if aliases else F.lit(False)
+    name, path, low = F.col("_n"), F.col("_p"), F.col("_low")
+    alias = F.array_contains("_aliases", name) | F.array_contains("_aliases", path)
     tier = F.when(alias, 2000).when(name == low, 1000).when(path == low, 900).when(name.startswith(low), 800).when(path.startswith(low), 700).otherwise(0)
-    ranked = alike.select("package_id", "name", "_s", tier.alias("_tier"), F.when(F.col("top_level_attr").isNotNull(), 25).otherwise(0).alias("_top"))
-    return ranked.where((F.col("_tier") > 0) | (F.col("_s") >= ALIKE)).select("package_id", "name", (F.col("_tier") + 100 * F.col("_s") + F.col("_top")).alias("rank"))
+    ranked = alike.select(*more, "package_id", "name", "_s", tier.alias("_tier"), F.when(F.col("top_level_attr").isNotNull(), 25).otherwise(0).alias("_top"))
+    return ranked.where((F.col("_tier") > 0) | (F.col("_s") >= ALIKE)).select(*more, "package_id", "name", (F.col("_tier") + 100 * F.col("_s") + F.col("_top")).alias("rank"))
 
 
 def rank_phrase(c: Catalog, phrase: str, hits: int = HITS, aliases: dict[str, list[str]] = PHRASE_ALIASES) -> DataFrame:
@@ -40,13 +41,43 @@ def rank_phrase(c: Catalog, phrase: str, hits: int = HITS, aliases: dict[str, li
     ``hits`` packages match by prefix. One scan of the terms scores both tiers, as the lower tier never reaches the upper's scores.
     """
     known = [a.lower() for a in aliases.get(phrase.lower(), [])] if any(ch.isalnum() for ch in phrase) else []
-    scored = _scored(c.search_terms, phrase, known)
+    texts = lambda values: F.array(*(F.lit(t) for t in values)).cast("array<string>")
+    scored = _scored(c.search_terms, F.lit(phrase.lower()), texts(trigrams_of(phrase)), texts(known))
     best = scored.groupBy("package_id", "name").agg(F.max("rank").alias("rank"))
     top = best.orderBy(F.desc("rank"), "name", "package_id").limit(hits)
     ordered = top.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("rank"), "name", "package_id"))).alias("a"))  # at most ``hits`` rows
     return ordered.select(F.posexplode("a").alias("ord", "h")).select((F.col("ord") + 1).alias("ord"), "h.package_id", "h.name", (-F.col("h.rank")).alias("rank"))
 
 
+def rank_phrases(c: Catalog, phrases: DataFrame, hits: int = HITS, aliases: dict[str, list[str]] = PHRASE_ALIASES) -> DataFrame:
+    """``(phrase, ord, package_id, name, rank)`` of ``phrases (phrase)``: what ``rank_phrase`` gives for each, all at once.
+
+    Phrases meet the distinct names and paths by trigram postings, by each prefix and by alias, so that only what may match is
+    scored. Copies of a phrase are one; null phrases find nothing.
+    """
+    asked = phrases.select("phrase").where(F.col("phrase").isNotNull()).distinct().withColumns({"_low": F.lower("phrase"), "_own": trigrams(F.col("phrase"))})
+    listed = [(k, [a.lower() for a in v]) for k, v in aliases.items()]
+    known = F.create_map(*(x for k, v in listed for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))[F.col("_low")] if listed else F.lit(None)
+    none = F.array().cast("array<string>")
+    asked = asked.withColumn("_aliases", F.coalesce(F.when(F.col("phrase").rlike(r"[\p{L}\p{N}]"), known), none))
+    terms = c.search_terms.withColumn("_t", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("name"), F.lower("attr_path"))))))
+    # All postings of a text are in one of many small tasks, so that what it shares with the phrases is counted without a shuffle of the pairs.
+    texts = terms.select("_t").distinct().repartition(8 * int(c.spark.conf.get("spark.sql.shuffle.partitions")), "_t")
+    postings = texts.withColumn("_g", trigrams(F.col("_t"))).select("_t", F.size("_g").alias("_n"), F.explode("_g").alias("_gram"))
+    own = small(asked.select("phrase", F.size("_own").alias("_m"), F.explode("_own").alias("_gram")))
+    shared = postings.join(own, "_gram").groupBy("phrase", "_m", "_t", "_n").agg(F.count(F.lit(1)).alias("_k"))
+    alike = shared.where(F.col("_k") / (F.col("_m") + F.col("_n") - F.col("_k")) >= ALIKE).select("phrase", "_t")
+    prefix = F.transform(F.sequence(F.lit(0), F.length("_t")), lambda i: F.substring(F.col("_t"), F.lit(1), i))
+    begun = texts.select("_t", F.explode(prefix).alias("_low")).join(asked.select("phrase", "_low"), "_low").select("phrase", "_t")
+    named = asked.select("phrase", F.explode("_aliases").alias("_t"))
+    pairs = alike.unionByName(begun).unionByName(named).distinct()
+    found = pairs.join(terms, "_t").drop("_t").distinct().join(asked, "phrase")
+    scored = _scored(found, F.col("_low"), F.col("_own"), F.col("_aliases"), "phrase")
+    best = scored.groupBy("phrase", "package_id", "name").agg(F.max("rank").alias("rank"))
+    w = Window.partitionBy("phrase").orderBy(F.desc("rank"), "name", "package_id")
+    return best.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= hits).select("phrase", "ord", "package_id", "name", "rank")
+
+
 def search_phrase(c: Catalog, phrase: str, latest_only: bool = True, releases: int | str | None = None) -> DataFrame:
     """Rows of the packages a phrase finds, in their order: one at its latest version each, or one for each version.
 

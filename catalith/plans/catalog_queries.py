@@ -285,6 +285,13 @@ def phrase_ranking_alias(c: Catalog) -> DataFrame:
     return phrase.rank_phrase(c, "oldbird", aliases={"oldbird": ["vessimur"]}).withColumn("rank", F.round("rank", 6))
 
 
+@query()
+def phrase_rankings(c: Catalog) -> DataFrame:
+    """The ranking of many phrases at once: the name of each package whose id is divisible by 20."""
+    asked = c.packages("package_id", "name").where(F.col("package_id") % 20 == 0)
+    return phrase.rank_phrases(c, asked.select(F.col("name").alias("phrase"))).withColumn("rank", F.round("rank", 6))
+
+
 @query(_ranked("ocavel") + _latest("package_id") + f""", chosen AS (SELECT ord, version_id FROM ranked JOIN hits USING (package_id) WHERE place = 1)
 SELECT ord, {_ROW} FROM {_WIDE} JOIN chosen USING (version_id) QUALIFY row_number() OVER (PARTITION BY ord ORDER BY va.system, attr_path) = 1""")
 def phrase_search_latest(c: Catalog) -> DataFrame:

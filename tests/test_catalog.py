@@ -258,3 +258,12 @@ def test_decoded_paths_that_clean_alike(spark, rows, tmp_path):
     data = [(1, "eval", LINUX, '{"caf\u00e9": {"version": "1", "outputs": {}}, "cafe\u0301": {"version": "2", "outputs": {}}, " b ": {"version": "3", "outputs": {}}, "b": {"version": "3", "outputs": {}}}'), (2, "eval", LINUX, '{"b": {"outputs": {}}}')]
     got = QUERIES["decoded_packages"](spark, raw_records(spark, tmp_path, data))
     assert rows(got.select("raw_id", "attr_path", "version")) == [(1, "b", "3"), (1, "b", "3"), (1, "cafe\u0301", "1"), (1, "cafe\u0301", "2"), (2, "b", "")]
+
+
+def test_many_phrases(c):
+    phrases = ["python", "go", "GO", "golang", "-", "py", "task", "set.python", "python312", "nothing", ""]
+    df = c.spark.createDataFrame([(p,) for p in [*phrases, "go", None]], "phrase string")
+    for hits in (50, 2):
+        want = sorted((p, r.ord, r.package_id, r.name, r.rank) for p in phrases for r in phrase.rank_phrase(c, p, hits=hits).collect())
+        assert sorted(tuple(r) for r in phrase.rank_phrases(c, df, hits).collect()) == want and len(want) > 12
+    assert phrase.rank_phrases(c, df.limit(0)).count() == 0
