@@ -267,3 +267,13 @@ def test_many_phrases(c):
         want = sorted((p, r.ord, r.package_id, r.name, r.rank) for p in phrases for r in phrase.rank_phrase(c, p, hits=hits).collect())
         assert sorted(tuple(r) for r in phrase.rank_phrases(c, df, hits).collect()) == want and len(want) > 12
     assert phrase.rank_phrases(c, df.limit(0)).count() == 0
+
+
+def test_pending_commits_of_a_whole_listing(spark, tmp_path):
+    import hashlib
+
+    hashes = [hashlib.sha1(b"%d" % n).hexdigest() for n in range(40)]
+    spark.createDataFrame([(n, h, DAY, DAY) for n, h in enumerate(hashes[:30])], SCHEMAS["commits"]).coalesce(1).write.parquet(f"{tmp_path}/commits.parquet")
+    listed = spark.createDataFrame([(h[: 8 + n % 4], n * 10) for n, h in enumerate(hashes)] + [("f" * 9, 5)], "short_hash string, number int")
+    got = [r.number for r in status.pending_commits(Catalog(spark, str(tmp_path)), listed, 20).collect()]
+    assert got == [n * 10 for n in range(30, 40)]
