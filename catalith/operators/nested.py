@@ -162,11 +162,11 @@ FLAT = pa.schema(
     ]
 )
 
-#: Table of a child by its field and the state of its value; what isn't here has no items.
+#: Table of a child by its field and the state of its value; what isn't here has no items. ``eval`` keeps platforms in ``meta``, ``latest`` at the top.
 ROUTES = {
     "outputs": {OBJECT: "outputs_object", NAMED: "outputs_object"},
     "latest_outputs": {NAMED: "outputs_single", OBJECTS: "outputs_array", MIXED: "outputs_array"},
-    "platforms": {TEXT: "platforms_single", TEXTS: "platforms_array", NESTED: "platforms_nested", MIXED: "platforms_nested"},
+    **{f: {TEXT: "platforms_single", TEXTS: "platforms_array", NESTED: "platforms_nested", MIXED: "platforms_nested"} for f in ("platforms", "latest_platforms")},
     "meta_version": {TEXT: "meta_version_single", TEXTS: "meta_version_array", NESTED: "meta_version_array", MIXED: "meta_version_array"},
 }
 CHILD_TABLES = {t: f.removeprefix("latest_") for f, routes in ROUTES.items() for t in routes.values()}
@@ -178,7 +178,7 @@ def _entries(shape: str, doc) -> Iterator[tuple[str | None, dict, dict[str, obje
         return
     if shape == "latest":
         path = doc.get("attr_path")
-        children = {"latest_outputs": doc.get("outputs"), "meta_version": doc.get("meta_version")}
+        children = {"latest_outputs": doc.get("outputs"), "latest_platforms": doc.get("platforms"), "meta_version": doc.get("meta_version")}
         yield path if isinstance(path, str) else None, doc, children
     elif shape == "eval":
         wrapped = _ATOMS.get(type(doc.get("version"))) == NUMBER and isinstance(doc.get("packages"), dict)
@@ -204,7 +204,7 @@ def shred_record(raw_id: int | None, shape: str | None, payload: str | None) ->
             elif field == "latest_outputs":
                 items = ((d, v["name"], v.get("path"), v.get("default")) for d, v in _leaves(value) if isinstance(v, dict) and isinstance(v.get("name"), str))
             else:
-                items = ((d, v.strip() if field == "platforms" else v, None, None) for d, v in _leaves(value) if isinstance(v, str))
+                items = ((d, v.strip() if field.endswith("platforms") else v, None, None) for d, v in _leaves(value) if isinstance(v, str))
             for k, (depth, item, detail, default) in enumerate(items):
                 if item:
                     yield table, raw_id, path, states[field], k, depth, item, detail if isinstance(detail, str) else None, default if isinstance(default, bool) else None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalith.functions.names import blank_trimmed, name_key
 from catalith.operators.dense import dense_sums
 from catalith.operators.intervals import OPEN_END, continuous_periods
-from catalith.operators.nested import child_items, shred, subtype_table
+from catalith.operators.nested import CHILD_TABLES, child_items, shred, subtype_table
 from catalith.operators.references import Reference, orphan_counts, orphan_references
 from catalith.operators.snapshots import imported_only, snapshot_changes
 from catalith.sources.tables import table
@@ -222,6 +222,70 @@ def p6_packages(spark: SparkSession, base: str) -> DataFrame:
     return subtype_table(shred(table(spark, base, "raw_records")), "packages")
 
 
+def _p6_subtype(name: str):
+    return lambda spark, base: subtype_table(shred(table(spark, base, "raw_records")), name)
+
+
+#: Texts that are JSON strings of JSON are unwrapped; each package's children are walked leaf by leaf, arrays being left behind.
+_P6_LEAVES = r"""
+WITH RECURSIVE texts AS (
+  SELECT DISTINCT raw_id, shape, payload AS j FROM raw_records
+  UNION ALL SELECT raw_id, shape, j::json ->> '$' FROM texts WHERE CASE WHEN json_valid(j) THEN json_type(j) = 'VARCHAR' ELSE false END),
+docs AS (SELECT raw_id, shape, j::json AS j FROM texts WHERE CASE WHEN json_valid(j) THEN json_type(j) = 'OBJECT' ELSE false END),
+evals AS (
+  SELECT raw_id, CASE WHEN json_type(j, '$.version') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(j, '$.packages') = 'OBJECT' THEN j -> '$.packages' ELSE j END AS j
+  FROM docs WHERE shape = 'eval'),
+entries AS (SELECT raw_id, unnest(json_keys(j)) AS attr_path, unnest(json_extract(j, '$.*')) AS p FROM evals),
+packages_ AS (
+  SELECT raw_id, 'eval' AS shape, attr_path, p, p -> '$.outputs' AS outputs, CASE WHEN json_type(p, '$.meta') = 'OBJECT' THEN p -> '$.meta.platforms' END AS platforms, NULL::json AS meta_version
+  FROM entries WHERE json_type(p) = 'OBJECT' AND json_type(p, '$.outputs') = 'OBJECT'
+  UNION ALL SELECT raw_id, 'latest', CASE WHEN json_type(j, '$.attr_path') = 'VARCHAR' THEN j ->> '$.attr_path' END, j, j -> '$.outputs', j -> '$.platforms', j -> '$.meta_version'
+  FROM docs WHERE shape = 'latest'),
+numbered AS (SELECT *, row_number() OVER () AS package FROM packages_),
+children AS (
+  SELECT package, 'outputs' AS child, outputs AS j FROM numbered UNION ALL SELECT package, 'platforms', platforms FROM numbered
+  UNION ALL SELECT package, 'meta_version', meta_version FROM numbered WHERE shape = 'latest'),
+walk AS (
+  SELECT package, child, []::int[] AS place, coalesce(j, 'null'::json) AS j FROM children
+  UNION ALL SELECT package, child, list_append(place, k::int), j -> ('$[' || k || ']')
+  FROM (SELECT *, unnest(range(json_array_length(j)::bigint)) AS k FROM walk WHERE json_type(j) = 'ARRAY')),
+kinds AS (
+  SELECT *, json_type(j) AS t, CASE WHEN json_type(j) = 'OBJECT' THEN coalesce(json_type(j, '$.name') = 'VARCHAR', false) ELSE false END AS named FROM walk),
+states AS (
+  SELECT package, child, CASE
+    WHEN bool_or(t = 'OBJECT' AND len(place) = 0) THEN CASE WHEN bool_or(named) THEN 'named' ELSE 'object' END
+    WHEN bool_or(t = 'VARCHAR' AND len(place) = 0) THEN 'text' WHEN bool_or(t = 'NULL' AND len(place) = 0) THEN 'null' WHEN bool_or(t = 'BOOLEAN' AND len(place) = 0) THEN 'flag'
+    WHEN bool_or(t <> 'ARRAY' AND len(place) = 0) THEN 'number' WHEN count(*) = 1 THEN 'empty'
+    WHEN bool_and(t = 'VARCHAR') FILTER (len(place) = 1) THEN 'texts' WHEN bool_and(named) FILTER (len(place) = 1) THEN 'objects'
+    WHEN bool_and(t = 'VARCHAR' OR t = 'ARRAY') THEN 'nested' ELSE 'mixed' END AS state
+  FROM kinds GROUP BY ALL),
+leaves AS (
+  SELECT raw_id, attr_path, child, CASE WHEN child = 'outputs' AND shape = 'eval' THEN 'outputs_object' WHEN child = 'outputs' AND state = 'named' THEN 'outputs_single'
+      WHEN child = 'outputs' THEN 'outputs_array' WHEN state = 'text' THEN child || '_single' WHEN state = 'texts' OR child = 'meta_version' THEN child || '_array' ELSE child || '_nested' END AS "table",
+    row_number() OVER (PARTITION BY package, child ORDER BY place)::int - 1 AS ordinal, len(place)::int AS depth,
+    CASE WHEN child = 'outputs' THEN j ->> '$.name' WHEN child = 'platforms' THEN regexp_replace(j ->> '$', '^\s+|\s+$', '', 'g') ELSE j ->> '$' END AS item,
+    CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.path') = 'VARCHAR' THEN j ->> '$.path' END AS path,
+    CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.default') = 'BOOLEAN' THEN (j ->> '$.default')::boolean END AS is_default
+  FROM kinds JOIN states USING (package, child) JOIN numbered USING (package)
+  WHERE CASE WHEN child = 'outputs' THEN shape = 'latest' AND named ELSE t = 'VARCHAR' END
+  UNION ALL SELECT raw_id, attr_path, 'outputs', 'outputs_object', unnest(range(len(json_keys(outputs))::bigint))::int, 1, unnest(json_keys(outputs)),
+    unnest(list_transform(json_extract(outputs, '$.*'), lambda v: CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' END)), NULL
+  FROM packages_ WHERE shape = 'eval'),
+items AS (SELECT DISTINCT * FROM leaves WHERE item <> '')
+"""
+
+P6_PACKAGES_SQL = _P6_LEAVES + """, said AS (
+  SELECT package, max(state) FILTER (child = 'outputs') AS o, max(state) FILTER (child = 'platforms') AS pl, max(state) FILTER (child = 'meta_version') AS m FROM states GROUP BY ALL)
+SELECT DISTINCT raw_id, attr_path, shape || ':outputs=' || o || ',platforms=' || pl || coalesce(',meta_version=' || m, '') AS variant,
+  CASE WHEN json_type(x.p, '$.version') = 'VARCHAR' THEN x.p ->> '$.version' END AS version, CASE WHEN json_type(x.p, '$.system') = 'VARCHAR' THEN x.p ->> '$.system' END AS system
+FROM numbered x JOIN said USING (package)"""
+
+
+def _p6_table_sql(name: str) -> str:
+    more = {"outputs_object": ", path", "outputs_single": ", path, is_default", "outputs_array": ", path, is_default"}.get(name, "")
+    return _P6_LEAVES + f"SELECT raw_id, attr_path, ordinal, depth, item{more} FROM items WHERE \"table\" = '{name}'"
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -231,6 +295,7 @@ QUERIES = {
     "p5_totals": p5_totals,
     "p6_found": p6_found,
     "p6_packages": p6_packages,
+    **{f"p6_{t}": _p6_subtype(t) for t in CHILD_TABLES},
 }
 SQL = {
     "p1_found": P1_SQL,
@@ -239,4 +304,7 @@ SQL = {
     "p4_found": P4_SQL,
     "p5_found": P5_SQL,
     "p5_totals": P5_TOTALS_SQL,
+    "p6_found": _P6_LEAVES + "SELECT DISTINCT raw_id, attr_path, child, item FROM items",
+    "p6_packages": P6_PACKAGES_SQL,
+    **{f"p6_{t}": _p6_table_sql(t) for t in CHILD_TABLES},
 }

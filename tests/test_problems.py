@@ -111,6 +111,8 @@ RECORDS = [
     (6, "latest", json.dumps({"outputs": {"name": "out"}, "meta_version": ["a", ["b"], 1, "a"]})),
     (7, "eval", None), (8, "eval", "[]"), (9, "eval", ""), (10, "other", "{}"), (11, None, "{}"), (12, "latest", "NaN"), (13, "latest", '"no json"'),
     (14, "latest", '{"attr_path": "x\\ud800", "meta_version": "v"}'),
+    (16, "latest", json.dumps({"attr_path": "r", "platforms": " l "})), (17, "latest", json.dumps({"attr_path": "r", "platforms": ["l", [" d", ["l"]], 3, {"names": ["no"]}, ""]})),
+    (18, "latest", json.dumps({"attr_path": "r", "platforms": [" l", "d"], "meta": {"platforms": ["no"]}})), (19, "latest", json.dumps({"attr_path": "r", "platforms": {"names": ["no"]}})),
     (15, "eval", '{"d": {"outputs": {}, "meta": {"platforms": ' + "[" * 3000 + '"deep"' + "]" * 3000 + "}}}"),
 ]
 
@@ -119,11 +121,12 @@ def test_nested(spark, rows):
     flat = shred(spark.createDataFrame([*RECORDS, *RECORDS[:3]], "raw_id long, shape string, payload string"))
     items = [("p.a", "outputs", "man"), ("p.a", "outputs", "out"), ("p.a", "platforms", "d"), ("p.a", "platforms", "l")]
     want = [(n, *i) for n in (1, 2) for i in items] + [(4, "q", "outputs", "out"), (4, "q", "meta_version", "1.2"), (6, None, "outputs", "out"), (6, None, "meta_version", "a"), (6, None, "meta_version", "b")]
-    want += [(14, "x�", "meta_version", "v"), (15, "d", "platforms", "deep")]
+    want += [(14, "x�", "meta_version", "v"), (15, "d", "platforms", "deep"), (16, "r", "platforms", "l"), *((n, "r", "platforms", p) for n in (17, 18) for p in "dl")]
     assert rows(child_items(flat)) == sorted(want, key=str)
     packages = subtype_table(flat, "packages")
     assert ("p.a", "1", "s") in {(r.attr_path, r.version, r.system) for r in packages.collect()} and packages.where("raw_id = 1").count() == 1
     assert rows(subtype_table(flat, "outputs_array").select("item", "path", "is_default")) == [("out", "p", True), ("out", None, None)]
+    assert [rows(subtype_table(flat, f"platforms_{t}").where("raw_id > 15").select("raw_id", "ordinal", "depth", "item")) for t in ("single", "array", "nested")] == [[(16, 0, 0, "l")], [(18, 0, 1, "l"), (18, 1, 1, "d")], [(17, 0, 1, "l"), (17, 1, 2, "d"), (17, 2, 3, "l")]]
     assert rows(child_items(shred(spark.createDataFrame([], "raw_id long, shape string, payload string")))) == []
 
 
