@@ -29,7 +29,7 @@ def new_evaluations(c: Catalog, evals: DataFrame) -> DataFrame:
 def _added(old: DataFrame, new: DataFrame, ident: str, order: list[str]) -> DataFrame:
     """The old rows and the new ones, whose ids go on from the old."""
     last = old.agg(F.coalesce(F.max(ident), F.lit(0))).first()[0]
-    rows = numbered(new, order, ident).withColumn(ident, F.col(ident) + last)
+    rows = numbered(new, order, ident).withColumn(ident, (F.col(ident) + last).cast(old.schema[ident].dataType))
     return old.unionByName(rows.select(*old.columns))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.session import materialised
 from catalith.sources.catalog import Catalog
 
 #: Names of one page of the site map.
@@ -65,15 +66,18 @@ def page_start(c: Catalog, page: int, size: int = PAGE) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Adds the number of each row, from 1, in a total order.
+    """Adds the number of each row, from 1, in a total order; every row has one, equal rows in no order of theirs.
 
-    Numbers are a piece's offset plus the place in the piece, pieces being ranges of the order, so no task sees all rows.
+    The rows are sorted by range and written once (``materialised``), so that the numbers of a piece and the counts of the
+    pieces before it come from the same rows; no task sees all rows, and the second pass shuffles nothing.
     """
-    pieces = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_piece", F.spark_partition_id())
-    counts = pieces.groupBy("_piece").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
-    placed = pieces.withColumn("_own", own).join(F.broadcast(counts.select("_piece", "_before")), "_piece")  # a row a piece
-    return placed.withColumn(out, (F.col("_before") + F.col("_own")).cast("int")).drop("_piece", "_own", "_before")
+    pieces = materialised(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = pieces.withColumn("_at", F.monotonically_increasing_id())  # the piece in the upper 31 bits, the place in it in the lower 33
+    placed = placed.withColumns({"_piece": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_piece", F.coalesce(F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = placed.join(F.broadcast(before), "_piece")  # a row a piece
+    return placed.withColumn(out, F.col("_before") + F.col("_own") + 1).drop("_piece", "_at", "_own", "_before")
 
 
 def batches(rows: DataFrame, order: list[str], size: int, out: str = "batch") -> DataFrame:

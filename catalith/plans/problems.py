@@ -79,7 +79,7 @@ SELECT variant_id, 'gap', before + 1, first_seq - 1 FROM neighbours WHERE before
 # ---------------------------------------------------------------- 3
 
 
-def variant_row_orphans(spark: SparkSession, base: str) -> DataFrame:
+def variant_row_orphans(spark: SparkSession, base: str, **limits: int) -> DataFrame:
     rows = table(spark, base, "variant_rows").select("row_id", "version_key", "meta_hash", "commit_hash", "loaded_at")
     hashed = lambda c: blank_trimmed(F.lower(F.col(c)))
     commits = table(spark, base, "commits").select(hashed("hash").alias("key"), F.col("imported_at").alias("arrived"))
@@ -98,13 +98,18 @@ def variant_row_orphans(spark: SparkSession, base: str) -> DataFrame:
         Reference("meta", hashed("meta_hash"), meta),
         Reference("versions", F.col("version_key"), known),
     ]
-    return orphan_references(rows, "row_id", refs, period=F.date_format("loaded_at", "yyyy-MM"), moment=F.col("loaded_at"))
+    return orphan_references(rows, "row_id", refs, period=F.date_format("loaded_at", "yyyy-MM"), moment=F.col("loaded_at"), **limits)
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return variant_row_orphans(spark, base)
 
 
+def p3_split(spark: SparkSession, base: str) -> DataFrame:
+    """The same with hot keys from five rows on, so that both ways are taken at any size of the tables."""
+    return variant_row_orphans(spark, base, hot_rows=5)
+
+
 def p3_counts(spark: SparkSession, base: str) -> DataFrame:
     return orphan_counts(variant_row_orphans(spark, base))
 
@@ -289,6 +294,7 @@ def _p6_table_sql(name: str) -> str:
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p3_split": p3_split,
     "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p5_found": p5_found,
@@ -300,6 +306,7 @@ QUERIES = {
 SQL = {
     "p1_found": P1_SQL,
     "p3_found": P3_SQL,
+    "p3_split": P3_SQL,
     "p3_counts": f"SELECT target, period, reason, count(*) AS n_rows FROM ({P3_SQL}) GROUP BY ALL",
     "p4_found": P4_SQL,
     "p5_found": P5_SQL,

@@ -15,15 +15,21 @@ BROADCAST_ROWS = 500_000
 _shipped: set[str] = set()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a folder of this machine in local tests only."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset on a cluster")
-        shared = tempfile.mkdtemp(prefix="catalith-checkpoint-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written once into the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Partitions and the order within them stay as they were computed, whatever executors are lost later. Where the setting is
+    missing, a folder of this machine is taken on local masters only.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir is unset on a cluster")
+            shared = tempfile.mkdtemp(prefix="catalith-checkpoint-")
+        sc.setCheckpointDir(shared)
+    return df.checkpoint()
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,8 +44,3 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(archive)
     _shipped.add(sc.applicationId)
-
-
-def row_count(df: DataFrame) -> int:
-    """Rows of a table; over Parquet Spark answers this from the footers."""
-    return df.count()

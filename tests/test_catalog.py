@@ -277,3 +277,22 @@ def test_pending_commits_of_a_whole_listing(spark, tmp_path):
     listed = spark.createDataFrame([(h[: 8 + n % 4], n * 10) for n, h in enumerate(hashes)] + [("f" * 9, 5)], "short_hash string, number int")
     got = [r.number for r in status.pending_commits(Catalog(spark, str(tmp_path)), listed, 20).collect()]
     assert got == [n * 10 for n in range(30, 40)]
+
+
+@pytest.mark.parametrize("partitions,adaptive", [(16, True), (16, False), (3, True)])
+def test_numbers_of_many_wide_rows(spark, partitions, adaptive):
+    """Every row has its number, whatever adaptive execution does to the pieces."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000 if partitions == 16 else 50_000
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"), F.repeat(F.lit("x"), 60).alias("wider"))
+        got = status.numbered(df, ["k"], "no")
+        assert got.agg(F.count("wide"), F.count_distinct("no"), F.min("no"), F.max("no"), F.sum((F.col("no") != F.col("k") + 1).cast("int"))).first() == (n, n, 1, n, 0)
+        assert status.numbered(df.limit(0), ["k"], "no").count() == 0
+        twice = status.numbered(df.limit(100).union(df.limit(100)), ["k"], "no")
+        assert twice.agg(F.count_distinct("no"), F.max("no")).first() == (200, 200)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -8,17 +8,18 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from catalith.operators import skew
 from catalith.operators.dense import dense_sums
 from catalith.operators.nested import _parse_deep, child_items, parse, shred, state_of, subtype_table
 from catalith.operators.references import Reference, orphan_counts, orphan_references
-from catalith.operators.skew import hot_keys
 from catalith.operators.snapshots import snapshot_changes
 
 DAY = datetime.datetime(2024, 1, 15)
 
 
-@pytest.mark.parametrize("hot", [10_000, 5])
-def test_orphans(spark, rows, hot):
+@pytest.mark.parametrize("hot,most", [(10_000, 500_000), (5, 500_000), (5, 0)])
+def test_orphans(spark, rows, hot, most, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", most)
     rng = random.Random(hot)
     keys = ["k0", "k1", "k2", "gone", "gone2", "", None]
     data = [(n, rng.choice(keys + ["gone"] * 5), DAY + datetime.timedelta(days=rng.randrange(90)), "x") for n in range(200)] + [(500, "gone", None, "x")]
@@ -27,7 +28,7 @@ def test_orphans(spark, rows, hot):
     df = spark.createDataFrame(data, "row_id int, k string, at timestamp_ntz, target string")
     parents = spark.createDataFrame([*arrived.items(), ("k1", DAY + datetime.timedelta(days=60)), (None, DAY)], "key string, arrived timestamp_ntz")
     refs = [Reference("with", F.col("k"), parents), Reference("without", F.col("k"), parents.select("key"))]
-    got = orphan_references(df, "row_id", refs, period=F.date_format("at", "yyyy-MM"), moment=F.col("at"), hot_rows=hot, hot_share=0.001)
+    got = orphan_references(df, "row_id", refs, period=F.date_format("at", "yyyy-MM"), moment=F.col("at"), hot_rows=hot)
     want = set()
     for n, k, at, _ in data:
         month = at and at.strftime("%Y-%m")
@@ -42,9 +43,11 @@ def test_orphans(spark, rows, hot):
     assert rows(none) == []
 
 
-def test_hot_keys(spark):
-    df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 3 + [(None,)] * 80, "k string")
-    assert hot_keys(df, "k", rows=10, share=0.01) == ["a"] and hot_keys(df.limit(0), "k", rows=0, share=0.5) == []
+def test_hot_keys(spark, rows):
+    df = spark.createDataFrame([("a", "x")] * 50 + [("b", None)] * 3 + [(None, "x")] * 80, "k string, o string")
+    hot = skew.hot_keys(df, ["k", "o"], rows=10)
+    assert rows(hot.table) == [("k", "a", 50), ("o", "x", 130)] and hot.count == 2 and rows(hot.of("k")) == [("a",)]
+    assert skew.hot_keys(df.union(df), ["k"], rows=7).count == 1 and skew.hot_keys(df.limit(0), ["k"], rows=0).count == 0
 
 
 @pytest.mark.parametrize("bucket", [200_000, 7])
