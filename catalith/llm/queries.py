@@ -14,10 +14,15 @@ from catalith.sources.tables import table
 TOP, LIMIT, OVERLAP = 5, 512, 64
 
 
-def p2_found(spark: SparkSession, base: str) -> DataFrame:
+def p2_found(spark: SparkSession, base: str, **limits: int) -> DataFrame:
     rows = table(spark, base, "versions").select("package_id", "id", "version", "sort_key").where(F.col("sort_key").isNotNull())
     order = [F.desc("sort_key"), F.asc_nulls_last("version"), F.asc_nulls_last("id")]
-    return top_n(rows, "package_id", ["id"], order, TOP)
+    return top_n(rows, "package_id", ["id"], order, TOP, **limits)
+
+
+def p2_split(spark: SparkSession, base: str) -> DataFrame:
+    """The same with heavy groups from a hundred rows on, so that both ways are taken at any size of the tables."""
+    return p2_found(spark, base, hot_rows=100)
 
 
 P2_SQL = f"""
@@ -54,5 +59,5 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return pieces.where(F.col("piece") == 1).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p7_lossless": p7_lossless, "p8_found": p8_found, "p9_pieces": p9_pieces, "p9_found": p9_found}
-SQL = {"p2_found": P2_SQL, "p7_lossless": "SELECT doc_id, true AS lossless FROM documents"}
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p7_ids": p7_ids, "p7_lossless": p7_lossless, "p8_found": p8_found, "p9_pieces": p9_pieces, "p9_found": p9_found}
+SQL = {"p2_found": P2_SQL, "p2_split": P2_SQL, "p7_lossless": "SELECT doc_id, true AS lossless FROM documents"}

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from catalith.llm import leaks, split, tokens
 from catalith.llm.topn import top_n
+from catalith.operators import skew
 
 ODD = ["", None, " ", "\n\n", "<|endoftext|> x", "a" * 5000, " " * 4500 + "x", "x" + "\n" * 3000, "漢字かな" * 300, "é​\U0001f468‍\U0001f4bb", "\x00\x01\r\n\t", "ab　" * 900, "it's we'll", "1234567890" * 40]
 
 
-@pytest.mark.parametrize("hot", [10_000, 20])
-def test_top_n(spark, rows, hot):
+@pytest.mark.parametrize("hot,most", [(10_000, 500_000), (20, 500_000), (20, 0)])
+def test_top_n(spark, rows, hot, most, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", most)
     rng = random.Random(hot)
     data = [(rng.choice([1] * 6 + [2, 3, None]), n, rng.choice(["a", "b", None]), bytes([rng.choice([1, 127, 128, 255])]) * rng.randrange(1, 3)) for n in range(400)]
     data += data[:60] + [(7, 1000, "a", b"x")]
     df = spark.createDataFrame([(*d, 5) for d in data], "g int, id int, v string, k binary, place int")
     order = [F.desc("k"), F.asc_nulls_last("v"), F.asc("id")]
-    got = rows(top_n(df.select("g", "id", "v", "k"), "g", ["id"], order, 5, hot_rows=hot, hot_share=0.001))
+    got = rows(top_n(df.select("g", "id", "v", "k"), "g", ["id"], order, 5, hot_rows=hot))
     want = []
     for g in (1, 2, 3, 7):
         own = sorted({d[1:] for d in data if d[0] == g}, key=lambda d: ([255 - b for b in d[2]] + [256] * (2 - len(d[2])), d[1] is None, d[1] or "", d[0]))
@@ -29,6 +31,12 @@ def test_top_n(spark, rows, hot):
     assert rows(top_n(df.limit(0).select("g", "id", "v", "k"), "g", ["id"], order, 5)) == []
 
 
+def test_top_n_cuts_before_the_shuffle(spark):
+    df = spark.createDataFrame([(n % 3, n) for n in range(30)], "g int, id int")
+    plan = top_n(df, "g", ["id"], [F.desc("id")], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "dense_rank(id" in plan and plan.index("Final") < plan.rindex("Exchange") < plan.rindex("Partial")
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return tokens.Vocabulary.load()
