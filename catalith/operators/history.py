@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.operators.intervals import OPEN_END, continuous_periods, timeline_ranks
+from catalith.operators.intervals import OPEN_END, timeline_ranks
 from catalith.operators.lookup import first_per_key
 from catalith.sources.catalog import Catalog, small
 
@@ -58,42 +58,55 @@ def newest_common(intervals: DataFrame, entity: str, group: str, low: str, high:
     """``(entity, groups, seq)``: the newest place that lies in an interval of every group of an entity, null if there is none.
 
     A sweep: each group's intervals are made disjoint, and a running count tells how many groups are present where one ends.
+    All steps stand on one shuffle by entity. Intervals that end before they begin, or lack an end, are none.
     """
-    named = intervals.select(F.struct(entity, group).alias("_of"), F.col(low).alias("_low"), F.col(high).alias("_high"))
-    merged = continuous_periods(named, "_of", "_low", "_high").where(F.col("piece") == "period")
-    merged = merged.select(F.col(f"_of.{entity}").alias(entity), F.col(f"_of.{group}").alias(group), "_low", "_high")
-    groups = merged.groupBy(F.col(entity).alias("_of")).agg(F.count_distinct(group).alias("_groups"))
-    both = F.array(F.struct(F.col("_low").alias("at"), F.lit(0).alias("ends")), F.struct(F.col("_high").alias("at"), F.lit(1).alias("ends")))
-    events = merged.select(entity, F.explode(both).alias("_e")).select(F.col(entity).alias("_of"), F.col("_e.at").alias("_at"), F.col("_e.ends").alias("_ends"))
+    rows = intervals.select(F.col(entity).alias("_of"), F.col(group).alias("_in"), F.col(low).alias("_low"), F.col(high).alias("_high")).where(F.col("_low") <= F.col("_high"))
+    own = Window.partitionBy("_of", "_in").orderBy("_low", "_high")
+    met = F.max("_high").over(own.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("_low")
+    rows = rows.repartition("_of").withColumn("_new", F.when(met, 0).otherwise(1))
+    rows = rows.withColumn("_island", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.when(F.col("_island") == 1, 1).otherwise(0)
+    merged = rows.groupBy("_of", "_in", "_island").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).withColumn("_first", first)
+    both = F.array(F.struct(F.col("_low").alias("at"), F.lit(0).alias("ends"), F.col("_first").alias("first")), F.struct(F.col("_high").alias("at"), F.lit(1).alias("ends"), F.lit(0).alias("first")))
+    events = merged.select("_of", F.explode(both).alias("_e")).select("_of", F.col("_e.at").alias("_at"), F.col("_e.ends").alias("_ends"), F.col("_e.first").alias("_first"))
     earlier = Window.partitionBy("_of").orderBy("_at", "_ends").rowsBetween(Window.unboundedPreceding, -1)
     present = F.sum(F.when(F.col("_ends") == 1, -1).otherwise(1)).over(earlier)
-    swept = events.withColumn("_present", present).join(groups, "_of")
+    swept = events.withColumns({"_present": present, "_groups": F.sum("_first").over(Window.partitionBy("_of"))})
     shared = F.max(F.when((F.col("_ends") == 1) & (F.col("_present") == F.col("_groups")), F.col("_at")))
-    found = swept.groupBy("_of").agg(F.max("_groups").alias("groups"), shared.alias("seq"))
-    return found.select(F.col("_of").alias(entity), "groups", "seq")
+    return swept.groupBy("_of").agg(F.max("_groups").alias("groups"), shared.alias("seq")).select(F.col("_of").alias(entity), "groups", "seq")
 
 
-def common_commits(c: Catalog) -> DataFrame:
-    """``(version_id, systems, commit_seq, commit_hash, committed_at)``: the newest commit at which a version exists on all the systems that list it.
+def live_spans(c: Catalog, versions: DataFrame | None = None) -> DataFrame:
+    """``(version_id, system, first_seq, last_seq)``: where versions (all, or those of ``versions (version_id)``) are present on a system.
 
     Of each system the first attribute path counts, seeded points don't, an open range lasts to the system's newest import.
-    Versions that fewer than two systems list, or that share no commit, have no row.
     """
-    first = first_per_key(c.variants("variant_id", "version_id", "system", "attr_path"), ["version_id", "system"], [F.asc("attr_path"), F.asc("variant_id")])
+    variants = c.variants("variant_id", "version_id", "system", "attr_path")
+    variants = variants if versions is None else variants.join(versions.select("version_id").distinct(), "version_id", "left_semi")
+    first = first_per_key(variants, ["version_id", "system"], [F.asc("attr_path"), F.asc("variant_id")])
     heads = c.imports("commit_seq", "system").groupBy("system").agg(F.max("commit_seq").alias("head"))
     own = c.ranges("variant_id", "first_seq", "last_seq", "seeded").where(~F.coalesce("seeded", F.lit(False))).select("variant_id", "first_seq", "last_seq")
     rows = own.join(first, "variant_id").join(F.broadcast(heads), "system")  # a row a system
-    rows = rows.select("version_id", "system", "first_seq", F.coalesce("last_seq", "head").alias("last_seq"))
-    best = newest_common(rows, "version_id", "system", "first_seq", "last_seq").where((F.col("groups") >= 2) & F.col("seq").isNotNull())
+    return rows.select("version_id", "system", "first_seq", F.coalesce("last_seq", "head").alias("last_seq")).where(F.col("first_seq") <= F.col("last_seq"))
+
+
+def common_commits(c: Catalog, versions: DataFrame | None = None) -> DataFrame:
+    """``(version_id, systems, commit_seq, commit_hash, committed_at)``: the newest commit at which a version exists on all the systems that have ``live_spans``.
+
+    Versions that are present on fewer than two systems, or on none at one commit, have no row.
+    """
+    best = newest_common(live_spans(c, versions), "version_id", "system", "first_seq", "last_seq").where((F.col("groups") >= 2) & F.col("seq").isNotNull())
     commits = c.commits("seq", "hash", "committed_at").select(F.col("seq"), F.col("hash").alias("commit_hash"), "committed_at")
     return best.join(commits, "seq").select("version_id", F.col("groups").alias("systems"), F.col("seq").alias("commit_seq"), "commit_hash", "committed_at")
 
 
-def at_common_commit(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """Rows of ``result_rows`` with the commit and date of the version's common commit where there is one."""
-    new = common.select("version_id", F.col("commit_hash").alias("_hash"), F.col("committed_at").alias("_at"))
-    both = rows.join(new, "version_id", "left")
+def at_common_commit(c: Catalog, rows: DataFrame) -> DataFrame:
+    """Rows of ``result_rows`` with the commit and date of their version's common commit, on the systems that have live spans; others stay as they are."""
+    versions = rows.select("version_id").distinct()
+    new = common_commits(c, versions).select("version_id", F.col("commit_hash").alias("_hash"), F.col("committed_at").alias("_at"))
+    new = new.join(live_spans(c, versions).select("version_id", "system").distinct(), "version_id")
+    both = rows.join(new, ["version_id", "system"], "left")
     return both.withColumns({"commit_hash": F.coalesce("_hash", "commit_hash"), "last_updated": F.coalesce("_at", "last_updated")}).drop("_hash", "_at")
 
 
-__all__ = ["OPEN_END", "at_common_commit", "common_commits", "content_first_seen", "evaluated_rows", "newest_common", "next_point", "presence_runs"]
+__all__ = ["OPEN_END", "at_common_commit", "common_commits", "content_first_seen", "evaluated_rows", "live_spans", "newest_common", "next_point", "presence_runs"]

@@ -19,17 +19,18 @@ def platforms_summary(systems: Column) -> Column:
     return F.concat_ws(" and ", linux, mac)
 
 
-def outputs_summary(outputs: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, outputs_summary)`` of rows ``(*by, system, name, is_default)``: defaults first, then by name, each with where it is missing.
+def outputs_summary(outputs: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``(*by, outputs_summary)`` of rows ``(*by, system, name, is_default, *order)``: defaults first, then by name, each with where it is missing.
 
-    An output of one system counts as a default if any of its rows is one. "" when all are defaults; an output on
-    no known kind of system reads "".
+    Of several rows of an output on one system the last in ``order`` says whether it is a default; an output is one if it is on any system.
+    "" when all are defaults; an output on no known kind of system reads "".
     """
-    os = F.substring_index("system", "-", -1)
-    one = outputs.groupBy(*by, "name").agg(
-        F.bool_or(os == "linux").alias("linux"),
-        F.bool_or(os == "darwin").alias("darwin"),
-        F.bool_or(F.coalesce("is_default", F.lit(False))).alias("is_default"),
+    own = outputs.groupBy(*by, "name", "system").agg(F.max_by(F.coalesce("is_default", F.lit(False)), F.struct(*order)).alias("is_default"))
+    os = F.get(F.split("system", "-"), F.lit(1))
+    one = own.groupBy(*by, "name").agg(
+        F.coalesce(F.bool_or(os == "linux"), F.lit(False)).alias("linux"),
+        F.coalesce(F.bool_or(os == "darwin"), F.lit(False)).alias("darwin"),
+        F.bool_or("is_default").alias("is_default"),
     )
     shown = F.when(F.col("darwin") & F.col("linux"), F.col("name")).when(F.col("darwin"), F.concat("name", F.lit(" (macOS only)"))).when(F.col("linux"), F.concat("name", F.lit(" (Linux only)"))).otherwise("")
     listed = one.groupBy(*by).agg(F.bool_and("is_default").alias("all"), F.array_sort(F.collect_set(F.struct((~F.col("is_default")).alias("later"), "name", shown.alias("shown")))).alias("a"))
@@ -63,14 +64,15 @@ def release_neighbours(releases: DataFrame) -> DataFrame:
 
 
 def package_document(rows: DataFrame) -> DataFrame:
-    """``(document)``: the JSON of one name's releases, newest first, from ``result_rows`` of that name."""
+    """``(document)``: the JSON of one name's releases, newest first, from ``result_rows`` of that name; the first row describes it, without rows there is none."""
     releases = release_rows(rows)
     ordered = releases.withColumn("_n", F.row_number().over(Window.orderBy(*release_order())))  # one name's releases
     one = F.struct("version", "last_updated", "platforms", "platforms_summary", "prerelease", "broken", "insecure")
     listed = ordered.agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", one.alias("r")))), lambda x: x["r"]).alias("releases"))
-    head = F.max_by(F.struct("name", "summary", "description", F.col("homepage").alias("homepage_url"), "license"), F.struct("sort_key", "version_id"))
-    facts = rows.agg(head.alias("h"), F.array_sort(F.collect_set("attr_path")).alias("attribute_paths"))
-    return facts.join(F.broadcast(listed)).select(F.to_json(F.struct("h.*", "attribute_paths", "releases")).alias("document"))
+    first = rows.orderBy(*release_order(), "system", "attr_path", "variant_id").limit(1)
+    head = first.select(F.struct("name", "summary", "description", F.col("homepage").alias("homepage_url"), "license").alias("h"))
+    facts = rows.agg(F.array_sort(F.collect_set("attr_path")).alias("attribute_paths"))
+    return head.join(F.broadcast(facts)).join(F.broadcast(listed)).select(F.to_json(F.struct("h.*", "attribute_paths", "releases")).alias("document"))
 
 
 def resolve_document(rows: DataFrame) -> DataFrame:

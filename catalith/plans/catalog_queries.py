@@ -12,8 +12,10 @@ from catalith.functions.display import ago, byte_size, copy_line, describe_query
 from catalith.functions.paths import arch_os, archive_key, canonical_name, parse_archive_name, split_reference, split_store_path, supported, top_level
 from catalith.functions.trigram import similarity
 from catalith.operators import history, lookup, merge, phrase, render, seeding, status
-from catalith.operators.decode import decode_packages
+from catalith.operators.decode import HIDDEN_VERSION, decode_packages
 from catalith.operators.nested import shred
+from catalith.plans.decoded_sql import decoded_sql
+from catalith.plans.problems import P6_LEAVES
 from catalith.sources.catalog import Catalog
 
 BASE = """
@@ -655,38 +657,85 @@ def legacy_versions(c: Catalog) -> DataFrame:
     return render.legacy_versions(lookup.result_rows(c, c.shown_variants())).select("version_id", "system", "attr_paths", "programs", "last_updated", "platforms")
 
 
-@query()
+_WITHOUT_NULLS = """regexp_replace({0}, ',"[a-z_]+":null', '', 'g')"""
+
+
+@query(_HIT.format("vessimur") + _RELEASES.rstrip() + """,
+found AS (SELECT * FROM spot WHERE variant_id IN (FROM hit)),
+own AS (SELECT found.*, co.hash AS rev, strftime(found.committed_at, '%Y-%m-%dT%H:%M:%SZ') AS date FROM found JOIN co ON co.seq = found.commit_seq QUALIFY row_number() OVER (PARTITION BY version_id, arch, os ORDER BY system, attr_path) = 1),
+listed AS (
+  SELECT version_id, max(date) AS last_updated, string_agg(to_json({'system': system, 'arch': arch, 'os': os, 'attribute_path': attr_path, 'commit_hash': rev, 'date': date, 'broken': broken, 'insecure': insecure})::varchar, ',' ORDER BY system, arch, os, attr_path) AS platforms
+  FROM own GROUP BY 1),
+facts AS (
+  SELECT version_id, bool_and(coalesce(broken, false)) AS broken, bool_and(coalesce(insecure, false)) AS insecure, concat_ws(' and ', CASE WHEN bool_or(os = 'Linux') THEN 'Linux' END,
+    CASE WHEN bool_or(system = 'aarch64-darwin') AND bool_or(system = 'x86_64-darwin') THEN 'macOS' WHEN bool_or(system = 'aarch64-darwin') THEN 'macOS (Apple Silicon only)' WHEN bool_or(system = 'x86_64-darwin') THEN 'macOS (Intel only)' END) AS said
+  FROM found GROUP BY 1),
+rel AS (
+  SELECT string_agg('{"version":' || to_json(version)::varchar || ',"last_updated":"' || last_updated || '","platforms":[' || platforms || '],"platforms_summary":' || to_json(said)::varchar
+    || ',"prerelease":' || prerelease::varchar || ',"broken":' || facts.broken::varchar || ',"insecure":' || facts.insecure::varchar || '}', ',' ORDER BY sort_key DESC NULLS LAST, version, version_id) AS releases
+  FROM ve JOIN listed USING (version_id) JOIN facts USING (version_id)),
+head AS (FROM found ORDER BY sort_key DESC NULLS LAST, version, version_id, system, attr_path, variant_id LIMIT 1)
+SELECT """ + _WITHOUT_NULLS.format("""rtrim(to_json({'name': name, 'summary': summary, 'description': description, 'homepage_url': homepage, 'license': license})::varchar, '}')
+  || ',"attribute_paths":' || (SELECT to_json(list_sort(list(DISTINCT attr_path)))::varchar FROM found) || ',"releases":[' || releases || ']}'""") + " AS document FROM head, rel")
 def package_document(c: Catalog) -> DataFrame:
     return render.package_document(lookup.versions_by_name(c, "vessimur"))
 
 
-@query()
+@query(_HIT.format("vessimur").rstrip() + """, candidates AS (
+  SELECT version_id, version, sort_key, coalesce(semver_major IS NOT NULL AND coalesce(semver_pre, '') = '' AND [semver_major, semver_minor, semver_patch] >= [1,16,0] AND semver_major < 2, false) AS fits
+  FROM va JOIN hit USING (variant_id) JOIN ve USING (version_id)),
+best AS (SELECT version_id FROM candidates WHERE fits OR version = '^1.16' OR starts_with(version, '^1.16.') OR starts_with(version, '^1.16-') ORDER BY fits DESC, sort_key DESC NULLS LAST, version, version_id LIMIT 1),
+own AS (SELECT * FROM va WHERE version_id IN (FROM best) QUALIFY row_number() OVER (PARTITION BY version_id, system ORDER BY attr_path, variant_id) = 1),
+spans AS (
+  SELECT version_id, system, first_seq AS lo, coalesce(last_seq, (SELECT max(commit_seq) FROM im WHERE im.system = own.system)) AS hi FROM ra JOIN own USING (variant_id) WHERE NOT coalesce(seeded, false)),
+good AS (SELECT DISTINCT * FROM spans WHERE lo <= hi),
+met AS (SELECT a.hi, count(DISTINCT b.system) AS n FROM good a JOIN good b ON b.lo <= a.hi AND a.hi <= b.hi GROUP BY 1),
+common AS (SELECT max(hi) AS seq FROM met WHERE n = (SELECT count(DISTINCT system) FROM good) AND n >= 2),
+rows_ AS (
+  SELECT name, version, summary, va.system, attr_path, coalesce(k.hash, co.hash) AS rev, strftime(coalesce(k.committed_at, co.committed_at), '%Y-%m-%dT%H:%M:%SZ') AS updated
+  FROM """ + _WIDE + """ LEFT JOIN (SELECT DISTINCT system, co.hash, co.committed_at FROM good, common JOIN co ON co.seq = common.seq) k ON k.system = va.system
+  WHERE version_id IN (FROM best) QUALIFY row_number() OVER (PARTITION BY va.system ORDER BY attr_path) = 1)
+SELECT '{"name":' || to_json(min(name))::varchar || ',"version":' || to_json(min(version))::varchar || coalesce(',"summary":' || to_json(min(summary))::varchar, '')
+  || ',"systems":{' || string_agg('"' || system || '":{"attr_path":' || to_json(attr_path)::varchar || ',"rev":"' || rev || '","last_updated":"' || updated || '"}', ',' ORDER BY system) || '}}' AS document
+FROM rows_ HAVING count(*) > 0""")
 def resolve_document(c: Catalog) -> DataFrame:
-    rows = lookup.resolve(c, "vessimur", "^1.16")
-    return render.resolve_document(history.at_common_commit(rows, history.common_commits(c)))
+    return render.resolve_document(history.at_common_commit(c, lookup.resolve(c, "vessimur", "^1.16")))
 
 
-@query()
+@query(_ranked("ocavel").rstrip() + _latest("package_id") + f""", chosen AS (SELECT ord, version_id FROM ranked JOIN hits USING (package_id) WHERE place = 1),
+rows_ AS (SELECT ord, version_id, name, summary, strftime(committed_at, '%Y-%m-%dT%H:%M:%SZ') AS updated, version, attr_path FROM {_WIDE} JOIN chosen USING (version_id) QUALIFY row_number() OVER (PARTITION BY ord ORDER BY va.system, attr_path) = 1),
+sy AS (SELECT version_id, list_sort(list(DISTINCT system)) AS systems FROM va GROUP BY 1)
+""" + """SELECT '{"query":"ocavel","total_results":' || count(*) || ',"results":[' || coalesce(string_agg(""" + _WITHOUT_NULLS.format(
+    "to_json({'name': name, 'summary': summary, 'last_updated': updated, 'version': version, 'attribute_path': attr_path, 'systems': systems})::varchar"
+) + """, ',' ORDER BY ord), '') || ']}' AS document FROM rows_ JOIN sy USING (version_id)""")
 def search_document(c: Catalog) -> DataFrame:
     return render.search_document(phrase.search_phrase(c, "ocavel", releases=3), "ocavel")
 
 
-@query()
+@query(_HIT.format("ocavelPackages.core").rstrip() + f""", listed AS (SELECT name, version, row_number() OVER (ORDER BY sort_key DESC NULLS LAST, version, version_id) AS n FROM {_WIDE} WHERE variant_id IN (FROM hit)),
+marked AS (SELECT *, CASE WHEN n > 1 AND name IS DISTINCT FROM lag(name) OVER (ORDER BY n) THEN 1 ELSE 0 END AS new FROM listed),
+runs AS (SELECT *, sum(new) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)::int AS run FROM marked)
+SELECT run, name, count(DISTINCT version) AS num_versions FROM runs GROUP BY ALL""")
 def listing_by_name(c: Catalog) -> DataFrame:
     """The runs of names in a listing by attribute path, where spellings and packages interleave."""
     return render.grouped_by_name(lookup.versions_by_name(c, "ocavelPackages.core"), lookup.release_order())
 
 
-@query()
+@query(P6_LEAVES + """, outs AS (
+  SELECT raw_id, item AS name, string_split(system, '-')[2] AS os, system, coalesce(is_default, false) AS d FROM items JOIN (SELECT DISTINCT raw_id, system FROM raw_records) USING (raw_id)
+  WHERE "table" IN ('outputs_single', 'outputs_array') QUALIFY row_number() OVER (PARTITION BY raw_id, item, system ORDER BY ordinal DESC) = 1),
+ones AS (SELECT raw_id, name, bool_or(d) AS d, coalesce(bool_or(os = 'linux'), false) AS linux, coalesce(bool_or(os = 'darwin'), false) AS darwin FROM outs GROUP BY 1, 2)
+SELECT raw_id, CASE WHEN bool_and(d) THEN '' ELSE string_agg(CASE WHEN darwin AND linux THEN name WHEN darwin THEN name || ' (macOS only)' WHEN linux THEN name || ' (Linux only)' ELSE '' END, ', ' ORDER BY d DESC, name) END AS outputs_summary
+FROM ones GROUP BY 1""", base=False)
 def outputs_summaries(c: Catalog) -> DataFrame:
     flat = shred(c.raw("raw_records").where(F.col("shape") == "latest"))
     both = flat.where(F.col("table").isin("outputs_array", "outputs_single"))  # a single output is an array of one
-    outputs = both.select("raw_id", F.col("item").alias("name"), "is_default").distinct()
+    outputs = both.select("raw_id", F.col("item").alias("name"), "is_default", "ordinal").distinct()
     systems = c.raw("raw_records").select("raw_id", "system").distinct()
-    return render.outputs_summary(outputs.join(systems, "raw_id"), ["raw_id"])
+    return render.outputs_summary(outputs.join(systems, "raw_id"), ["raw_id"], ["ordinal"])
 
 
-@query()
+@query(decoded_sql(HIDDEN_VERSION), base=False)
 def decoded_packages(c: Catalog) -> DataFrame:
     rows = decode_packages(c.raw("raw_records").select("raw_id", "shape", "payload").distinct())  # copies of a record, not paths that clean alike
     return rows.withColumn("platforms", pipe("platforms")).withColumn("outputs", F.to_json("outputs"))
@@ -746,7 +795,23 @@ def copy_lines(c: Catalog) -> DataFrame:
     return rows.select("version_id", copy_line(rows.dtypes).alias("line"))
 
 
-@query()
+_HTML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_UNIT = "WHEN {0} < {1} THEN {0} || ' {2}' || CASE WHEN {0} = 1 THEN '' ELSE 's' END || ' ago'"
+
+
+@query(""", m AS (SELECT *, strpos(lower(summary), 'pa') AS hit, meta_id * 977 AS n, epoch(TIMESTAMP '2026-01-01')::bigint - (1700000000 + meta_id * 40000) AS gone FROM me),
+steps AS (SELECT *, floor(gone / 60 + 0.5)::bigint AS mins, floor(mins / 60 + 0.5)::bigint AS hours, floor(hours / 24 + 0.5)::bigint AS days FROM m),
+longer AS (SELECT *, floor(days / 30.4 + 0.5)::bigint AS months, floor(days / 365.25 + 0.5)::bigint AS years, sha256(summary) AS digest FROM steps)
+SELECT meta_id, CASE WHEN hit > 0 THEN """ + " || ".join([_HTML.format("left(summary, hit - 1)"), "'<mark>'", _HTML.format("substr(summary, hit, 2)"), "'</mark>'", _HTML.format("substr(summary, hit + 2)")]) + " ELSE " + _HTML.format("summary") + """ END AS highlight,
+  left(translate(to_base64(unhex(digest)), '+/', '-_'), 27) AS etag,
+  '{' || array_to_string([x FOR x IN ['"summary":' || to_json(nullif(summary, ''))::varchar, '"license":' || to_json(nullif(license, ''))::varchar, '"homepage":' || to_json(nullif(homepage, ''))::varchar,
+    CASE WHEN len(platforms) > 0 THEN '"platforms":' || to_json(platforms)::varchar END] IF x IS NOT NULL AND NOT ends_with(x, ':null')], ',') || '}' AS document,
+  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MiB', floor(n / 1048576 * 10 + 0.5) / 10) END AS size, format('{:,}', n) AS shown,
+  CASE WHEN gone < 0 THEN 'in the future' WHEN gone < 60 THEN 'just now' """ + " ".join([_UNIT.format("mins", 60, "minute"), _UNIT.format("hours", 24, "hour"), _UNIT.format("days", 60, "day"), _UNIT.format("months", 24, "month"), _UNIT.format("years", 10000, "year")]) + """ END AS age,
+  concat_ws(' && ', CASE WHEN license <> '' THEN 'phrase = ' || to_json(license)::varchar || ' = ' || to_json('^"' || q || '" OR ^"' || q || '"* OR "' || q || '" OR "' || q || '"*')::varchar END, CASE WHEN summary <> '' THEN 'name = ' || to_json(summary)::varchar END) AS asked,
+  CASE WHEN strpos(ref, '@') > 1 THEN split_part(ref, '@', 1) ELSE ref END AS ref_name, CASE WHEN strpos(ref, '@') > 1 THEN substr(ref, strpos(ref, '@') + 1) END AS ref_version,
+  CASE WHEN regexp_matches(left(meta_hash, 40), '^[0-9a-f]{7,40}$') THEN 'x86_64-linux' END AS file_system, CASE WHEN regexp_matches(left(meta_hash, 40), '^[0-9a-f]{7,40}$') THEN left(meta_hash, 40) END AS file_commit
+FROM (SELECT * EXCLUDE (hash), hash AS meta_hash, replace(license, '"', '""') AS q, summary || '@' || license AS ref FROM longer)""")
 def response_texts(c: Catalog) -> DataFrame:
     """The remaining text functions over the metadata: highlights, tags, sizes, ages, queries, references, file names."""
     now = F.lit(datetime.datetime(2026, 1, 1))

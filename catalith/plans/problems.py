@@ -232,7 +232,7 @@ def _p6_subtype(name: str):
 
 
 #: Texts that are JSON strings of JSON are unwrapped; each package's children are walked leaf by leaf, arrays being left behind.
-_P6_LEAVES = r"""
+P6_LEAVES = r"""
 WITH RECURSIVE texts AS (
   SELECT DISTINCT raw_id, shape, payload AS j FROM raw_records
   UNION ALL SELECT raw_id, shape, j::json ->> '$' FROM texts WHERE CASE WHEN json_valid(j) THEN json_type(j) = 'VARCHAR' ELSE false END),
@@ -279,7 +279,7 @@ leaves AS (
 items AS (SELECT DISTINCT * FROM leaves WHERE item <> '')
 """
 
-P6_PACKAGES_SQL = _P6_LEAVES + """, said AS (
+P6_PACKAGES_SQL = P6_LEAVES + """, said AS (
   SELECT package, max(state) FILTER (child = 'outputs') AS o, max(state) FILTER (child = 'platforms') AS pl, max(state) FILTER (child = 'meta_version') AS m FROM states GROUP BY ALL)
 SELECT DISTINCT raw_id, attr_path, shape || ':outputs=' || o || ',platforms=' || pl || coalesce(',meta_version=' || m, '') AS variant,
   CASE WHEN json_type(x.p, '$.version') = 'VARCHAR' THEN x.p ->> '$.version' END AS version, CASE WHEN json_type(x.p, '$.system') = 'VARCHAR' THEN x.p ->> '$.system' END AS system
@@ -288,7 +288,7 @@ FROM numbered x JOIN said USING (package)"""
 
 def _p6_table_sql(name: str) -> str:
     more = {"outputs_object": ", path", "outputs_single": ", path, is_default", "outputs_array": ", path, is_default"}.get(name, "")
-    return _P6_LEAVES + f"SELECT raw_id, attr_path, ordinal, depth, item{more} FROM items WHERE \"table\" = '{name}'"
+    return P6_LEAVES + f"SELECT raw_id, attr_path, ordinal, depth, item{more} FROM items WHERE \"table\" = '{name}'"
 
 
 QUERIES = {
@@ -311,7 +311,7 @@ SQL = {
     "p4_found": P4_SQL,
     "p5_found": P5_SQL,
     "p5_totals": P5_TOTALS_SQL,
-    "p6_found": _P6_LEAVES + "SELECT DISTINCT raw_id, attr_path, child, item FROM items",
+    "p6_found": P6_LEAVES + "SELECT DISTINCT raw_id, attr_path, child, item FROM items",
     "p6_packages": P6_PACKAGES_SQL,
     **{f"p6_{t}": _p6_table_sql(t) for t in CHILD_TABLES},
 }

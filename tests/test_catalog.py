@@ -106,11 +106,12 @@ def test_phrase(c):
 
 def test_common_commit(c, rows):
     assert [(r.version_id, r.commit_seq) for r in history.common_commits(c).collect()] == [(2, 3)]
-    wide = history.at_common_commit(lookup.resolve(c, "python", "3.12"), history.common_commits(c))
-    assert {r.commit_hash for r in wide.collect()} == {f"{3:040x}"}
-    spans = [(1, "a", 1, 5), (1, "a", 8, 9), (1, "b", 4, 8), (2, "a", 1, 2), (2, "b", 3, 4), (3, "a", 1, 7)]
+    assert {r.commit_hash for r in history.at_common_commit(c, lookup.resolve(c, "python", "3.12")).collect()} == {f"{3:040x}"}
+    other = lookup.resolve(c, "python", "3.12").limit(1).withColumn("system", F.lit("riscv64-linux"))  # a system without live ranges keeps its commit
+    assert {r.commit_hash for r in history.at_common_commit(c, other).collect()} == {f"{1:040x}"}
+    spans = [(4, "a", 1, 9), (4, "a", 2, 3), (4, "b", 2, 2), (4, "b", 6, 4), (5, "a", 1, None), (5, "b", 3, 1), (1, "a", 1, 5), (1, "a", 8, 9), (1, "b", 4, 8), (2, "a", 1, 2), (2, "b", 3, 4), (3, "a", 1, 7)]
     df = c.spark.createDataFrame(spans, "e int, g string, lo int, hi int")
-    assert rows(history.newest_common(df, "e", "g", "lo", "hi")) == [(1, 2, 8), (2, 2, None), (3, 1, 7)]
+    assert rows(history.newest_common(df, "e", "g", "lo", "hi")) == [(1, 2, 8), (2, 2, None), (3, 1, 7), (4, 2, 2)]
 
 
 def test_runs_and_content(c, rows):
@@ -171,8 +172,8 @@ def test_responses(c, rows):
     doc = render.resolve_document(lookup.resolve(c, "python", "3.12")).first()[0]
     assert doc.startswith('{"name":"python","version":"3.12.0"') and f'"{MAC}":' in doc
     assert render.resolve_document(lookup.resolve(c, "python", "99")).count() == 0
-    outs = c.spark.createDataFrame([(1, LINUX, "out", True), (1, MAC, "out", True), (1, LINUX, "dev", False), (2, LINUX, "out", True), (3, "x", "o", False)], "v int, system string, name string, is_default boolean")
-    assert rows(render.outputs_summary(outs, ["v"])) == [(1, "out, dev (Linux only)"), (2, ""), (3, "")]
+    outs = c.spark.createDataFrame([(1, LINUX, "out", True, 0), (1, MAC, "out", True, 1), (1, LINUX, "dev", False, 2), (2, LINUX, "out", True, 0), (3, "x", "o", False, 0), (4, LINUX, "o", True, 0), (4, LINUX, "o", None, 1), (4, MAC, "p", True, 2)], "v int, system string, name string, is_default boolean, ordinal int")
+    assert rows(render.outputs_summary(outs, ["v"], ["ordinal"])) == [(1, "out, dev (Linux only)"), (2, ""), (3, ""), (4, "p (macOS only), o (Linux only)")]
     legacy = render.legacy_versions(lookup.result_rows(c, c.shown_variants())).where("version_id = 5").first()
     assert (legacy.attr_paths, legacy.platforms) == ("go,go_1_22", LINUX)
     runs = c.spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, None), (6, None)], "n int, k string")
