@@ -103,6 +103,29 @@ def satisfies(c: Constraint, major: Column, minor: Column, patch: Column, pre: C
     return F.coalesce(out, F.lit(False))
 
 
-def prefix_with_boundary(version: Column, text: str) -> Column:
+#: Columns of a request table that hold a parsed constraint.
+CONSTRAINT_COLUMNS = ",".join(f"{s}_{k}" for s in ("low", "high") for k in ("major long", "minor long", "patch long", "pre string", "in boolean")) + ",ranged boolean,prereleases boolean"
+
+
+def constraint_row(c: Constraint | None) -> tuple:
+    """A constraint as values of ``CONSTRAINT_COLUMNS``; None is no range."""
+    out: list = []
+    for b in (c.low, c.high) if c else (None, None):
+        out += [None] * 5 if b is None else [*b.numbers, b.pre, b.inclusive]
+    return (*out, c is not None, c is not None and (c.exact or any(b and b.pre for b in (c.low, c.high))))
+
+
+def satisfies_row(major: Column, minor: Column, patch: Column, pre: Column) -> Column:
+    """``satisfies`` with the constraint in the row's own ``CONSTRAINT_COLUMNS``."""
+    own = precedence(major, minor, patch, pre)
+    bound = lambda s: precedence(*(F.col(f"{s}_{k}") for k in ("major", "minor", "patch", "pre")))
+    final = F.coalesce(pre, F.lit("")) == ""
+    above = F.col("low_major").isNull() | (own > bound("low")) | (F.col("low_in") & (own == bound("low")))
+    below = F.col("high_major").isNull() | (own < bound("high")) | (F.col("high_in") & (own == bound("high")))
+    return F.coalesce(F.col("ranged") & major.isNotNull() & (final | F.col("prereleases")) & above & below, F.lit(False))
+
+
+def prefix_with_boundary(version: Column, text: str | Column) -> Column:
     """The version itself, or one that goes on after it with a dot or a dash."""
-    return (version == text) | version.startswith(text + ".") | version.startswith(text + "-")
+    text = F.lit(text) if isinstance(text, str) else text
+    return (version == text) | version.startswith(F.concat(text, F.lit("."))) | version.startswith(F.concat(text, F.lit("-")))

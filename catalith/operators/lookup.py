@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.functions.constraint import parse_constraint, prefix_with_boundary, satisfies
+from catalith.functions.constraint import CONSTRAINT_COLUMNS, constraint_row, parse_constraint, prefix_with_boundary, satisfies, satisfies_row
 from catalith.functions.names import name_key_of
-from catalith.sources.catalog import Catalog, literal_rows
+from catalith.session import materialised
+from catalith.sources.catalog import Catalog, given, literal_rows
 
 OPEN_END = 2147483647
+#: Rows that a search lists at most unless the caller lifts it.
+ROWS = 1000
 
 
 def variants_of(c: Catalog, term: str) -> DataFrame:
     """``(variant_id, version_id)`` of what goes by a name (whatever its case) or lies at an attribute path (exactly).
 
-    Two walks and a union, so that either side keeps its own pushed filter.
+    Two walks and a union, so that either side keeps its own pushed filter; copies of a record are made one among the hits alone.
     """
-    named = c.packages("package_id", "name_key").where(F.col("name_key") == name_key_of(term)).select("package_id")
-    by_name = c.variants("variant_id", "version_id").join(c.versions("version_id", "package_id").join(named, "package_id", "left_semi"), "version_id", "left_semi")
-    by_path = c.variants("variant_id", "version_id", "attr_path").where(F.col("attr_path") == term).select("variant_id", "version_id")
+    v = c.raw("variants").withColumnRenamed("id", "variant_id")
+    named = c.packages_named(literal_rows(c.spark, [(name_key_of(term),)], "name_key string")).select("package_id")
+    owned = c.raw("versions").select(F.col("id").alias("version_id"), "package_id").join(named, "package_id", "left_semi").select("version_id")
+    by_name = v.select("variant_id", "version_id").join(owned, "version_id", "left_semi").select("variant_id", "version_id")
+    by_path = v.where(F.col("attr_path") == term).select("variant_id", "version_id")
     return by_name.unionByName(by_path).distinct()
 
 
@@ -27,7 +32,7 @@ def result_rows(c: Catalog, variants: DataFrame) -> DataFrame:
     """The wide row that queries return: variants with their version, package, metadata and commit of last change."""
     commits = c.commits("seq", "hash", "committed_at").select(F.col("seq").alias("commit_seq"), F.col("hash").alias("commit_hash"), F.col("committed_at").alias("last_updated"))
     meta = c.meta("meta_id", "summary", "description", "homepage", "license", "platforms")
-    packages = c.packages("package_id", "name")
+    packages = c.raw("packages").select(F.col("id").alias("package_id"), "name").distinct()
     wide = variants.join(c.versions("version_id", "package_id", "version", "sort_key", "prerelease"), "version_id").join(packages, "package_id").join(meta, "meta_id").join(commits, "commit_seq")
     columns = ["name", "version", "commit_hash", "last_updated", "store_hash", "store_name", F.col("version").alias("store_version"), "meta_name", "meta_version", "attr_path", "system", "program"]
     columns += ["summary", "description", "homepage", "license", "broken", "insecure", "prerelease", "platforms"]
@@ -48,7 +53,7 @@ def scoped(rows: DataFrame, system: str | None = None, no_prerelease: bool = Fal
 def versions_by_name(c: Catalog, term: str, system: str | None = None, no_prerelease: bool = False) -> DataFrame:
     """Every version of a name or attribute path, newest first, then by system and path."""
     hit = variants_of(c, term).select("variant_id")
-    rows = scoped(result_rows(c, c.shown_variants().join(hit, "variant_id", "left_semi")), system, no_prerelease)
+    rows = scoped(result_rows(c, c.shown_variants(among=hit)), system, no_prerelease)
     return rows.orderBy(*release_order(), "system", "attr_path")
 
 
@@ -58,21 +63,23 @@ def last_seen(ranges: DataFrame) -> DataFrame:
     return own.groupBy("variant_id").agg(F.max(F.coalesce("last_seq", F.lit(OPEN_END))).alias("last_seen"))
 
 
-def version_standing(c: Catalog, system: str | None = None) -> DataFrame:
-    """``(version_id, working, last_seen)`` of each version with variants in scope: any of them not broken, newest presence."""
-    v = c.variants("variant_id", "version_id", "system", "broken")
+def version_standing(c: Catalog, system: str | None = None, among: DataFrame | None = None) -> DataFrame:
+    """``(version_id, working, last_seen)`` of each version (or of those ``among``) with variants in scope: any of them not broken, newest presence."""
+    v = c.variants("variant_id", "version_id", "system", "broken", among=among)
     v = v.where(F.col("system") == system) if system else v
-    seen = v.join(last_seen(c.ranges("variant_id", "last_seq", "seeded")), "variant_id", "left")
+    seen = v.join(last_seen(c.ranges("variant_id", "last_seq", "seeded", among=None if among is None else v.select("variant_id"))), "variant_id", "left")
     return seen.groupBy("version_id").agg(F.bool_or(~F.coalesce("broken", F.lit(False))).alias("working"), F.max(F.coalesce("last_seen", F.lit(0))).alias("last_seen"))
 
 
-def latest_versions(c: Catalog, by: str = "package_id", system: str | None = None, prereleases: str = "last") -> DataFrame:
+def latest_versions(c: Catalog, by: str = "package_id", system: str | None = None, prereleases: str = "last", among: DataFrame | None = None) -> DataFrame:
     """``(by, version_id, version, prerelease)``: the version ``latest`` means for every package, or every ``name_key``.
 
     In order: no prerelease (``prereleases="last"``; ``"never"`` leaves them out, ``"any"`` ignores the mark), a variant that isn't broken, newest
-    presence, highest version; then the smaller version string and id. A group without variants in scope has no row.
+    presence, highest version; then the smaller version string and id. A group without variants in scope has no row. ``among (package_id)``
+    leaves other packages unread.
     """
-    rows = version_standing(c, system).join(c.versions("version_id", "package_id", "version", "sort_key", "prerelease"), "version_id")
+    versions = c.versions("version_id", "package_id", "version", "sort_key", "prerelease", among=among)
+    rows = version_standing(c, system, None if among is None else versions.select("version_id")).join(versions, "version_id")
     if by == "name_key":
         rows = rows.join(c.packages("package_id", "name_key"), "package_id")
     if prereleases == "never":
@@ -82,27 +89,32 @@ def latest_versions(c: Catalog, by: str = "package_id", system: str | None = Non
     return ranked.where(F.col("_place") == 1).select(by, "version_id", "version", "prerelease")
 
 
-def wanted_names(c: Catalog, names: list[str]) -> DataFrame:
-    return literal_rows(c.spark, [(k, n, name_key_of(n)) for k, n in enumerate(names, 1)], ["ord", "wanted", "name_key"])
+def requested(c: Catalog, rows: list[tuple], schema: str) -> tuple[DataFrame, DataFrame]:
+    """A caller's list of ``(ord, wanted, name_key, ...)`` as a table, and ``(ord, variant_id, version_id)`` of what each means by package name or attribute path."""
+    wanted = given(literal_rows(c.spark, rows, schema), len(rows))
+    v = c.raw("variants").select(F.col("id").alias("variant_id"), "version_id", "attr_path")
+    named = c.packages_named(wanted.select("name_key", "ord")).join(c.raw("versions").select(F.col("id").alias("version_id"), "package_id"), "package_id").select("ord", "version_id").distinct()
+    hits = v.join(named, "version_id").select("ord", "variant_id", "version_id")
+    hits = hits.unionByName(v.join(wanted.select("ord", F.col("wanted").alias("attr_path")), "attr_path").select("ord", "variant_id", "version_id")).distinct()
+    return wanted, materialised(hits)  # needed more than once
 
 
 def latest_for(c: Catalog, names: list[str]) -> DataFrame:
     """``(ord, wanted, version, systems, attr_path, last_updated)`` in the order of a list of names; a miss has nulls.
 
-    A wanted name is met by package name or attribute path.
+    A wanted name is met by package name or attribute path. Only what is met is read on.
     """
-    wanted = F.broadcast(wanted_names(c, names))
-    v = c.variants("variant_id", "version_id", "attr_path")
-    named = wanted.join(c.packages("package_id", "name_key"), "name_key").join(c.versions("package_id", "version_id"), "package_id")
-    hits = v.join(named.select("ord", "version_id"), "version_id").select("ord", "variant_id", "version_id")
-    hits = hits.union(v.join(wanted.select("ord", F.col("wanted").alias("attr_path")), "attr_path").select("ord", "variant_id", "version_id")).distinct()
-    working = c.variants("version_id", "broken").where(~F.coalesce("broken", F.lit(False))).select("version_id").distinct().withColumn("working", F.lit(True))
-    rows = hits.join(last_seen(c.ranges("variant_id", "last_seq", "seeded")), "variant_id", "left").join(working, "version_id", "left").join(c.versions("version_id", "version", "sort_key", "prerelease"), "version_id")
+    wanted, hits = requested(c, [(k, n, name_key_of(n)) for k, n in enumerate(names, 1)], "ord int,wanted string,name_key string")
+    ids = hits.select("version_id").distinct()
+    own = c.variants("variant_id", "version_id", "system", "attr_path", "commit_seq", "broken", among=ids)
+    working = own.groupBy("version_id").agg(F.bool_or(~F.coalesce("broken", F.lit(False))).alias("working"))
+    rows = hits.join(last_seen(c.ranges("variant_id", "last_seq", "seeded", among=hits.select("variant_id"))), "variant_id", "left")
+    rows = rows.join(working, "version_id", "left").join(c.versions("version_id", "version", "sort_key", "prerelease", among=ids), "version_id")
     seen, works = F.coalesce("last_seen", F.lit(0)), F.coalesce("working", F.lit(False))
     first = F.row_number().over(Window.partitionBy("ord").orderBy(F.asc("prerelease"), works.desc(), seen.desc(), *release_order()))
     best = rows.withColumn("_place", first).where(F.col("_place") == 1).select("ord", "version_id", "version")
     commits = c.commits("seq", "committed_at").select(F.col("seq").alias("commit_seq"), "committed_at")
-    detail = best.join(c.variants("version_id", "system", "attr_path", "commit_seq"), "version_id").join(commits, "commit_seq")
+    detail = own.select("version_id", "system", "attr_path", "commit_seq").join(best, "version_id").join(commits, "commit_seq")
     facts = detail.groupBy("ord", "version").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"), F.min("attr_path").alias("attr_path"), F.max("committed_at").alias("last_updated"))
     return wanted.select("ord", "wanted").join(facts, "ord", "left").orderBy("ord")
 
@@ -112,33 +124,25 @@ def constrained_versions(c: Catalog, requests: list[tuple[str, str]]) -> DataFra
 
     A constraint that is a range of semantic versions is met by those; if none is, or the text is no range, by versions
     it is a prefix of up to a dot or dash. Every candidate counts, however many there are. A request that nothing meets has nulls.
+    The parsed bounds are columns of the request table, so the plan is the same for any number of requests.
     """
-    rows = literal_rows(c.spark, [(k, n, t, name_key_of(n)) for k, (n, t) in enumerate(requests, 1)], ["ord", "wanted", "constraint", "name_key"])
-    wanted = F.broadcast(rows)
-    v = c.variants("version_id", "attr_path").distinct()
-    ids = wanted.join(c.packages("package_id", "name_key"), "name_key").join(c.versions("package_id", "version_id"), "package_id").select("ord", "version_id")
-    ids = ids.join(v.select("version_id"), "version_id", "left_semi").select("ord", "version_id")
-    by_path = v.join(wanted.select("ord", F.col("wanted").alias("attr_path")), "attr_path").select("ord", "version_id")
-    columns = ["version_id", "version", "sort_key", *(f"semver_{x}" for x in ("major", "minor", "patch", "pre"))]
-    candidates = ids.union(by_path).distinct().join(c.versions(*columns), "version_id")
-    fits, near = F.lit(False), F.lit(False)
-    for k, (_, text) in enumerate(requests, 1):
-        parsed = parse_constraint(text)
-        mine = F.col("ord") == k
-        if parsed:
-            fits = fits | (mine & satisfies(parsed, *(F.col(f"semver_{x}") for x in ("major", "minor", "patch", "pre"))))
-        near = near | (mine & prefix_with_boundary(F.col("version"), text))
-    met = candidates.withColumn("_fits", fits).where(F.col("_fits") | near)
+    rows = [(k, n, name_key_of(n), t, *constraint_row(parse_constraint(t))) for k, (n, t) in enumerate(requests, 1)]
+    wanted, hits = requested(c, rows, f"ord int,wanted string,name_key string,constraint string,{CONSTRAINT_COLUMNS}")
+    ids = hits.select("ord", "version_id").distinct()
+    parts = [f"semver_{x}" for x in ("major", "minor", "patch", "pre")]
+    candidates = ids.join(c.versions("version_id", "version", "sort_key", *parts, among=ids.select("version_id")), "version_id").join(wanted, "ord")
+    met = candidates.withColumn("_fits", satisfies_row(*map(F.col, parts))).where(F.col("_fits") | prefix_with_boundary(F.col("version"), F.col("constraint")))
     first = F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("_fits"), *release_order()))
     best = met.withColumn("_place", first).where(F.col("_place") == 1).select("ord", "version_id", "version")
-    return rows.select("ord", "wanted", "constraint").join(best, "ord", "left").orderBy("ord")
+    return wanted.select("ord", "wanted", "constraint").join(best, "ord", "left").orderBy("ord")
 
 
-def newest_releases(c: Catalog, count: int | None) -> DataFrame:
-    """``(package_id, place, version, systems)``: the newest releases that have variants, all of them for None."""
-    systems = c.variants("version_id", "system").groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"))
-    rows = c.versions("version_id", "package_id", "version", "sort_key").join(systems, "version_id")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("package_id").orderBy(*release_order())))
+def newest_releases(c: Catalog, count: int | None, among: DataFrame | None = None) -> DataFrame:
+    """``(package_id, place, version, systems)``: the newest releases that have variants, all of them for None; of the packages ``among`` only, if given."""
+    versions = c.versions("version_id", "package_id", "version", "sort_key", among=among)
+    variants = c.variants("version_id", "system", among=None if among is None else versions.select("version_id"))
+    systems = variants.groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("system")), ",").alias("systems"))
+    rows = versions.join(systems, "version_id").withColumn("place", F.row_number().over(Window.partitionBy("package_id").orderBy(*release_order())))
     return (rows if count is None else rows.where(F.col("place") <= count)).select("package_id", "place", "version", "systems")
 
 
@@ -154,38 +158,41 @@ def consecutive_groups(rows: DataFrame, scope: list[str], order: list[Column], k
     return rows.withColumn("_new", new).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
-def dispatch(c: Catalog, *, phrase: str = "", name: str = "", version: str = "", system: str = "", no_prerelease: bool = False, releases: int | str | None = None) -> DataFrame:
+def dispatch(c: Catalog, *, phrase: str = "", name: str = "", version: str = "", system: str = "", no_prerelease: bool = False, releases: str | None = None, limit: int | None = ROWS) -> DataFrame:
     """One entry for the kinds of search: a phrase alone, a name alone, a name with a version or constraint."""
     from catalith.functions.names import normalized
     from catalith.operators.phrase import search_phrase
 
     phrase, name, version, system = (normalized(x) for x in (phrase, name, version, system.lower()))
     if phrase and not name:
-        return search_phrase(c, phrase, latest_only=version == "latest", releases=releases)
+        return search_phrase(c, phrase, latest_only=version == "latest", releases=releases, rows=limit)
     if name and not version:
         return versions_by_name(c, name, system or None, no_prerelease)
     if name and version:
-        return by_name_and_version(c, name, version, system or None, no_prerelease)
+        return by_name_and_version(c, name, version, system or None, no_prerelease, limit=limit)
     raise ValueError("unsupported search: neither a phrase nor a name")
 
 
-def by_name_and_version(c: Catalog, name: str, version: str, system: str | None = None, no_prerelease: bool = False, prereleases_last: bool = False) -> DataFrame:
-    """All rows in scope of the one version that a name and ``latest`` or a constraint mean; at most 1,000, by system and path."""
+def by_name_and_version(c: Catalog, name: str, version: str, system: str | None = None, no_prerelease: bool = False, prereleases_last: bool = False, limit: int | None = ROWS) -> DataFrame:
+    """All rows in scope of the one version that a name and ``latest`` or a constraint mean, by system and path; at most ``limit``, all for None."""
     columns = ["version_id", "package_id", "version", "sort_key", "prerelease", *(f"semver_{x}" for x in ("major", "minor", "patch", "pre"))]
-    hits = c.variants("variant_id", "version_id", "system").join(variants_of(c, name).select("variant_id"), "variant_id", "left_semi")
-    hits = scoped(hits.join(c.versions(*columns), "version_id"), system, no_prerelease)
+    found = materialised(variants_of(c, name))  # needed more than once
+    ids = found.select("version_id").distinct()
+    own = c.variants("variant_id", "version_id", "system", "broken", among=ids)
+    hits = scoped(own.join(found.select("variant_id"), "variant_id", "left_semi").join(c.versions(*columns, among=ids), "version_id"), system, no_prerelease)
     if version == "latest":
-        working = version_standing(c, system).select("version_id", "working")
+        within = own.where(F.col("system") == system) if system else own
+        working = within.groupBy("version_id").agg(F.bool_or(~F.coalesce("broken", F.lit(False))).alias("working"))
         order = [F.asc("prerelease")] * prereleases_last + [F.desc("working"), F.coalesce("last_seen", F.lit(0)).desc(), *release_order()]
-        ranked = hits.join(last_seen(c.ranges("variant_id", "last_seq", "seeded")), "variant_id", "left").join(working, "version_id")
+        ranked = hits.join(last_seen(c.ranges("variant_id", "last_seq", "seeded", among=found.select("variant_id"))), "variant_id", "left").join(working, "version_id")
     else:
         parsed = parse_constraint(version)
         fits = satisfies(parsed, *(F.col(f"semver_{x}") for x in ("major", "minor", "patch", "pre"))) if parsed else F.lit(False)
         ranked = hits.withColumn("_fits", fits).where(F.col("_fits") | prefix_with_boundary(F.col("version"), version))
         order = [F.desc("_fits"), *release_order()]
-    best = ranked.orderBy(*order).limit(1).select("version_id")
-    rows = scoped(result_rows(c, c.shown_variants().join(F.broadcast(best), "version_id", "left_semi")), system, no_prerelease)
-    return rows.orderBy("system", "attr_path").limit(1000)
+    best = F.broadcast(ranked.orderBy(*order).limit(1).select("version_id"))  # one row
+    rows = scoped(result_rows(c, c.shown_variants(among=best)), system, no_prerelease).orderBy("system", "attr_path")
+    return rows if limit is None else rows.limit(limit)
 
 
 def resolve(c: Catalog, name: str, version: str, system: str | None = None) -> DataFrame:

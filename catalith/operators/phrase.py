@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.names import PHRASE_ALIASES
 from catalith.functions.trigram import ALIKE, similarity_of, trigrams, trigrams_of
-from catalith.operators.lookup import first_per_key, latest_versions, newest_releases, release_order, result_rows
-from catalith.sources.catalog import Catalog, small
+from catalith.operators.lookup import ROWS, first_per_key, latest_versions, newest_releases, release_order, result_rows
+from catalith.operators.status import numbered
+from catalith.session import materialised
+from catalith.sources.catalog import Catalog, given, small
+
+#: Packages that a phrase finds at most, unless the caller lifts it.
+HITS = 50
+
 
-#: Packages that a phrase finds at most, and rows when all their versions are listed.
-HITS, ROWS = 50, 1000
+def parse_releases(value: str | None) -> int | str | None:
+    """How many releases a request asks for: None for none, ``all``, or a count; a count beyond exact integers is all, other text an error."""
+    if value is None or value == "all":
+        return value
+    if not re.fullmatch("[1-9][0-9]*", value):
+        raise ValueError(f"releases must be a positive integer or all: {value!r}")
+    return int(value) if int(value) <= 9007199254740991 else "all"
 
 
 def _scored(terms: DataFrame, low: Column, own: Column, aliases: Column, *more: str) -> DataFrame:
@@ -33,23 +46,32 @@ def _scored(terms: DataFrame, low: Column, own: Column, aliases: Column, *more:
     return ranked.where((F.col("_tier") > 0) | (F.col("_s") >= ALIKE)).select(*more, "package_id", "name", (F.col("_tier") + 100 * F.col("_s") + F.col("_top")).alias("rank"))
 
 
-def rank_phrase(c: Catalog, phrase: str, hits: int = HITS, aliases: dict[str, list[str]] = PHRASE_ALIASES) -> DataFrame:
+def rank_phrase(c: Catalog, phrase: str, hits: int | None = HITS, aliases: dict[str, list[str]] = PHRASE_ALIASES) -> DataFrame:
     """``(ord, package_id, name, rank)`` of the packages a phrase finds, best first, ties by name and id.
 
     Alias 2000, exact name 1000, exact path 900, name prefix 800, path prefix 700, else 0; plus 100 times the trigram similarity, plus 25
     for a path without a dot; a package has the best of its paths. Similar terms count only when fewer than
-    ``hits`` packages match by prefix. One scan of the terms scores both tiers, as the lower tier never reaches the upper's scores.
+    ``hits`` packages match by prefix. One scan of the terms scores both tiers, as the lower tier never reaches the upper's scores; names and
+    paths that share no trigram with the phrase, begin otherwise and are no alias are left out before they are scored. ``hits=None`` lists all.
     """
     known = [a.lower() for a in aliases.get(phrase.lower(), [])] if any(ch.isalnum() for ch in phrase) else []
     texts = lambda values: F.array(*(F.lit(t) for t in values)).cast("array<string>")
-    scored = _scored(c.search_terms, F.lit(phrase.lower()), texts(trigrams_of(phrase)), texts(known))
+    low, own = phrase.lower(), trigrams_of(phrase)
+    # A shared trigram lies within a word: its text without the padding occurs in the name or path.
+    cores = "|".join(dict.fromkeys(re.escape(g.strip()) for g in own))
+    begins = lambda c: F.lower(c).startswith(low) | F.lower(c).isin(known)
+    may = lambda c: begins(c) | F.lower(c).rlike(cores) if cores else begins(c)
+    scored = _scored(c.search_terms.where(may("name") | may("attr_path")), F.lit(low), texts(own), texts(known))
     best = scored.groupBy("package_id", "name").agg(F.max("rank").alias("rank"))
+    if hits is None:
+        listed = numbered(best.withColumn("_down", -F.col("rank")), ["_down", "name", "package_id"], "ord")
+        return listed.select(F.col("ord").cast("int").alias("ord"), "package_id", "name", "rank")
     top = best.orderBy(F.desc("rank"), "name", "package_id").limit(hits)
     ordered = top.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("rank"), "name", "package_id"))).alias("a"))  # at most ``hits`` rows
     return ordered.select(F.posexplode("a").alias("ord", "h")).select((F.col("ord") + 1).alias("ord"), "h.package_id", "h.name", (-F.col("h.rank")).alias("rank"))
 
 
-def rank_phrases(c: Catalog, phrases: DataFrame, hits: int = HITS, aliases: dict[str, list[str]] = PHRASE_ALIASES) -> DataFrame:
+def rank_phrases(c: Catalog, phrases: DataFrame, hits: int | None = HITS, aliases: dict[str, list[str]] = PHRASE_ALIASES) -> DataFrame:
     """``(phrase, ord, package_id, name, rank)`` of ``phrases (phrase)``: what ``rank_phrase`` gives for each, all at once.
 
     Phrases meet the distinct names and paths by trigram postings, by each prefix and by alias, so that only what may match is
@@ -75,28 +97,34 @@ def rank_phrases(c: Catalog, phrases: DataFrame, hits: int = HITS, aliases: dict
     scored = _scored(found, F.col("_low"), F.col("_own"), F.col("_aliases"), "phrase")
     best = scored.groupBy("phrase", "package_id", "name").agg(F.max("rank").alias("rank"))
     w = Window.partitionBy("phrase").orderBy(F.desc("rank"), "name", "package_id")
-    return best.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= hits).select("phrase", "ord", "package_id", "name", "rank")
+    placed = best.withColumn("ord", F.row_number().over(w))
+    return (placed if hits is None else placed.where(F.col("ord") <= hits)).select("phrase", "ord", "package_id", "name", "rank")
 
 
-def search_phrase(c: Catalog, phrase: str, latest_only: bool = True, releases: int | str | None = None) -> DataFrame:
+def search_phrase(c: Catalog, phrase: str, latest_only: bool = True, releases: str | None = None, hits: int | None = HITS, rows: int | None = ROWS) -> DataFrame:
     """Rows of the packages a phrase finds, in their order: one at its latest version each, or one for each version.
 
-    Of a version's rows the first by system and path is taken; ``releases`` adds the newest releases with their systems.
+    Of a version's rows the first by system and path is taken; ``releases`` (see ``parse_releases``) adds the newest releases with their systems.
+    ``hits`` bounds the packages, ``rows`` the versions' rows; None lifts either. Only what the hits need is read on.
     """
-    hits = F.broadcast(rank_phrase(c, phrase).select("ord", "package_id"))
+    asked = parse_releases(None if releases is None else str(releases))
+    found = rank_phrase(c, phrase, hits).select("ord", "package_id")
+    found = materialised(found)  # the ranking is needed more than once
+    found = found if hits is None else given(found, hits)
+    packages = found.select("package_id")
     if latest_only:
-        chosen = latest_versions(c).join(hits, "package_id").select("ord", "version_id")
+        chosen = latest_versions(c, among=packages).join(found, "package_id").select("ord", "version_id")
     else:
-        chosen = c.versions("package_id", "version_id").join(hits, "package_id").select("ord", "version_id")
-    rows = result_rows(c, c.shown_variants().join(chosen.select("version_id"), "version_id", "left_semi")).join(chosen, "version_id")
+        chosen = c.versions("package_id", "version_id", among=packages).join(found, "package_id").select("ord", "version_id")
+    out = result_rows(c, c.shown_variants(among=chosen.select("version_id"))).join(chosen, "version_id")
     if not latest_only:
-        rows = first_per_key(rows, ["ord", "sort_key", "version"], [F.asc("system"), F.asc("attr_path")])
-        return rows.orderBy("ord", *release_order(), "system", "attr_path").limit(ROWS)
-    systems = c.variants("version_id", "system").groupBy("version_id").agg(F.array_sort(F.collect_set("system")).alias("version_systems"))
-    rows = first_per_key(rows, ["ord"], [F.asc("system"), F.asc("attr_path")]).join(systems, "version_id")
-    if releases is not None:
-        listed = newest_releases(c, None if releases == "all" else int(releases)).join(hits, "package_id")
+        out = first_per_key(out, ["ord", "sort_key", "version"], [F.asc("system"), F.asc("attr_path")]).orderBy("ord", *release_order(), "system", "attr_path")
+        return out if rows is None else out.limit(rows)
+    systems = c.variants("version_id", "system", among=chosen.select("version_id")).groupBy("version_id").agg(F.array_sort(F.collect_set("system")).alias("version_systems"))
+    out = first_per_key(out, ["ord"], [F.asc("system"), F.asc("attr_path")]).join(systems, "version_id")
+    if asked is not None:
+        listed = newest_releases(c, None if asked == "all" else asked, among=packages)
         one = F.struct("place", "version", "systems")
         listed = listed.groupBy("package_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["version"].alias("version"), F.split(x["systems"], ",").alias("systems")))).alias("releases"))
-        rows = rows.join(listed, "package_id", "left")
-    return rows.orderBy("ord")
+        out = out.join(listed, "package_id", "left")
+    return out.orderBy("ord")

@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from catalith.session import ship
 
+#: Schemas that were read before, by application, path and state of the path.
+_schemas: dict[tuple, StructType] = {}
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """One Parquet table of a data folder; columns are pruned and filters pushed by the reader."""
+    """One Parquet table of a data folder; columns are pruned and filters pushed by the reader.
+
+    The schema of a path is read once, as that is a job of its own, and again when the path's length or time has changed.
+    """
     ship(spark)
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    path, sc = f"{base}/{name}.parquet", spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return spark.read.parquet(path)  # the reader's own error, or a pattern
+    state = fs.getFileStatus(at)
+    key = (sc.applicationId, path, state.getLen(), state.getModificationTime())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)

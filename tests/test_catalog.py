@@ -90,14 +90,22 @@ def test_lookup_and_constraints(c):
         assert {r.version for r in lookup.resolve(c, name, text).collect()} == ({want} if want else set())
     assert {(r.version, r.system) for r in lookup.resolve(c, "python", "latest").collect()} == {("3.12.0", LINUX), ("3.12.0", MAC)}
     assert {r.version for r in lookup.resolve(c, "gone", "latest").collect()} == {"1.0.0-pre"}
+    many = lookup.constrained_versions(c, asked * 100).collect()
+    assert len(many) == 600 and [r.version for r in many[-6:]] == ["3.11.0", "3.12.0", None, None, "2017.3.30", None]
     with pytest.raises(ValueError):
         lookup.dispatch(c)
+    assert lookup.resolve(c, "python", "latest").limit(1).count() == 1 and lookup.by_name_and_version(c, "python", "latest", prereleases_last=True, limit=1).count() == 1 and lookup.by_name_and_version(c, "python", "latest", prereleases_last=True, limit=None).count() == 2
     assert lookup.dispatch(c, name=" python ", system="X86_64-LINUX").count() == 3
 
 
 def test_phrase(c):
     names = lambda p, **k: [r.name for r in phrase.rank_phrase(c, p, **k).collect()]
     assert names("python")[:2] == ["python", "pythonqt"] and names("go")[0] == "Go" and names("golang") == ["Go"] and names("-") == []
+    assert names("py", hits=None)[:2] == ["python", "pythonqt"] and [phrase.parse_releases(x) for x in (None, "all", "7", "99999999999999999999")] == [None, "all", 7, "all"]
+    for bad in ("0", "-1", "x", "", "1.5", "\u0661"):
+        with pytest.raises(ValueError):
+            phrase.parse_releases(bad)
+    assert phrase.search_phrase(c, "python", latest_only=False, hits=None, rows=None).count() == 5 and phrase.search_phrase(c, "python", latest_only=False, rows=2).count() == 2
     assert names("py", hits=1) == ["python"] and "go-task" in names("task")
     rows = phrase.search_phrase(c, "python", releases=1).collect()
     assert [(r.name, r.version, r.system) for r in rows] == [("python", "3.12.0", MAC), ("pythonqt", "2.0.0", LINUX)] and '"version":"3.13.0-rc1"' in rows[0].releases

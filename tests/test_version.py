@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalith.functions import version as V
-from catalith.functions.constraint import parse_constraint, prefix_with_boundary, satisfies
+from catalith.functions.constraint import CONSTRAINT_COLUMNS, constraint_row, parse_constraint, prefix_with_boundary, satisfies, satisfies_row
 
 TAGS = {"a", "b", "c", "rc", "alpha", "beta", "pre", "preview"}
 
@@ -72,7 +72,11 @@ def test_constraints(spark):
     df = spark.createDataFrame(rows, "v string, a long, b long, c long, p string")
 
     def met(text):
-        return [r.v for r in df.where(satisfies(parse_constraint(text), F.col("a"), F.col("b"), F.col("c"), F.col("p"))).collect()]
+        row = ", ".join(f"cast({v!r} as {k.split()[1]}) as {k.split()[0]}" if v is not None else f"cast(null as {k.split()[1]}) as {k.split()[0]}" for v, k in zip(constraint_row(parse_constraint(text)), CONSTRAINT_COLUMNS.split(",")))
+        joined = [r.v for r in df.selectExpr("*", *row.split(", ")).where(satisfies_row(F.col("a"), F.col("b"), F.col("c"), F.col("p"))).collect()]
+        alone = [r.v for r in df.where(satisfies(parse_constraint(text), F.col("a"), F.col("b"), F.col("c"), F.col("p"))).collect()]
+        assert joined == alone, text
+        return alone
 
     assert met("^1.2") == ["1.2.3", "1.3.0"] and met("~1.2") == ["1.2.3"] and met("1") == ["1.2.3", "1.3.0"]
     assert met("^0.2.1") == ["0.2.5"] and met("^0") == ["0.2.5", "0.3.0"] and met(">=1.3 <2") == ["1.3.0"]
