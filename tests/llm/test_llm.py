@@ -137,7 +137,7 @@ def test_leaks_against_brute_force(spark, rows):
     held = spark.createDataFrame([*((k, ", ".join(w)) for k, w in enumerate(items)), (90, None), (91, " "), (0, ", ".join(items[0]))], "item_id long, text string")
     want = sorted(((k, n) for k, d in enumerate(docs) for n, w in enumerate(items) if carries(d, w)), key=str)
     assert rows(leaks.find_leaks(df, held)) == want and len(want) > 30
-    assert rows(leaks.find_leaks(df, held, item_block=4)) == want
+    assert rows(leaks.find_leaks(df, held, item_chars=400)) == want
     assert rows(leaks.find_leaks(df.limit(0), held)) == [] and rows(leaks.find_leaks(df, held.limit(0))) == []
 
 
@@ -168,30 +168,70 @@ def test_percent_escapes_name_no_separator(spark, rows):
     assert rows(leaks.find_leaks(df, held)) == [(2, 7), (3, 7)]
 
 
-def test_leaks_of_long_texts_in_slices(monkeypatch):
-    rng = random.Random(7)
-    vocabulary = [f"w{n}" for n in range(40)]
-    items = [[rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 9, 30, 75]))] for _ in range(12)]
-    docs = [[rng.choice(vocabulary + ["other"] * 60) for _ in range(rng.randrange(150))] for _ in range(30)]
+def test_every_length_has_a_bound(monkeypatch):
+    monkeypatch.setattr(leaks, "DENSE", 0)
+    held = leaks.Items([(n, " ".join(f"w{k}" for k in range(n))) for n in range(1, 700)])
+    assert (held.bound >= 1).all() and held.reach.max() <= 12
+
+
+def made(rng, words, sizes, n_items, n_docs):
+    """Documents and items whose words often repeat, and documents that hold items changed about as far as the limit."""
+    items = [[rng.choice(words) for _ in range(rng.choice(sizes))] for _ in range(n_items)]
+    docs = [[rng.choice(words + ["other"] * 60) for _ in range(rng.randrange(150))] for _ in range(n_docs)]
     for d in docs[::2]:
-        at = rng.randrange(len(d) + 1)
-        d[at:at] = [x for w in rng.choice(items) if rng.random() < 0.8 for x in [w, "y"][: 1 + (rng.random() < 0.3)]]
-    texts, held = [" ".join(d) for d in docs], leaks.Items([(n, " ".join(w)) for n, w in enumerate(items)])
-    want = sorted((k, int(n)) for k, d in enumerate(docs) for n, w in enumerate(items) if carries(d, w))
-    for cells in (1, 500, 1000, leaks.CELLS):
-        monkeypatch.setattr(leaks, "CELLS", cells)
-        assert sorted((k, int(held.ids[n])) for k, n in leaks.leaks_of(texts, held)) == want and len(want) > 10, cells
-
-
-def test_memory_of_a_long_text():
-    import tracemalloc
-
-    words = [f"w{n}" for n in range(2000)]
-    held = leaks.Items([(n, " ".join(words[n : n + 8])) for n in range(0, 2000, 8)])
-    text = "other " * 40_000 + " ".join(words[80:88]) + " other" * 40_000
-    tracemalloc.start()
-    try:
-        assert [int(held.ids[n]) for _, n in leaks.leaks_of([text], held)] == [80]
-        assert tracemalloc.get_traced_memory()[1] < 160e6
-    finally:
-        tracemalloc.stop()
+        at, share, more = rng.randrange(len(d) + 1), rng.choice([0.6, 0.65, 0.8, 1]), rng.choice([0.2, 0.5, 0.9, 1.5])
+        d[at:at] = [x for w in rng.choice(items) if rng.random() < share for x in [w, "y"][: 1 + (rng.random() < more)]]
+    return items, docs
+
+
+def test_leaks_in_slices_of_any_size(monkeypatch):
+    rng = random.Random(7)
+    for words, sizes in ((40, (1, 2, 3, 4, 5, 9, 30, 75)), (6, (3, 5, 7, 10, 20)), (400, (8, 10, 13, 40, 130))):
+        items, docs = made(rng, [f"w{n}" for n in range(words)], sizes, 16, 40)
+        items.append(items[0])
+        texts = [" ".join(d) for d in docs]
+        want = sorted((k, n) for k, d in enumerate(docs) for n, w in enumerate(items) if carries(d, w))
+        for cells, part, dense in ((1, 50, 0), (500, 90, 0), (leaks.CELLS, leaks.SLICE, 0), (1, 50, leaks.DENSE), (500, 90, leaks.DENSE), (leaks.CELLS, leaks.SLICE, leaks.DENSE)):
+            monkeypatch.setattr(leaks, "DENSE", dense)
+            held = leaks.Items([(n, " ".join(w)) for n, w in enumerate(items)])
+            monkeypatch.setattr(leaks, "CELLS", cells)
+            monkeypatch.setattr(leaks, "SLICE", part)
+            assert sorted((k, int(held.ids[n])) for k, n in leaks.leaks_of(texts, held)) == want and len(want) > 5, (words, cells)
+        monkeypatch.undo()
+
+
+def test_many_items_and_a_very_long_text():
+    """A hundred thousand items, some of two thousand words, many with one instruction line, and a text of ten million characters: 1 GB is enough."""
+    import subprocess
+    import sys
+
+    program = """
+import random, resource
+from catalith.llm import leaks
+rng = random.Random(1)
+words = [f"w{n}" for n in range(60_000)]
+line = "read the text below and answer the question that follows it in one word"
+def item(n):
+    size = rng.choice([3, 8, 20, 20, 40]) if n % 5000 else 2000
+    return " ".join(([line] if n % 10 == 0 else []) + rng.choices(words, k=size))
+items = [(n, item(n)) for n in range(100_000)]
+held = leaks.Items(items)
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+parts, want, size = [], set(), 0
+while size < 10_000_000:
+    part = " ".join(rng.choices(words, k=2000))
+    if len(parts) % 40 == 7:
+        n = rng.randrange(100_000)
+        own = items[n][1].split()
+        part += " " + " ".join(w for k, w in enumerate(own) if k % 4 != 1)  # three quarters of the item
+        want.add(n)
+    parts.append(part)
+    size += len(part) + 1
+got = {int(held.ids[k]) for _, k in leaks.leaks_of([" ".join(parts), line], held)}
+lined = {n for n in range(0, 100_000, 10)}
+assert want <= got and {n for n, t in items if t.startswith(line)} == lined <= got, (len(want - got), len(lined - got))
+print(len(got), base // 1024, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split()[-1]) < 1024, done.stdout
