@@ -1,4 +1,7 @@
-"""Queries from the command line: ``python -m catalith.cli COMMAND FOLDER ...``; rows are printed as JSON lines, or written as Parquet with --to."""
+"""Queries from the command line: ``python -m catalith.cli COMMAND FOLDER ...``; rows are printed as JSON lines, or written as Parquet with --to.
+
+``discover LISTING CATALOG`` reads saved pages of a release listing and names the oldest releases that the catalog lacks.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,12 @@ import argparse
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalith.operators import lookup, merge, phrase, status
+from catalith.functions.paths import listed_prefixes
+from catalith.operators import history, lookup, merge, phrase, status
 from catalith.operators.decode import decode_packages, read_archives
-from catalith.operators.importing import current, imported, publish
+from catalith.operators.importing import backfilled, changes, current, imported, publish
 from catalith.sources.catalog import Catalog
 
 
@@ -34,34 +39,43 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         return status.incomplete_commits(c, words)
     if args.command == "backfill-list":
         return status.batches(status.incomplete_commits(c, words), ["seq"], args.size)
-    if args.command == "backfill":
-        staged = merge.staged_ranges(c)
-        if met := merge.overlapping_ranges(c, staged).limit(5).collect():
-            raise SystemExit(f"refused, as live ranges are met: {met}")
-        return merge.backfilled_ranges(c, staged)
-    if args.command == "import":
-        tables = imported(c, merge.newest_evaluations(c), c.raw("stage_variants"), datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None))
-        return spark.createDataFrame([(publish(tables, args.to or args.folder, args.number),)], "folder string")
+    if args.command in ("backfill", "import"):
+        try:
+            if args.command == "backfill":
+                tables = backfilled(c, c.raw("stage_backfill_ranges"), history.dated_contents(c))
+            else:
+                tables = imported(c, merge.newest_evaluations(c), c.raw("stage_variants"), datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None))
+            if args.dry_run:
+                return changes(c, tables)
+            return spark.createDataFrame([(publish(tables, args.to or args.folder, args.number),)], "folder string")
+        except ValueError as e:
+            raise SystemExit(str(e)) from e
+    if args.command == "discover":
+        releases = spark.read.text(args.folder, wholetext=True).select(F.explode(listed_prefixes(F.col("value"))).alias("prefix"))
+        parts = F.regexp_extract("prefix", r"([0-9]+)\.([0-9a-f]+)/?$", 1).try_cast("int").alias("number"), F.regexp_extract("prefix", r"([0-9]+)\.([0-9a-f]+)/?$", 2).alias("short_hash")
+        found = releases.select(*parts).where(F.col("number").isNotNull()).distinct()
+        return status.pending_commits(Catalog(spark, words[0]), found.select("short_hash", "number"), args.size)
     return decode_packages(c.raw("raw_records"))
 
 
-COMMANDS = ["resolve", "list", "search", "latest", "status", "counts", "incomplete", "backfill-list", "backfill", "import", "decode", "archives"]
+COMMANDS = ["resolve", "list", "search", "latest", "status", "counts", "incomplete", "backfill-list", "backfill", "import", "discover", "decode", "archives"]
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description=__doc__)
+    parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=COMMANDS)
     parser.add_argument("folder")
     parser.add_argument("words", nargs="*")
     parser.add_argument("--system")
-    parser.add_argument("--size", type=int, default=10, help="commits of a batch")
-    parser.add_argument("--number", type=int, default=1, help="of the import that is published")
+    parser.add_argument("--size", type=int, default=10, help="commits of a batch, releases of a discovery")
+    parser.add_argument("--number", type=int, help="of the catalog that is published, the next one if missing")
+    parser.add_argument("--dry-run", action="store_true", help="import and backfill: print what would change and write nothing")
     parser.add_argument("--published", action="store_true", help="the folder has published imports; take the last")
     parser.add_argument("--to", help="write Parquet there instead of printing")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     df = answer(spark, args)
-    if args.to and args.command != "import":
+    if args.to and args.command not in ("import", "backfill"):
         df.write.mode("overwrite").parquet(args.to)
     else:
         for line in df.toJSON().toLocalIterator():

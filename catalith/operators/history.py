@@ -54,6 +54,14 @@ def content_first_seen(rows: DataFrame) -> DataFrame:
     return first_per_key(runs, ["system", *KEY], [F.desc("_run")]).drop("_run")
 
 
+def dated_contents(c: Catalog) -> DataFrame:
+    """The rows of stage_variants whose content is the newest of their variant, at the evaluation where it first appeared; one a variant."""
+    first = content_first_seen(evaluated_rows(c)).select("system", *KEY, F.col("content_seq").alias("commit_seq"))
+    held = c.raw("stage_variants").where(F.col("store_hash") != "").withColumns({h: F.lower(h) for h in ("meta_hash", "content_hash")})
+    held = held.groupBy("system", "commit_seq", *KEY).agg(F.max_by(F.struct("meta_hash", "store_hash", "store_name", "broken", "insecure", "content_hash"), F.struct("content_hash", "store_hash", "meta_hash")).alias("_h"))
+    return held.join(first, ["system", "commit_seq", *KEY], "left_semi").select("system", "commit_seq", *KEY, "_h.*")
+
+
 def newest_common(intervals: DataFrame, entity: str, group: str, low: str, high: str) -> DataFrame:
     """``(entity, groups, seq)``: the newest place that lies in an interval of every group of an entity, null if there is none.
 
@@ -109,4 +117,4 @@ def at_common_commit(c: Catalog, rows: DataFrame) -> DataFrame:
     return both.withColumns({"commit_hash": F.coalesce("_hash", "commit_hash"), "last_updated": F.coalesce("_at", "last_updated")}).drop("_hash", "_at")
 
 
-__all__ = ["OPEN_END", "at_common_commit", "common_commits", "content_first_seen", "evaluated_rows", "live_spans", "newest_common", "next_point", "presence_runs"]
+__all__ = ["OPEN_END", "at_common_commit", "common_commits", "content_first_seen", "dated_contents", "evaluated_rows", "live_spans", "newest_common", "next_point", "presence_runs"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.operators.history import KEY
+from catalith.operators.history import KEY, next_point
 from catalith.operators.intervals import OPEN_END
 from catalith.operators.lookup import first_per_key
 from catalith.sources.catalog import Catalog, small
@@ -137,23 +137,28 @@ def covered_points(c: Catalog, staged: DataFrame) -> DataFrame:
     return inside.select("variant_id", "first_seq").distinct()
 
 
-def overlapping_ranges(c: Catalog, staged: DataFrame) -> DataFrame:
-    """``(variant_id, first_seq, last_seq, live_first, live_last, written_by)``: staged ranges that meet a live one without being it."""
-    live = c.ranges().where(~F.coalesce("seeded", F.lit(False)))
+def overlapping_ranges(c: Catalog, staged: DataFrame, windows: DataFrame | None = None, taken_back: bool = False) -> DataFrame:
+    """``(variant_id, first_seq, last_seq, live_first, live_last, written_by)``: staged ranges that meet a live one without being it.
+
+    With ``taken_back``, stale parts of earlier backfills count as taken back already.
+    """
+    live = _without_stale(c, staged, windows) if taken_back else c.ranges()
+    live = live.where(~F.coalesce("seeded", F.lit(False)))
     live = live.select("variant_id", F.col("first_seq").alias("live_first"), F.col("last_seq").alias("live_last"), F.col("backfill_last_seq").alias("_part")).distinct()
     both = staged.select("variant_id", "first_seq", "last_seq").join(live, "variant_id")
     own = (F.col("live_first") == F.col("first_seq")) & F.coalesce(F.col("_part") == F.col("last_seq"), F.lit(False))
     meets = (F.col("live_first") <= F.col("last_seq")) & (F.coalesce("live_last", F.lit(OPEN_END)) >= F.col("first_seq"))
-    by = F.when(F.col("_part").isNull(), "forward import").otherwise("earlier backfill")
+    by = F.when(F.col("_part").isNull(), "forward import").otherwise("earlier backfill")  # fixed values
     return both.where(~own & meets).select("variant_id", "first_seq", "last_seq", "live_first", "live_last", by.alias("written_by"))
 
 
-def stale_parts(c: Catalog, staged: DataFrame) -> DataFrame:
+def stale_parts(c: Catalog, staged: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """``(variant_id, first_seq, whole)``: parts an earlier backfill wrote in the staged windows that the staged ranges don't repeat.
 
+    ``windows (system, first_seq, last_seq)`` are what the staged ranges of a system span, if not given.
     ``whole`` ones are to be deleted, of the others only the filled-in part.
     """
-    windows = staged.groupBy("system").agg(F.min("first_seq").alias("_from"), F.max("last_seq").alias("_to"))
+    windows = (staged if windows is None else windows).groupBy("system").agg(F.min("first_seq").alias("_from"), F.max("last_seq").alias("_to"))
     own = c.ranges().where(F.col("backfill_last_seq").isNotNull() & ~F.coalesce("seeded", F.lit(False)))
     own = own.join(c.variants("variant_id", "system"), "variant_id").join(staged.select("variant_id"), "variant_id", "left_semi")
     own = own.join(F.broadcast(windows), "system").where((F.col("_from") <= F.col("first_seq")) & (F.col("backfill_last_seq") <= F.col("_to")))  # a row a system
@@ -162,9 +167,20 @@ def stale_parts(c: Catalog, staged: DataFrame) -> DataFrame:
     return stale.select("variant_id", "first_seq", F.coalesce(F.col("last_seq") == F.col("backfill_last_seq"), F.lit(False)).alias("whole"))
 
 
-def backfilled_ranges(c: Catalog, staged: DataFrame) -> DataFrame:
-    """The table of ranges after the staged ones are applied: covered points go, a range that a staged one runs into starts earlier, the rest is added."""
-    live = c.ranges().join(covered_points(c, staged).withColumn("_covered", F.lit(True)), ["variant_id", "first_seq"], "left")
+def _without_stale(c: Catalog, staged: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """The table of ranges with stale parts taken back: whole ones go, extended ones start where the forward import had started them."""
+    ranges = c.ranges()
+    marked = ranges.join(stale_parts(c, staged, windows).distinct(), ["variant_id", "first_seq"], "left")
+    reaches = F.col("last_seq").isNull() | (F.col("last_seq") > F.col("backfill_last_seq"))
+    extended = marked.where(~F.col("whole") & reaches).join(c.variants("variant_id", "system"), "variant_id")
+    back = next_point(extended, "system", "backfill_last_seq", c.imports("system", "commit_seq"), "commit_seq", "_start").withColumns({"first_seq": F.col("_start"), "backfill_last_seq": F.lit(None).cast("int")})
+    kept = marked.where(F.col("whole").isNull() | (~F.col("whole") & ~reaches))
+    return kept.select(*ranges.columns).unionByName(back.select(*ranges.columns))
+
+
+def backfilled_ranges(c: Catalog, staged: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """The table of ranges after the staged ones are applied: stale parts are taken back, covered points go, a range that a staged one runs into starts earlier, the rest is added."""
+    live = _without_stale(c, staged, windows).join(covered_points(c, staged).withColumn("_covered", F.lit(True)), ["variant_id", "first_seq"], "left")
     live = live.where(~(F.coalesce("seeded", F.lit(False)) & F.coalesce("_covered", F.lit(False)))).drop("_covered")
     runs = staged.where(F.col("next_seq").isNotNull()).groupBy("variant_id", F.col("next_seq").alias("first_seq")).agg(F.min(F.struct("first_seq", "last_seq")).alias("_s"))
     joined = live.join(runs.select("variant_id", "first_seq", F.col("_s.first_seq").alias("_first"), F.col("_s.last_seq").alias("_last")), ["variant_id", "first_seq"], "left")

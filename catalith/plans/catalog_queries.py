@@ -11,7 +11,7 @@ from catalith.functions import version as V
 from catalith.functions.display import ago, byte_size, copy_line, describe_query, escape_html, escape_like, etag, highlight, integer, omit_empty, rfc3339, unix_seconds, url_segment
 from catalith.functions.paths import arch_os, archive_key, canonical_name, parse_archive_name, split_reference, split_store_path, supported, top_level
 from catalith.functions.trigram import similarity
-from catalith.operators import history, lookup, merge, phrase, render, seeding, status
+from catalith.operators import history, importing, lookup, merge, phrase, render, seeding, status
 from catalith.operators.decode import HIDDEN_VERSION, decode_packages
 from catalith.operators.nested import shred
 from catalith.plans.decoded_sql import decoded_sql
@@ -481,7 +481,17 @@ def stale_parts(c: Catalog) -> DataFrame:
 
 
 @query(_STAGED + """, runs AS (SELECT variant_id, next_seq, min({'f': first_seq, 'l': last_seq}) AS s FROM st WHERE next_seq IS NOT NULL GROUP BY ALL),
-kept AS (SELECT ra.*, s.f AS f, s.l AS l, s IS NOT NULL AND NOT coalesce(seeded, false) AS extends FROM ra LEFT JOIN runs ON runs.variant_id = ra.variant_id AND runs.next_seq = ra.first_seq
+windows AS (SELECT system, min(first_seq) AS a, max(last_seq) AS b FROM st GROUP BY 1),
+stale AS (
+  SELECT variant_id, ra.first_seq, coalesce(ra.last_seq = backfill_last_seq, false) AS whole, (SELECT min(commit_seq) FROM im WHERE im.system = va.system AND im.commit_seq > backfill_last_seq) AS start
+  FROM ra JOIN va USING (variant_id) JOIN windows USING (system)
+  WHERE backfill_last_seq IS NOT NULL AND NOT coalesce(seeded, false) AND a <= ra.first_seq AND backfill_last_seq <= b AND variant_id IN (SELECT variant_id FROM st)
+    AND NOT EXISTS (SELECT 1 FROM st WHERE st.variant_id = ra.variant_id AND st.first_seq = ra.first_seq AND st.last_seq = ra.backfill_last_seq)),
+back AS (
+  SELECT variant_id, CASE WHEN whole IS NOT NULL AND (last_seq IS NULL OR last_seq > backfill_last_seq) THEN start ELSE first_seq END AS first_seq, last_seq, seeded,
+    CASE WHEN whole IS NOT NULL AND (last_seq IS NULL OR last_seq > backfill_last_seq) THEN NULL ELSE backfill_last_seq END AS backfill_last_seq
+  FROM ra LEFT JOIN stale USING (variant_id, first_seq) WHERE NOT coalesce(whole, false)),
+kept AS (SELECT ra.*, s.f AS f, s.l AS l, s IS NOT NULL AND NOT coalesce(seeded, false) AS extends FROM back ra LEFT JOIN runs ON runs.variant_id = ra.variant_id AND runs.next_seq = ra.first_seq
   WHERE NOT (coalesce(seeded, false) AND (ra.variant_id, ra.first_seq) IN (SELECT (variant_id, first_seq) FROM covered))),
 moved AS (SELECT variant_id, CASE WHEN extends THEN f ELSE first_seq END AS first_seq, last_seq, seeded, CASE WHEN extends THEN coalesce(backfill_last_seq, l) ELSE backfill_last_seq END AS backfill_last_seq FROM kept)
 FROM moved UNION ALL
@@ -490,6 +500,69 @@ def backfilled_ranges(c: Catalog) -> DataFrame:
     return merge.backfilled_ranges(c, merge.staged_ranges(c))
 
 
+def _arrived(c: Catalog) -> dict[str, DataFrame]:
+    """The tables after the newest evaluation of each system is imported, which counts as not imported yet."""
+    evals = merge.newest_evaluations(c)
+    heads = evals.groupBy("system").agg(F.min("commit_seq").alias("_head"))
+    imports = c.imports()
+    before = Catalog(c.spark, c.base)
+    before._raw["commit_systems"] = imports.join(F.broadcast(heads), "system", "left").where(F.col("_head").isNull() | (F.col("commit_seq") < F.col("_head"))).select(*imports.columns)
+    return importing.imported(before, evals, c.raw("stage_variants"), datetime.datetime(2026, 6, 1))
+
+
+_HELD = _EVALS.rstrip() + """,
+held AS (SELECT system, commit_seq, name_key, version, attr_path, min(store_hash) AS store_hash, min(store_name) AS store_name, min(broken) AS broken, min(insecure) AS insecure, min(lower(meta_hash)) AS mh, min(lower(content_hash)) AS hh
+  FROM stage_variants WHERE store_hash <> '' GROUP BY ALL),
+came AS (SELECT l.version_id, l.system, l.attr_path, l.commit_seq, h.store_hash, h.store_name, h.broken, h.insecure, coalesce(l.content_hash, h.hh) AS content_hash, me.meta_id
+  FROM listed l JOIN held h USING (system, commit_seq, name_key, version, attr_path) LEFT JOIN me ON lower(me.hash) = h.mh
+  QUALIFY row_number() OVER (PARTITION BY l.version_id, l.system, l.attr_path ORDER BY l.commit_seq DESC, coalesce(l.content_hash, h.hh) DESC) = 1),
+after_ AS (
+  SELECT v.variant_id, v.version_id, v.system, v.attr_path, CASE WHEN t THEN c.meta_id ELSE v.meta_id END AS meta_id, CASE WHEN t THEN c.commit_seq ELSE v.commit_seq END AS commit_seq, CASE WHEN t THEN c.store_hash ELSE v.store_hash END AS store_hash,
+    CASE WHEN t THEN c.store_name ELSE v.store_name END AS store_name, CASE WHEN t THEN c.broken ELSE v.broken END AS broken, CASE WHEN t THEN c.insecure ELSE v.insecure END AS insecure, CASE WHEN t THEN c.content_hash ELSE v.content_hash END AS content_hash
+  FROM (SELECT v.*, c.version_id IS NOT NULL AND lower(v.content_hash) IS DISTINCT FROM lower(c.content_hash) AS t FROM va v LEFT JOIN came c USING (version_id, system, attr_path)) v LEFT JOIN came c USING (version_id, system, attr_path)
+  UNION ALL SELECT (SELECT max(variant_id) FROM va) + row_number() OVER (ORDER BY version_id, system, attr_path), version_id, system, attr_path, meta_id, commit_seq, store_hash, store_name, broken, insecure, content_hash
+  FROM came WHERE (version_id, system, attr_path) NOT IN (SELECT (version_id, system, attr_path) FROM va))
+"""
+_VARIANT_COLUMNS = ["variant_id", "version_id", "system", "attr_path", "meta_id", "commit_seq", "store_hash", "store_name", "broken", "insecure", "content_hash"]
+
+
+@query(_HELD + f"SELECT {', '.join(_VARIANT_COLUMNS)} FROM after_")
+def imported_variants(c: Catalog) -> DataFrame:
+    return _arrived(c)["variants"].withColumnRenamed("id", "variant_id").select(*_VARIANT_COLUMNS)
+
+
+@query(_HELD + """SELECT variant_id, first_seq, coalesce(ra.last_seq, closing.last_seq) AS last_seq, seeded, backfill_last_seq FROM ra LEFT JOIN closing USING (variant_id, first_seq)
+UNION ALL SELECT variant_id, first_seq, NULL, false, NULL FROM opening
+UNION ALL SELECT variant_id, commit_seq, NULL, false, NULL FROM after_ WHERE variant_id > (SELECT max(variant_id) FROM va)""")
+def imported_ranges(c: Catalog) -> DataFrame:
+    return _arrived(c)["variant_ranges"]
+
+
+@query(_EVALS + """SELECT package_id, name, attr_path, top AS top_level_attr FROM te
+UNION SELECT package_id, pk.name, attr_path, CASE WHEN attr_path NOT LIKE '%.%' THEN attr_path END FROM evk JOIN pk USING (nk)""")
+def imported_terms(c: Catalog) -> DataFrame:
+    return _arrived(c)["search_terms"]
+
+
+@query(_EVALS + """SELECT commit_seq, system, CASE WHEN heads.system IS NOT NULL THEN TIMESTAMP '2026-06-01' ELSE imported_at END AS imported_at
+FROM im LEFT JOIN heads USING (system, commit_seq) WHERE commit_seq <= coalesce((SELECT h.commit_seq FROM heads h WHERE h.system = im.system), 2147483647) GROUP BY ALL""")
+def imported_systems(c: Catalog) -> DataFrame:
+    return _arrived(c)["commit_systems"].select("commit_seq", "system", "imported_at").distinct()
+
+
+_DATED = """, rows_ AS (SELECT system, commit_seq, name_key, version, attr_path, max(lower(content_hash)) AS content_hash FROM stage_variants WHERE store_hash <> '' GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN content_hash IS DISTINCT FROM lag(content_hash) OVER w THEN 1 ELSE 0 END AS new FROM rows_ WINDOW w AS (PARTITION BY system, name_key, version, attr_path ORDER BY commit_seq)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY system, name_key, version, attr_path ORDER BY commit_seq ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+dated AS (SELECT system, name_key, version, attr_path, min(commit_seq) AS commit_seq FROM runs GROUP BY system, name_key, version, attr_path, run QUALIFY row_number() OVER (PARTITION BY system, name_key, version, attr_path ORDER BY run DESC) = 1)
+"""
+
+
+@query(_DATED + """SELECT system, commit_seq, name_key, version, attr_path, lower(meta_hash) AS meta_hash, store_hash, store_name, broken, insecure, lower(content_hash) AS content_hash FROM stage_variants JOIN dated USING (system, name_key, version, attr_path, commit_seq) WHERE store_hash <> ''
+QUALIFY row_number() OVER (PARTITION BY system, name_key, version, attr_path ORDER BY lower(content_hash) DESC NULLS LAST, store_hash DESC NULLS LAST, lower(meta_hash) DESC NULLS LAST) = 1""")
+def dated_contents(c: Catalog) -> DataFrame:
+    return history.dated_contents(c)
+
+
 SINCE, THROUGH, PAIR = datetime.datetime(2025, 1, 1), 1195, ["aarch64-linux", "x86_64-linux"]
 
 

@@ -189,7 +189,7 @@ def test_responses(c, rows):
 
 
 def test_whole_import(c, rows, tmp_path):
-    from catalith.operators.importing import current, imported, publish
+    from catalith.operators.importing import changes, current, imported, publish
 
     evals = c.raw("stage_keys")
     contents = evals.select("commit_seq", "system", "name_key", "version", "attr_path", "meta_hash", F.lit("s").alias("store_hash"), F.lit("n").alias("store_name"), F.lit(False).alias("broken"), F.lit(False).alias("insecure"), "content_hash")
@@ -206,21 +206,89 @@ def test_whole_import(c, rows, tmp_path):
     assert set(got) == {"python312", "fresh", "go"} and got["python312"].variant_id == 2 and got["fresh"].meta_id == 2 and got["go"].content_hash == "y"
     ranges = rows(new.ranges("variant_id", "first_seq", "last_seq"))
     assert (10, 3, 4) in ranges and (9, 5, None) in ranges and (1, 1, None) in ranges and (3, 1, 3) in ranges and sum(r[1] == 5 for r in ranges) == 3
+    assert [r.name for r in new.raw("search_terms").where("attr_path = 'fresh'").collect()] == ["Fresh"] and {r.table_name: r.n_rows for r in new.raw("row_counts").collect()}["packages"] == 6
+    assert rows(new.packages_named(c.spark.createDataFrame([("fresh",)], "name_key string")).select("package_id")) == [(6,)]  # by the stored key
     again = imported(new, evals, contents, DAY, metas)
+    assert {tuple(r)[3:] for r in changes(new, again).collect()} == {(0, 0)}
+    with pytest.raises(ValueError, match="would not follow"):
+        publish(again, str(tmp_path), 1)
+    assert current(c.spark, str(tmp_path)).base == new.base
     for name, df in again.items():
         assert df.count() == new.raw(name).distinct().count(), name
     with pytest.raises(ValueError, match="older"):
         imported(new, evals.withColumn("commit_seq", F.lit(-1)), contents, DAY)
 
 
+def test_commits_that_arrive_with_an_import(c, rows):
+    from catalith.operators.importing import imported, placed_commits
+
+    late, new = DAY + datetime.timedelta(days=3), DAY + datetime.timedelta(days=9)
+    listed = lambda *data: c.spark.createDataFrame(data, "hash string, committed_at timestamp_ntz")
+    placed = placed_commits(c, listed(("BB", new + datetime.timedelta(days=1)), ("aa", new), ("bb", new + datetime.timedelta(days=2)), (f"{5:040X}", DAY), (None, DAY)), DAY)
+    assert rows(placed.where("seq > 4").select("seq", "hash")) == [(5, f"{5:040x}"), (6, "aa"), (7, "bb")]
+    for bad in (("cc", late), ("cc", DAY + datetime.timedelta(days=5)), ("cc", None)):
+        with pytest.raises(ValueError, match="not newer"):
+            placed_commits(c, listed(bad), DAY)
+    evals = c.raw("stage_keys").where("commit_seq = 5").drop("commit_seq").withColumn("commit_hash", F.lit("AA"))
+    contents = evals.select("commit_hash", "system", "name_key", "version", "attr_path", "meta_hash", F.lit("s").alias("store_hash"), F.lit("n").alias("store_name"), F.lit(False).alias("broken"), F.lit(False).alias("insecure"), "content_hash")
+    after = imported(c, evals, contents, DAY, commits=listed(("aa", new)))
+    assert after["commits"].where("seq = 6 and hash = 'aa'").count() == 1 and rows(after["commit_systems"].where("commit_seq > 5").select("commit_seq", "system")) == [(6, LINUX)]
+    assert rows(after["variants"].where("commit_seq = 6").select("attr_path", "content_hash")) == [("fresh", "x"), ("go", "y"), ("python312", "new")]
+
+
+def test_whole_backfill(c, rows):
+    from catalith.operators.importing import backfilled, changes
+
+    dated = [(LINUX, 1, "python", "3.12.0", "python312", "m1", "s", "n", False, False, "h2"), (LINUX, 2, "old", "0.9", "old", "m7", "s", "n", False, False, "o")]
+    dated = c.spark.createDataFrame(dated, "system string, commit_seq int, name_key string, version string, attr_path string, meta_hash string, store_hash string, store_name string, broken boolean, insecure boolean, content_hash string")
+    schema = SCHEMAS["stage_backfill_ranges"]
+    ranges = c.spark.createDataFrame([(LINUX, "python", "3.12.0", "python312", 1, 1, 2), (LINUX, "old", "0.9", "old", 2, 3, None), (MAC, "gone", "1.0.0-pre", "gone", 1, 1, None)], schema)
+    metas = c.spark.createDataFrame([("m7", "then", "", "", "", [])], "meta_hash string, summary string, description string, homepage string, license string, platforms array<string>")
+    windows = c.spark.createDataFrame([(LINUX, 1, 3), (MAC, 1, 3)], "system string, first_seq int, last_seq int")
+    after = backfilled(c, ranges, dated, metas, windows)
+    assert rows(after["packages"].where("id > 5").select("id", "name")) == [(6, "old")] and after["meta"].count() == 2
+    made = {r.attr_path: r for r in after["variants"].collect() if r.id in (2, 12)}
+    assert made["python312"].commit_seq == 1 and made["old"].store_hash == "s" and made["old"].meta_id == 2  # the same content moves its date back
+    got = rows(after["variant_ranges"].select("variant_id", "first_seq", "last_seq", "backfill_last_seq"))
+    assert (2, 1, None, 1) in got and (12, 2, 3, 3) in got and (11, 1, 1, 1) in got and not any(r[:2] == (11, 2) for r in got)  # the stale part went
+    assert rows(after["search_terms"].where("package_id = 6").select("attr_path")) == [("old",)]
+    again = Catalog(c.spark, c.base)
+    again._raw = {**c._raw, **after}
+    assert {tuple(r)[3:] for r in changes(again, backfilled(again, ranges, dated, metas, windows)).collect()} == {(0, 0)}
+    with pytest.raises(ValueError, match="refused"):
+        backfilled(c, c.raw("stage_backfill_ranges"), dated)
+    # Only part of what an earlier backfill had joined to a live range is staged now: the range begins at the import after it again.
+    again._raw["stage_backfill_ranges"] = c.spark.createDataFrame([(LINUX, "python", "3.12.0", "python312", 3, 3, None)], schema)
+    whole = c.spark.createDataFrame([(LINUX, 1, 3)], "system string, first_seq int, last_seq int")
+    assert rows(merge._without_stale(again, merge.staged_ranges(again), whole).where("variant_id = 2").select("first_seq", "last_seq", "backfill_last_seq")) == [(2, None, None)]
+
+
+def test_two_runs_cannot_publish_one_catalog(c, tmp_path):
+    from catalith.operators.importing import _pointers, current, publish
+
+    with pytest.raises(ValueError, match="nothing is published"):
+        current(c.spark, str(tmp_path))
+    first = publish({"packages": c.raw("packages"), **{t: c.raw(t) for t in status.COUNTED}}, str(tmp_path))
+    path, fs = _pointers(c.spark, str(tmp_path))
+    fs.create(c.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "2"), False).close()  # another run is about to name its catalog
+    with pytest.raises(ValueError, match="another run"):
+        publish({t: c.raw(t) for t in status.COUNTED}, str(tmp_path))
+    assert current(c.spark, str(tmp_path)).base == first
+
+
 def test_command_line(c, capsys, tmp_path):
     from catalith.cli import main
 
     for words, want in ((["resolve", c.base, "go"], '"version":"1.21.0"'), (["counts", c.base], '"n_rows":11'), (["search", c.base, "python"], '"ord":1'), (["backfill-list", c.base, MAC, "--size", "1"], '"batch":1')):
         main(words)
         assert want in capsys.readouterr().out, words
-    with pytest.raises(SystemExit):
+    with pytest.raises(SystemExit, match="refused"):
         main(["backfill", c.base])
+    main(["import", c.base, "--dry-run"])
+    assert '"table_name":"variants"' in capsys.readouterr().out and not (tmp_path / "published").exists()
+    (tmp_path / "page.xml").write_text(f"<L><Prefix>r/12.{3:040x}/</Prefix><Prefix>r/13.abcdef1/</Prefix><Prefix>r/11.abcdef2/</Prefix><Prefix>other/</Prefix></L>")
+    main(["discover", str(tmp_path / "page.xml"), c.base])
+    assert capsys.readouterr().out.strip() == '{"short_hash":"abcdef1","number":13}'
     main(["import", c.base, "--to", str(tmp_path)])
     main(["latest", str(tmp_path), "go", "--published"])
     assert '"wanted":"go"' in capsys.readouterr().out
