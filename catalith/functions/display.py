@@ -26,8 +26,24 @@ def escape_html(text: Column) -> Column:
 
 
 def url_segment(text: Column) -> Column:
-    """Percent-encoded for a path; a blank is %20."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent-encoded for a path; a blank is %20, and ``! ' ( ) ~`` stand as they are."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def package_path(name: Column, version: Column | None = None) -> Column:
+    """The page of a package, or of one of its releases."""
+    page = F.concat(F.lit("/pkg/"), url_segment(name))
+    return page if version is None else F.concat(page, F.lit("/"), url_segment(version))
+
+
+def query_path(path: Column, **fields: Column) -> Column:
+    """A path with the fields that aren't null or empty as its query."""
+    said = [F.when(v != "", F.concat(F.lit(f"{k}="), url_segment(v))) for k, v in fields.items()]
+    asked = F.concat_ws("&", *said)
+    return F.when(asked == "", path).otherwise(F.concat(path, F.lit("?"), asked))
 
 
 def highlight(text: Column, phrase: str) -> Column:
@@ -113,6 +129,34 @@ def ago(moment: Column, now: Column) -> Column:
     return out
 
 
+def iso(moment: Column) -> Column:
+    """UTC to the millisecond."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _time_tag(moment: Column, text: Column, titled: bool) -> Column:
+    title = F.concat(F.lit('" title="'), iso(moment)) if titled else F.lit("")
+    return F.concat(F.lit('<time datetime="'), iso(moment), title, F.lit('">'), text, F.lit("</time>"))
+
+
+def time_tag(moment: Column) -> Column:
+    """HTML of a moment to the minute."""
+    return _time_tag(moment, F.date_format(moment, "yyyy-MM-dd HH:mm 'UTC'"), titled=False)
+
+
+def day_tag(moment: Column) -> Column:
+    return _time_tag(moment, F.date_format(moment, "yyyy-MM-dd"), titled=True)
+
+
+def ago_tag(moment: Column, now: Column) -> Column:
+    return _time_tag(moment, ago(moment, now), titled=True)
+
+
+def short_system(system: Column) -> Column:
+    """``x86_64 linux``: the first dash is a blank."""
+    return F.regexp_replace(system, "^([^-]*)-", "$1 ")
+
+
 def quoted(text: Column) -> Column:
     """A JSON string."""
     one = F.to_json(F.struct(text.alias("x")))

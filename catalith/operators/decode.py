@@ -98,37 +98,70 @@ def clean_package(attr_path: str, package: dict, hidden_field: str = HIDDEN_VERS
         "platforms": sorted({_clean(p) for p in _flat(meta.get("platforms")) if isinstance(p, str)}),
         "outputs": outputs,
     }
-    described = {k: out[k] for k in ("description", "homepage", "license", "platforms", "summary")}
-    content = described | {k: out[k] for k in ("broken", "insecure", "outputs", "program")}
-    content |= {"metaName": out["meta_name"], "metaVersion": [out["meta_version"]], "storeHash": out["store_hash"], "storeName": name, "storeVersion": version}
-    return out | {"meta_hash": sha256_hex(canonical_json(described)), "content_hash": sha256_hex(canonical_json(content))}
+    return out | _addresses(out | {"meta_version": [out["meta_version"]], "store_version": version})
 
 
-def _texts(record: dict) -> dict:
-    return {k: _utf8([v])[0] if isinstance(v, str) else _utf8(v) if k == "platforms" else v for k, v in record.items()}
+def _addresses(package: dict) -> dict:
+    """The hashes of a package's metadata and of its whole content; the fields and their names are fixed values, as equal contents must have equal hashes."""
+    described = {k: package[k] for k in ("description", "homepage", "license", "platforms", "summary")}
+    content = described | {k: package[k] for k in ("broken", "insecure", "outputs", "program")}
+    content |= {"metaName": package["meta_name"], "metaVersion": package["meta_version"], "storeHash": package["store_hash"], "storeName": package["store_name"], "storeVersion": package["store_version"]}
+    return {"meta_hash": sha256_hex(canonical_json(described)), "content_hash": sha256_hex(canonical_json(content))}
 
 
-def decode_packages(records: DataFrame, hidden_field: str = HIDDEN_VERSION) -> DataFrame:
-    """``(raw_id, *DECODED)``: one row for each package of the ``eval`` records ``(raw_id, shape, payload)``.
+#: Text fields of a ``latest`` record that its content address covers.
+LATEST_TEXTS = ["store_hash", "store_name", "store_version", "meta_name", "program", "summary", "description", "homepage", "license"]
+LATEST = pa.schema([*((f, pa.string()) for f in ("attr_path", "system", "commit_hash", *LATEST_TEXTS)), ("broken", pa.bool_()), ("insecure", pa.bool_()), *((f, pa.list_(pa.string())) for f in ("meta_version", "platforms")), DECODED.field("outputs"), ("meta_hash", pa.string()), ("content_hash", pa.string())])
 
-    Records whose payload is null, broken or no object give nothing, nor do entries that are no object or whose outputs are
-    none. Repeated records give repeated rows.
+
+def latest_package(record: dict) -> dict:
+    """One record of ``LATEST``: the content that an evaluation of the same package would have, with the same addresses.
+
+    Texts stand as they are; what is missing or of another type is "", false or empty, a single value is an array of one; cache marks of outputs are dropped.
     """
+    text = lambda x: x if isinstance(x, str) else ""
+    out = {k: text(record.get(k)) for k in ("attr_path", "system", "commit_hash", *LATEST_TEXTS)}
+    out |= {k: record.get(k) is True for k in ("broken", "insecure")}
+    out |= {k: [v for v in _flat(record.get(k)) if isinstance(v, str)] for k in ("meta_version", "platforms")}
+    out["outputs"] = [{"name": text(o.get("name")), "path": text(o.get("path")), "default": o.get("default") is True} for o in _flat(record.get("outputs")) if isinstance(o, dict)]
+    return out | _addresses(out)
+
+
+def _texts(record: dict) -> dict:
+    return {k: _utf8([v])[0] if isinstance(v, str) else _utf8(v) if k in ("platforms", "meta_version") and isinstance(v, list) else v for k, v in record.items()}
+
+
+def _decoded(records: DataFrame, wanted: str, schema: pa.Schema, package) -> DataFrame:
+    """``(raw_id, *schema)`` of ``package(path, object)`` for each package of the records of one shape."""
+    whole = pa.schema([("raw_id", pa.int64()), *schema])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("raw_id", pa.int64()), *DECODED])
         for batch in batches:
             rows = []
             for raw_id, shape, payload in zip(*(batch.column(c).to_pylist() for c in ("raw_id", "shape", "payload"))):
-                if shape == "eval":
-                    rows += [_texts({"raw_id": raw_id} | clean_package(path, package, hidden_field)) for path, package, _ in _entries(shape, parse(payload))]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                if shape == wanted:
+                    rows += [_texts({"raw_id": raw_id} | package(path, found)) for path, found, _ in _entries(shape, parse(payload))]
+            yield pa.RecordBatch.from_pylist(rows, whole)
 
     kinds = {pa.string(): "string", pa.bool_(): "boolean", DECODED.field("platforms").type: "array<string>", DECODED.field("outputs").type: "array<struct<name:string,path:string,default:boolean>>"}
-    ddl = "raw_id long, " + ", ".join(f"{f.name} {kinds[f.type]}" for f in DECODED)
+    ddl = "raw_id long, " + ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
     return records.select(F.col("raw_id").cast("long").alias("raw_id"), "shape", "payload").mapInArrow(decoded, ddl)
 
 
+def decode_packages(records: DataFrame, hidden_field: str = HIDDEN_VERSION) -> DataFrame:
+    """``(raw_id, *DECODED)``: one row for each package of the ``eval`` records ``(raw_id, shape, payload)``.
+
+    Records whose payload is null, broken or no object give nothing, nor do entries that are no object or whose outputs are
+    none. Repeated records give repeated rows.
+    """
+    return _decoded(records, "eval", DECODED, lambda path, package: clean_package(path, package, hidden_field))
+
+
+def decode_latest(records: DataFrame) -> DataFrame:
+    """``(raw_id, *LATEST)``: one row for each of the ``latest`` records ``(raw_id, shape, payload)``; broken payloads give nothing, repeated records repeated rows."""
+    return _decoded(records, "latest", LATEST, lambda _, record: latest_package(record))
+
+
 # ---------------------------------------------------------------- archives
 
 
@@ -228,4 +261,4 @@ def _batch(path: str, rows: list[tuple[str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array(c, pa.string()) for c in zip(*rows))], names=["path", "attr_path", "package"])
 
 
-__all__ = ["DECODED", "canonical_json", "clean_package", "decode_packages", "read_archives", "stream_entries"]
+__all__ = ["DECODED", "LATEST", "canonical_json", "clean_package", "decode_latest", "decode_packages", "latest_package", "read_archives", "stream_entries"]

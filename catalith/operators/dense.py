@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 #: Keys a split keeps before it sends its blocks on and starts again.
 SPLIT_KEYS = 200_000
+#: Distinct keys of a block, on average at most: what one Python worker adds up in some 200 MB.
+BLOCK_KEYS = 500_000
 
 _PARTIAL = "block int, field string, keys array<string>, sums array<array<long>>"
 
 
-def dense_sums(df: DataFrame, keys: dict[str, str], sums: list[str] | None = None, *, blocks: int | None = None) -> DataFrame:
+def dense_sums(df: DataFrame, keys: dict[str, str], sums: list[str] | None = None, *, blocks: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """``(field, key_value, n, *sums)`` for every key of every field, over all rows.
 
     ``keys`` maps the name of a field to its key column, compared as a string, exactly; ``sums`` are integer columns to
@@ -25,11 +27,12 @@ def dense_sums(df: DataFrame, keys: dict[str, str], sums: list[str] | None = Non
 
     Rows are never shuffled by key. Each input split encodes its keys as codes of a dictionary of its own and scatters into
     dense arrays (``bincount``); it sends one entry a distinct key, cut into blocks by the key's hash. A block adds its arrays up in
-    the same way, so a key of a third of all rows costs it one entry a split.
+    the same way, so a key of a third of all rows costs it one entry a split. The number of blocks follows the number of distinct keys, as
+    estimated in one pass over ``sized``, a table with the same key columns that is cheaper to read (``df`` itself if not given).
     """
     sums = sums or []
     fields = list(keys)
-    blocks = blocks or _blocks(df)
+    blocks = blocks or _blocks(df if sized is None else sized, list(keys.values()))
     rows = df.select(*(F.col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(keys.values())), *(F.col(c).cast("long").alias(f"_s{j}") for j, c in enumerate(sums)))
     partial = rows.mapInArrow(_splits(fields, len(sums), blocks), _PARTIAL)
     named = "".join(f", s{j} long" for j in range(len(sums)))
@@ -37,9 +40,11 @@ def dense_sums(df: DataFrame, keys: dict[str, str], sums: list[str] | None = Non
     return total.select("field", "key_value", "n", *(F.col(f"s{j}").alias(c) for j, c in enumerate(sums)))
 
 
-def _blocks(df: DataFrame) -> int:
-    """One block for each shuffle partition; more for more executors, never fewer than two."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+def _blocks(df: DataFrame, keys: list[str]) -> int:
+    """Enough blocks for ``BLOCK_KEYS`` keys each, at least one for each shuffle partition and core."""
+    sketch = [F.approx_count_distinct(k, 0.03).alias(k) for k in dict.fromkeys(keys)]
+    known = sum(df.agg(*sketch).first())
+    return max(2, -(-known // BLOCK_KEYS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _hash(keys: pa.Array) -> np.ndarray:

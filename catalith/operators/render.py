@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.functions.display import rfc3339, unix_seconds
+from catalith.functions.display import escape_html, iso, package_path, quoted, rfc3339, unix_seconds
 from catalith.functions.paths import arch_os, supported
-from catalith.operators.lookup import consecutive_groups, first_per_key, release_order
+from catalith.operators import status
+from catalith.operators.lookup import consecutive_groups, first_per_key, latest_for, release_order
+from catalith.sources.catalog import Catalog
 
 
 def platforms_summary(systems: Column) -> Column:
@@ -107,6 +109,48 @@ def legacy_versions(rows: DataFrame) -> DataFrame:
     )
 
 
+def legacy_documents(rows: DataFrame) -> DataFrame:
+    """``(package_id, version_id, document)``: the older response's entry of each version, with one for each of its systems.
+
+    The first row by system and path gives the version's facts, the first of a system those of the system; fields that are null, "", false, 0 or empty are left out,
+    the name never.
+    """
+    info = ["commit_hash", "version", "summary", "description", "homepage", "license"]
+    listed = F.filter("platforms", supported)
+    kept = lambda x, empty: F.when(x != F.lit(empty), x)
+    several = lambda x: F.when(F.size(x) > 0, x)
+    updated = kept(unix_seconds(F.col("last_updated")), 0)
+    shared = [kept(F.col("commit_hash"), "").alias("commit_hash"), updated.alias("last_updated"), kept(F.col("version"), "").alias("version"), several(listed).alias("platforms")]
+    shared += [kept(F.col(k), "").alias(k) for k in info[2:]]
+    own = [kept(F.col(k), "").alias(k) for k in ("system", "store_hash", "store_name", "store_version", "meta_name")] + [several(F.col("meta_version")).alias("meta_version")]
+    flags = [F.when(F.col(k), True).alias(k) for k in ("broken", "insecure")]
+    one = F.struct("attr_path", "program", F.struct(*shared).alias("shared"), F.struct(*own).alias("own"), F.struct(*flags).alias("flags"))
+    by = rows.groupBy("package_id", "version_id", "name", "system").agg(F.array_sort(F.collect_list(F.struct("attr_path", "variant_id", one.alias("r")))).alias("a"))
+    first = F.col("a")[0]["r"]
+    paths = F.transform("a", lambda x: x["r"]["attr_path"])
+    programs = several(F.filter(F.transform("a", lambda x: x["r"]["program"]), lambda x: x != ""))
+    entry = F.struct(first["shared"].alias("shared"), F.to_json(F.struct(*(first["shared"][k].alias(k) for k in ("commit_hash", "last_updated", "version", "platforms", *info[2:])), *(first["own"][k].alias(k) for k in ("system", "store_hash", "store_name", "store_version", "meta_name", "meta_version")), paths.alias("attr_paths"), programs.alias("programs"), *(first["flags"][k].alias(k) for k in ("broken", "insecure")))).alias("text"))
+    whole = by.groupBy("package_id", "version_id", "name").agg(F.array_sort(F.collect_list(F.struct("system", entry.alias("e")))).alias("s"))  # a row a system
+    head = F.to_json(F.struct(*(F.col("s")[0]["e"]["shared"][k].alias(k) for k in ("commit_hash", "last_updated", "version", "platforms", *info[2:])), "name"))
+    systems = F.array_join(F.transform("s", lambda x: F.concat(quoted(x["system"]), F.lit(":"), x["e"]["text"])), ",")
+    return whole.withColumns({"_h": head, "_s": systems}).select("package_id", "version_id", F.concat(F.expr("left(_h, length(_h) - 1)"), F.lit(',"systems":{'), "_s", F.lit("}}")).alias("document"))
+
+
+def status_document(c: Catalog, names: list[str]) -> DataFrame:
+    """``(document)``: the catalog's counts, the ends of its timeline, each system's imports and what ``latest`` means for some names, in their order."""
+    moment = lambda x: iso(F.col(x)).alias(x)
+    counts = status.row_counts(c).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_name", "n_rows")))).alias("counts"))  # a row a table
+    ends = status.commit_ends(c).select("place", F.struct("seq", "hash", moment("committed_at")).alias("c"))
+    ends = ends.agg(*(F.max(F.when(F.col("place") == p, F.col("c"))).alias(f"{p}_commit") for p in ("oldest", "newest")))
+    own = status.system_status(c)
+    one = F.struct("system", F.col("imports").alias("commits"), F.struct(F.col("newest_seq").alias("seq"), F.col("commit_hash").alias("hash"), moment("committed_at")).alias("newest"), "nix_version")
+    systems = own.agg(iso(F.max("last_import_at")).alias("last_import_at"), F.array_sort(F.collect_list(one)).alias("systems"))  # a row a system
+    latest = F.struct("ord", F.struct(F.col("wanted").alias("name"), "version", "attr_path", F.coalesce(F.split("systems", ","), F.array().cast("array<string>")).alias("systems"), moment("last_updated")).alias("l"))
+    asked = latest_for(c, names).agg(F.transform(F.array_sort(F.collect_list(latest)), lambda x: x["l"]).alias("latest_versions"))  # the caller's list
+    parts = counts.join(F.broadcast(ends)).join(F.broadcast(systems)).join(F.broadcast(asked))  # one row each
+    return parts.select(F.to_json(F.struct("counts", "oldest_commit", "newest_commit", "last_import_at", "systems", "latest_versions")).alias("document"))
+
+
 def grouped_by_name(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``(run, name, num_versions)``: names of a listing in its order, a name that comes back being listed again."""
     runs = consecutive_groups(rows, [], order, "name")
@@ -115,5 +159,11 @@ def grouped_by_name(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 def site_map(names: DataFrame, origin: str) -> DataFrame:
     """``(line)``: one location of the site map for each name."""
-    url = F.concat(F.lit(f"{origin}/pkg/"), F.replace(F.url_encode("name"), F.lit("+"), F.lit("%20")))
+    url = escape_html(F.concat(F.lit(origin), package_path(F.col("name"))))
     return names.select("package_id", F.concat(F.lit("<url><loc>"), url, F.lit("</loc></url>")).alias("line"))
+
+
+def site_map_index(names: DataFrame, origin: str, size: int = status.PAGE) -> DataFrame:
+    """``(page, line)``: the pages that the site map of ``names`` has, one of no names too."""
+    pages = names.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("n")).select(F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("page"))
+    return pages.select("page", F.concat(F.lit(f"<sitemap><loc>{origin}/sitemaps/"), F.col("page").cast("string"), F.lit(".xml</loc></sitemap>")).alias("line"))

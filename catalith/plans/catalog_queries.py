@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions import version as V
-from catalith.functions.display import ago, byte_size, copy_line, describe_query, escape_html, escape_like, etag, highlight, integer, omit_empty, rfc3339, unix_seconds, url_segment
+from catalith.functions.display import ago, byte_size, copy_line, day_tag, describe_query, escape_html, escape_like, etag, highlight, integer, omit_empty, package_path, query_path, rfc3339, short_system, time_tag, unix_seconds, url_segment
 from catalith.functions.paths import arch_os, archive_key, canonical_name, parse_archive_name, split_reference, split_store_path, supported, top_level
 from catalith.functions.trigram import similarity
 from catalith.operators import history, importing, lookup, merge, phrase, render, seeding, status
-from catalith.operators.decode import HIDDEN_VERSION, decode_packages
+from catalith.operators.decode import HIDDEN_VERSION, decode_latest, decode_packages
 from catalith.operators.nested import shred
-from catalith.plans.decoded_sql import decoded_sql
+from catalith.plans.decoded_sql import decoded_sql, latest_sql
 from catalith.plans.problems import P6_LEAVES
 from catalith.sources.catalog import Catalog
 
@@ -901,4 +901,71 @@ def response_texts(c: Catalog) -> DataFrame:
     )
 
 
+@query(latest_sql(), base=False)
+def latest_contents(c: Catalog) -> DataFrame:
+    """Records of the other shape under the content addresses that an evaluation of the same package has."""
+    rows = decode_latest(c.raw("raw_records").select("raw_id", "shape", "payload").distinct())
+    return rows.select(*"raw_id attr_path system commit_hash store_hash summary broken insecure".split(), F.array_join("meta_version", "|").alias("meta_version"), "meta_hash", "content_hash")
+
+
+def _sql_fields(fields: dict[str, tuple[str, str]]) -> str:
+    """The JSON object of fields (value, condition under which it is there), without its braces."""
+    return "array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {when} THEN '\"{k}\":' || to_json({v})::varchar END" for k, (v, when) in fields.items()) + "] IF x IS NOT NULL], ',')"
+
+
+_SHARED = {"commit_hash": ("rev", "rev <> ''"), "last_updated": ("updated", "updated <> 0"), "version": ("version", "version <> ''"), "platforms": ("systems", "len(systems) > 0"), **{k: (k, f"{k} <> ''") for k in ("summary", "description", "homepage", "license")}}
+_OWN = {**{k: (k, f"{k} <> ''") for k in ("system", "store_hash", "store_name")}, "store_version": ("version", "version <> ''"), "meta_name": ("meta_name", "meta_name <> ''"), "meta_version": ("meta_version", "len(meta_version) > 0"), "attr_paths": ("paths", "true"), "programs": ("programs", "len(programs) > 0"), "broken": ("true", "broken"), "insecure": ("true", "insecure")}
+
+
+@query(f""", w AS (
+  SELECT *, co.hash AS rev, floor(epoch(committed_at))::bigint AS updated, list_filter(platforms, lambda p: p IN ('aarch64-darwin', 'aarch64-linux', 'x86_64-darwin', 'x86_64-linux')) AS systems FROM {_WIDE}),
+g AS (SELECT version_id, system, list(attr_path ORDER BY attr_path, variant_id) AS paths, coalesce(list(program ORDER BY attr_path, variant_id) FILTER (program <> ''), []) AS programs FROM w GROUP BY ALL),
+f AS (SELECT * FROM w JOIN g USING (version_id, system) QUALIFY row_number() OVER (PARTITION BY version_id, system ORDER BY attr_path, variant_id) = 1),
+e AS (SELECT version_id, system, name, {_sql_fields(_SHARED)} AS head, {_sql_fields(_SHARED | _OWN)} AS entry FROM f)
+SELECT version_id, '{{' || first(head ORDER BY system) || ',"name":' || to_json(any_value(name))::varchar || ',"systems":{{' || string_agg('"' || system || '":{{' || entry || '}}', ',' ORDER BY system) || '}}}}' AS document FROM e GROUP BY version_id""")
+def legacy_documents(c: Catalog) -> DataFrame:
+    return render.legacy_documents(lookup.result_rows(c, c.shown_variants())).select("version_id", "document")
+
+
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
+@query(SQL["latest_for_list"].removeprefix(BASE).replace("SELECT ord, wanted, version, systems, attr_path, last_updated FROM wanted LEFT JOIN facts USING (ord)", "") + f""",
+asked AS (SELECT ord, wanted, version, systems, attr_path, last_updated FROM wanted LEFT JOIN facts USING (ord)),
+sy AS (SELECT system, count(DISTINCT commit_seq) AS commits, max(commit_seq) AS seq, max(imported_at) AS done, first(nix_version ORDER BY commit_seq DESC, imported_at DESC) AS nix FROM im GROUP BY 1)
+SELECT '{{"counts":{{' || (SELECT string_agg('"' || t || '":' || n, ',' ORDER BY t) FROM ({" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM (SELECT DISTINCT * FROM {t})" for t in status.COUNTED)})) || '}},'
+  || (SELECT string_agg('"' || place || '_commit":{{"seq":' || seq || ',"hash":"' || hash || '","committed_at":"' || {_ISO.format("committed_at")} || '"}}', ',' ORDER BY place DESC) FROM (
+    SELECT 'oldest' AS place, seq, hash, committed_at FROM co WHERE seq = (SELECT min(seq) FROM co) UNION ALL SELECT 'newest', seq, hash, committed_at FROM co WHERE seq = (SELECT max(seq) FROM co)))
+  || ',"last_import_at":"' || (SELECT {_ISO.format("max(done)")} FROM sy) || '","systems":[' || (SELECT string_agg('{{"system":"' || system || '","commits":' || commits || ',"newest":{{"seq":' || sy.seq || ',"hash":"' || hash || '","committed_at":"' || {_ISO.format("committed_at")}
+    || '"}}' || coalesce(',"nix_version":"' || nix || '"', '') || '}}', ',' ORDER BY system) FROM sy JOIN co ON co.seq = sy.seq)
+  || '],"latest_versions":[' || (SELECT string_agg('{{"name":' || to_json(wanted)::varchar || coalesce(',"version":' || to_json(version)::varchar, '') || coalesce(',"attr_path":' || to_json(attr_path)::varchar, '')
+    || ',"systems":' || CASE WHEN systems IS NULL THEN '[]' ELSE to_json(string_split(systems, ','))::varchar END || coalesce(',"last_updated":"' || {_ISO.format("last_updated")} || '"', '') || '}}', ',' ORDER BY ord) FROM asked) || ']}}' AS document""")
+def status_document(c: Catalog) -> DataFrame:
+    return render.status_document(c, WANTED)
+
+
+@query("SELECT unnest(range(1, (count(*) + 99) // 100 + 1))::int AS page, '<sitemap><loc>https://catalog.example/sitemaps/' || page || '.xml</loc></sitemap>' AS line FROM pk")
+def site_map_index(c: Catalog) -> DataFrame:
+    return render.site_map_index(c.packages("package_id", "name"), "https://catalog.example", 100)
+
+
+@query(f""", m AS (SELECT *, replace(url_encode(name), '%7E', '~') AS seg FROM pk JOIN ve USING (package_id)), v AS (SELECT *, url_encode(version) AS vs FROM m)
+SELECT version_id, '/pkg/' || seg AS page, '/pkg/' || seg || '/' || vs AS release, '/v2/resolve?name=' || seg || CASE WHEN version = '' THEN '' ELSE '&version=' || vs END AS resolve FROM v""")
+def package_links(c: Catalog) -> DataFrame:
+    rows = c.versions("version_id", "package_id", "version").join(c.packages("package_id", "name"), "package_id")
+    name, version = F.col("name"), F.col("version")
+    return rows.select("version_id", package_path(name).alias("page"), package_path(name, version).alias("release"), query_path(F.lit("/v2/resolve"), name=name, version=version).alias("resolve"))
+
+
+@query(f"""SELECT seq, '<time datetime="' || {_ISO.format("committed_at")} || '">' || strftime(committed_at, '%Y-%m-%d %H:%M UTC') || '</time>' AS minute,
+  '<time datetime="' || {_ISO.format("committed_at")} || '" title="' || {_ISO.format("committed_at")} || '">' || strftime(committed_at, '%Y-%m-%d') || '</time>' AS day FROM co""")
+def time_tags(c: Catalog) -> DataFrame:
+    return c.commits("seq", "committed_at").select("seq", time_tag(F.col("committed_at")).alias("minute"), day_tag(F.col("committed_at")).alias("day"))
+
+
+@query("SELECT variant_id, regexp_replace(system, '-', ' ') AS system FROM va")
+def short_systems(c: Catalog) -> DataFrame:
+    return c.variants("variant_id", "system").select("variant_id", short_system(F.col("system")).alias("system"))
+
+
 __all__ = ["QUERIES", "SQL"]

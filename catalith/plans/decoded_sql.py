@@ -76,3 +76,30 @@ made AS (
 hashed AS (SELECT *, CASE WHEN length(bare) >= 32 THEN left(bare, 32) ELSE '' END AS store_hash FROM made)
 SELECT raw_id, attr_path, name, version, system, store_hash, name AS store_name, meta_name, meta_version, program, summary, description, homepage, license, broken, insecure,
   array_to_string(platforms, '|') AS platforms, {shown} AS outputs, sha256({document(described)}) AS meta_hash, sha256({document(content)}) AS content_hash FROM hashed"""
+
+
+def latest_sql() -> str:
+    texts = ["store_hash", "store_name", "store_version", "meta_name", "program", "summary", "description", "homepage", "license"]
+    joined = lambda xs, one: f"'[' || array_to_string(list_transform({xs}, lambda x: {one}), ',') || ']'"
+    outputs = joined("outs", "'{\"default\":' || x.d::varchar || ',\"name\":' || to_json(x.n)::varchar || ',\"path\":' || to_json(x.p)::varchar || '}'")
+    said = {k: f"to_json({k})::varchar" for k in texts}
+    described = {k: said[k] for k in ("description", "homepage", "license", "summary")} | {"platforms": joined("systems", "to_json(x)::varchar")}
+    content = described | {"broken": "broken::varchar", "insecure": "insecure::varchar", "outputs": outputs, "program": said["program"], "metaName": said["meta_name"]}
+    content |= {"metaVersion": joined("versions", "to_json(x)::varchar"), "storeHash": said["store_hash"], "storeName": said["store_name"], "storeVersion": said["store_version"]}
+    document = lambda parts: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(parts.items())) + " || '}'"
+    flag = lambda k: f"coalesce(json_type(j, '$.{k}') = 'BOOLEAN' AND (j ->> '$.{k}') = 'true', false) AS {k}"
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT DISTINCT raw_id, shape, payload AS j FROM raw_records
+  UNION ALL SELECT raw_id, shape, j::json ->> '$' FROM texts WHERE CASE WHEN json_valid(j) THEN json_type(j) = 'VARCHAR' ELSE false END),
+docs AS (SELECT row_number() OVER () AS doc, raw_id, j::json AS j FROM texts WHERE shape = 'latest' AND CASE WHEN json_valid(j) THEN json_type(j) = 'OBJECT' ELSE false END),
+walk AS (
+  SELECT doc, child, []::int[] AS place, j -> ('$.' || child) AS v FROM docs, (VALUES ('platforms'), ('meta_version'), ('outputs')) c(child)
+  UNION ALL SELECT doc, child, list_append(place, k::int), v -> ('$[' || k || ']') FROM (SELECT *, unnest(range(json_array_length(v)::bigint)) AS k FROM walk WHERE json_type(v) = 'ARRAY')),
+lists AS (
+  SELECT doc, coalesce(list(v ->> '$' ORDER BY place) FILTER (child = 'platforms' AND json_type(v) = 'VARCHAR'), []) AS systems,
+    coalesce(list(v ->> '$' ORDER BY place) FILTER (child = 'meta_version' AND json_type(v) = 'VARCHAR'), []) AS versions,
+    coalesce(list({{'n': coalesce({text('v', 'name')}, ''), 'p': coalesce({text('v', 'path')}, ''), 'd': coalesce(json_type(v, '$.default') = 'BOOLEAN' AND (v ->> '$.default') = 'true', false)}} ORDER BY place)
+      FILTER (child = 'outputs' AND json_type(v) = 'OBJECT'), []) AS outs FROM walk GROUP BY 1),
+facts AS (SELECT raw_id, systems, versions, outs, {flag('broken')}, {flag('insecure')}, {', '.join(f"coalesce({text('j', k)}, '') AS {k}" for k in ("attr_path", "system", "commit_hash", *texts))} FROM docs JOIN lists USING (doc))
+SELECT raw_id, attr_path, system, commit_hash, store_hash, summary, broken, insecure, array_to_string(versions, '|') AS meta_version, sha256({document(described)}) AS meta_hash, sha256({document(content)}) AS content_hash FROM facts"""

@@ -167,12 +167,12 @@ WHERE o.system IS NULL OR n.system IS NULL OR n.h IS DISTINCT FROM o.h
 def key_totals(spark: SparkSession, base: str) -> DataFrame:
     """Variants of each attribute path and of each name key: ``(field, key_value, n)``."""
     variants = table(spark, base, "variants").where(F.col("id").isNotNull()).select("id", "attr_path", "version_id").distinct()
-    counted = dense_sums(variants, {"attr_path": "attr_path", "version_id": "version_id"})
+    counted = dense_sums(variants, {"attr_path": "attr_path", "version_id": "version_id"}, sized=table(spark, base, "variants"))
     versions = table(spark, base, "versions").select(F.col("id").cast("string").alias("key_value"), "package_id").distinct()
     packages = table(spark, base, "packages").select(F.col("id").alias("package_id"), name_key(F.col("name")).alias("name")).distinct()
     owned = counted.where(F.col("field") == "version_id").join(versions, "key_value").groupBy("package_id").agg(F.sum("n").alias("n"))
     named = owned.join(packages, "package_id").select("name", F.col("n").alias("rows"))
-    named = dense_sums(named, {"name": "name"}, ["rows"])
+    named = dense_sums(named, {"name": "name"}, ["rows"], sized=table(spark, base, "packages"))
     named = named.select("field", "key_value", F.col("rows").alias("n"))
     return counted.where(F.col("field") == "attr_path").unionByName(named)
 
@@ -205,7 +205,7 @@ def p5_totals(spark: SparkSession, base: str) -> DataFrame:
     """Every attribute path with its variants and how many are broken or insecure."""
     flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
     variants = table(spark, base, "variants").where(F.col("id").isNotNull()).select("id", "attr_path", flag("broken"), flag("insecure")).distinct()
-    out = dense_sums(variants, {"attr_path": "attr_path"}, ["broken", "insecure"])
+    out = dense_sums(variants, {"attr_path": "attr_path"}, ["broken", "insecure"], sized=table(spark, base, "variants"))
     return out.select(F.col("key_value").alias("attr_path"), F.col("n").alias("variants"), "broken", "insecure")
 
 

@@ -313,6 +313,21 @@ def test_seed(spark, rows):
     assert [empty[k].count() for k in ("packages", "versions", "variants", "variant_ranges")] == [0, 0, 0, 0]
 
 
+def test_documents_of_status_and_older_responses(c, rows):
+    import json
+
+    doc = json.loads(render.status_document(c, ["go", "nothing"]).first()[0])
+    assert doc["counts"]["variants"] == 11 and doc["oldest_commit"]["seq"] == 1 and doc["newest_commit"]["hash"] == f"{5:040x}" and [s["system"] for s in doc["systems"]] == [MAC, LINUX]
+    assert doc["systems"][0]["newest"]["seq"] == 3 and [(x["name"], x.get("version"), x["systems"]) for x in doc["latest_versions"]] == [("go", "1.21.0", [LINUX]), ("nothing", None, [])]
+    assert doc["last_import_at"] == "2026-01-06T00:00:00.000Z"
+    old = {r.version_id: json.loads(r.document) for r in render.legacy_documents(lookup.result_rows(c, c.shown_variants())).collect()}
+    assert old[5]["name"] == "Go" and old[5]["systems"][LINUX]["attr_paths"] == ["go", "go_1_22"] and old[5]["systems"][LINUX]["broken"] is True and "insecure" not in old[5]["systems"][LINUX]
+    assert old[2]["platforms"] == [LINUX] and "description" not in old[2] and list(old[2]["systems"]) == [MAC, LINUX]
+    names = c.packages("package_id", "name")
+    assert rows(render.site_map_index(names, "o", 2))[-1] == (3, "<sitemap><loc>o/sitemaps/3.xml</loc></sitemap>") and render.site_map_index(names.limit(0), "o").count() == 1
+    assert render.legacy_documents(lookup.result_rows(c, c.shown_variants()).limit(0)).count() == 0
+
+
 def raw_records(spark, base, data):
     """A folder with the records and a copy of each."""
     spark.createDataFrame([*data, *data], "raw_id long, shape string, system string, payload string").coalesce(1).write.parquet(f"{base}/raw_records.parquet")

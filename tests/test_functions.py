@@ -61,3 +61,13 @@ def test_display(spark):
     assert df.select(D.omit_empty(df.dtypes)).first()[0] == '{"e":"k","f":2}'
     assert one(spark, D.describe_query(F.col("p"), F.lit(""), F.col("v"), F.lit(None).cast("string")), p='a"', v="1") == 'phrase = "a\\"" = "^\\"a\\"\\"\\" OR ^\\"a\\"\\"\\"* OR \\"a\\"\\"\\" OR \\"a\\"\\"\\"*" && version = "1"'
     assert len(one(spark, D.etag(F.col("s")), s="x")) == 27
+
+
+def test_links_and_times(spark):
+    name, at = F.col("n"), F.col("t")
+    assert one(spark, D.package_path(name), n="a b/é!'()*~@") == "/pkg/a%20b%2F%C3%A9!'()*~%40" and one(spark, D.package_path(name, F.lit("1+2")), n="x") == "/pkg/x/1%2B2"
+    assert one(spark, D.query_path(F.lit("/s"), q=name, v=F.lit(""), w=F.lit(None).cast("string")), n="a&b") == "/s?q=a%26b" and one(spark, D.query_path(F.lit("/s"), q=name), n="") == "/s"
+    t = datetime.datetime(2024, 2, 3, 4, 5, 6, 789000)
+    assert one(spark, D.time_tag(at), t=t) == '<time datetime="2024-02-03T04:05:06.789Z">2024-02-03 04:05 UTC</time>'
+    assert one(spark, D.day_tag(at), t=t) == '<time datetime="2024-02-03T04:05:06.789Z" title="2024-02-03T04:05:06.789Z">2024-02-03</time>'
+    assert one(spark, D.ago_tag(at, F.lit(t)), t=t).endswith('">just now</time>') and one(spark, D.short_system(name), n="x86_64-linux-musl") == "x86_64 linux-musl"

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.operators import skew
+from catalith.operators import dense, skew
 from catalith.operators.dense import dense_sums
 from catalith.operators.nested import _parse_deep, child_items, parse, shred, state_of, subtype_table
 from catalith.operators.references import Reference, orphan_counts, orphan_references
@@ -101,6 +101,8 @@ def test_dense_sums(spark, rows, monkeypatch):
                 sums[f, v] += n or 0
     assert got == sorted(((*k, n, (sums[k] + (1 << 63)) % (1 << 64) - (1 << 63)) for k, n in want.items()), key=str)
     assert rows(dense_sums(df.limit(0), {"text": "k"})) == []
+    monkeypatch.setattr(dense, "BLOCK_KEYS", 5)
+    assert dense._blocks(df, ["k", "i"]) >= 15 and rows(dense_sums(df, {"text": "k", "number": "i"}, ["n"], sized=df.select("k", "i"))) == got
 
 
 EVAL = {"p.a": {"version": "1", "system": "s", "outputs": {"out": "x", "": "y", "man": None}, "meta": {"platforms": ["  l ", ["d", [[]], ["l", {"names": ["no"]}]], 7, None, ""]}}, "p.b": {"outputs": ["out"], "meta": {"platforms": "l"}}, "p.c": 3}

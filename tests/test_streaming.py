@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from catalith.operators.decode import clean_package, decode_packages, read_archives, stream_entries
+from catalith.operators.decode import clean_package, decode_latest, decode_packages, latest_package, read_archives, stream_entries
 from catalith.streaming.incremental import ARRIVALS, merge_batch, stream_evaluations
 
 
@@ -47,6 +47,19 @@ def test_decoding(spark):
     assert [(r.raw_id, r.attr_path, r.content_hash) for r in got] == [(1, "p", p["content_hash"])]
 
 
+def test_records_of_both_shapes_have_one_address(spark):
+    p = clean_package("p", PACKAGES["p"])
+    same = {k: p[k] for k in ("attr_path", "system", "store_hash", "store_name", "meta_name", "program", "summary", "description", "homepage", "license", "broken", "insecure", "platforms")}
+    same |= {"store_version": p["version"], "meta_version": [p["meta_version"]], "outputs": [{**o, "nar": "cached"} for o in p["outputs"]], "commit_hash": "c"}
+    got = latest_package(same)
+    assert (got["meta_hash"], got["content_hash"]) == (p["meta_hash"], p["content_hash"]) and latest_package({**same, "program": "x"})["content_hash"] != p["content_hash"]
+    odd = {"store_hash": 3, "platforms": "a", "meta_version": None, "outputs": {"name": None, "default": 1}, "broken": "yes"}
+    made = latest_package(odd)
+    assert (made["store_hash"], made["platforms"], made["meta_version"], made["outputs"], made["broken"]) == ("", ["a"], [], [{"name": "", "path": "", "default": False}], False)
+    df = spark.createDataFrame([(1, "latest", json.dumps(json.dumps(same))), (2, "latest", json.dumps(same)[:-3]), (3, "eval", "{}"), (4, "latest", None), (None, "latest", json.dumps(odd))], "raw_id long, shape string, payload string")
+    assert {r.raw_id: r.content_hash for r in decode_latest(df).collect()} == {1: p["content_hash"], None: made["content_hash"]} and decode_latest(df.limit(0)).count() == 0
+
+
 def test_archives(spark, tmp_path):
     entries = {f"k{n}": {"v": ["x" * n, {"}": None}], "n": n} for n in range(2500)} | {"num": 12, "none": None}
     for name, doc in (("a.json.gz", entries), ("b.json.gz", {"version": 2, "packages": entries, "z": 1})):
