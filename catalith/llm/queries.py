@@ -38,12 +38,10 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_lossless(spark: SparkSession, base: str) -> DataFrame:
-    """Whether the bytes of each document's ids are those of its text."""
-    docs, vocabulary = table(spark, base, "documents"), Vocabulary.load()
-    ids = encode_corpus(docs, "doc_id", "text", vocabulary)
-    hashed = decode_corpus(ids, "doc_id", "ids", vocabulary).select("doc_id", F.sha2("data", 256).alias("decoded"))
-    texts = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
-    return texts.join(hashed, "doc_id").select("doc_id", (F.col("decoded") == F.col("hash")).alias("lossless"))
+    """The SHA-256 of the bytes that each document's ids stand for; it is that of the text."""
+    vocabulary = Vocabulary.load()
+    ids = encode_corpus(table(spark, base, "documents"), "doc_id", "text", vocabulary)
+    return decode_corpus(ids, "doc_id", "ids", vocabulary).select("doc_id", F.sha2("data", 256).alias("digest"))
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
@@ -54,10 +52,19 @@ def p9_pieces(spark: SparkSession, base: str) -> DataFrame:
     return split_corpus(table(spark, base, "documents"), "doc_id", "text", Vocabulary.load(), limit=LIMIT, overlap=OVERLAP)
 
 
+def p9_rejoined(spark: SparkSession, base: str) -> DataFrame:
+    """The SHA-256 of the bytes of each document's pieces joined again, each without the overlap it begins with; it is that of the text."""
+    own = F.when(F.col("piece") == 0, F.col("ids")).otherwise(F.slice("ids", OVERLAP + 1, LIMIT))
+    pieces = p9_pieces(spark, base).select("doc_id", F.struct("piece", own.alias("ids")).alias("p"))
+    whole = pieces.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["ids"])).alias("ids"))  # one text
+    return decode_corpus(whole, "doc_id", "ids", Vocabulary.load()).select("doc_id", F.sha2("data", 256).alias("digest"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     pieces = split_corpus(table(spark, base, "documents"), "doc_id", "text", Vocabulary.load(), limit=LIMIT, overlap=OVERLAP, with_text=False)
     return pieces.where(F.col("piece") == 1).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p7_ids": p7_ids, "p7_lossless": p7_lossless, "p8_found": p8_found, "p9_pieces": p9_pieces, "p9_found": p9_found}
-SQL = {"p2_found": P2_SQL, "p2_split": P2_SQL, "p7_lossless": "SELECT doc_id, true AS lossless FROM documents"}
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p7_ids": p7_ids, "p7_lossless": p7_lossless, "p8_found": p8_found, "p9_pieces": p9_pieces, "p9_rejoined": p9_rejoined, "p9_found": p9_found}
+_DIGESTS = "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents"
+SQL = {"p2_found": P2_SQL, "p2_split": P2_SQL, "p7_lossless": _DIGESTS, "p9_rejoined": _DIGESTS}

@@ -83,12 +83,12 @@ def split_text(text: str | None, vocabulary: Vocabulary, limit: int, overlap: in
 
 
 def split_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: Vocabulary, *, limit: int = 512, overlap: int = 64, with_text: bool = True) -> DataFrame:
-    """``(doc_id, piece, first_token, n_tokens, cut[, text])``: each text as pieces of at most ``limit`` tokens.
+    """``(doc_id, piece, first_token, n_tokens, cut[, text, ids])``: each text as pieces of at most ``limit`` tokens.
 
     Sizes count tokens of the whole text's encoding. A piece is a run of them; every piece but the first begins with the last
     ``overlap`` tokens of the one before, so the tokens beyond the overlaps give the text back exactly. ``cut`` is the
     strength of the place where it begins (0 inside a character, 1 between characters, 2 words, 3 sentences, 4 lines, 5 paragraphs; 5 too at the start).
-    ``text`` is the piece's text; half a character at either end becomes U+FFFD. Texts within the limit, empty and null ones
+    ``ids`` are the piece's tokens, which lose nothing; ``text`` is its text, where half a character at either end becomes U+FFFD. Texts within the limit, empty and null ones
     are one piece. Rows are independent: no shuffle, and repeated rows are cut alike.
     """
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -97,7 +97,7 @@ def split_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: Vocabulary
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = known.value
         for batch in batches:
-            row, piece, first, size, cut, texts = [], [], [], [], [], []
+            row, piece, first, size, cut, texts, tokens = [], [], [], [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 ids, runs = split_text(t, v, limit, overlap)
                 for p, (a, b, strength) in enumerate(runs):
@@ -107,12 +107,13 @@ def split_corpus(docs: DataFrame, doc_id: str, text: str, vocabulary: Vocabulary
                     size.append(b - a)
                     cut.append(strength)
                     if with_text:
+                        tokens.append(ids[a:b])
                         texts.append(t or "" if len(runs) == 1 else v.decode_bytes(ids[a:b].tolist()).decode(errors="replace"))
             cols = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int32()) for c in (piece, first, size, cut))]
             names = [doc_id, "piece", "first_token", "n_tokens", "cut"]
             if with_text:
-                cols, names = [*cols, pa.array(texts, pa.string())], [*names, "text"]
+                cols, names = [*cols, pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.int32()))], [*names, "text", "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    ddl = f"`{doc_id}` {kind}, piece int, first_token int, n_tokens int, cut int" + ", text string" * with_text
+    ddl = f"`{doc_id}` {kind}, piece int, first_token int, n_tokens int, cut int" + ", text string, ids array<int>" * with_text
     return docs.select(doc_id, text).mapInArrow(pieces, ddl)

@@ -84,6 +84,7 @@ def test_pieces(spark, vocabulary, limit, overlap):
         at = 0
         for p in pieces:
             assert p.first_token == max(0, at - overlap if p.piece else 0) and p.text == vocabulary.decode_bytes(ids[p.first_token : p.first_token + p.n_tokens]).decode(errors="replace")
+            assert p.ids == ids[p.first_token : p.first_token + p.n_tokens]
             at = p.first_token + p.n_tokens
         assert at == len(ids)
     words = [p for k, t in enumerate(texts) if t and " " in t and "\n" in t and len(t) > 5000 for p in got[k].values()]
