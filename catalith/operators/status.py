@@ -85,8 +85,8 @@ def batches(rows: DataFrame, order: list[str], size: int, out: str = "batch") ->
     return numbered(rows, order, out).withColumn(out, F.floor((F.col(out) - 1) / size).cast("int"))
 
 
-def pending_commits(c: Catalog, releases: DataFrame, limit: int = 4) -> DataFrame:
-    """``(short_hash, number)``: the oldest listed releases newer than everything imported, at most ``limit``.
+def pending_commits(c: Catalog, releases: DataFrame, limit: int | None = 4) -> DataFrame:
+    """``(short_hash, number)``: the oldest listed releases newer than everything imported, at most ``limit``, all for None.
 
     ``releases (short_hash, number)`` abbreviate hashes to various lengths; known commits are cut to each of them.
     """
@@ -94,13 +94,15 @@ def pending_commits(c: Catalog, releases: DataFrame, limit: int = 4) -> DataFram
     known = c.commits("hash").distinct().join(F.broadcast(lengths.select("n"))).select(F.expr("left(hash, n)").alias("short_hash")).distinct()
     head = releases.join(known, "short_hash", "left_semi").agg(F.coalesce(F.max("number"), F.lit(0)).alias("head"))
     new = releases.join(known, "short_hash", "left_anti").join(F.broadcast(head)).where(F.col("number") > F.col("head"))
-    return new.orderBy("number").limit(limit).select("short_hash", "number")
+    new = new.orderBy("number").select("short_hash", "number")
+    return new if limit is None else new.limit(limit)
 
 
-def with_backfill(incomplete: DataFrame, pending: DataFrame, limit: int, key: str = "hash") -> DataFrame:
-    """Incomplete commits first, then pending ones that aren't among them, both in their ``number``'s order, at most ``limit``."""
+def with_backfill(incomplete: DataFrame, pending: DataFrame, limit: int | None, key: str = "hash") -> DataFrame:
+    """Incomplete commits first, then pending ones that aren't among them, both in their ``number``'s order, at most ``limit``, all for None."""
     both = incomplete.select(key, "number").withColumn("turn", F.lit(0)).unionByName(pending.select(key, "number").withColumn("turn", F.lit(1)).join(incomplete.select(key), key, "left_anti"))
-    return both.orderBy("turn", "number").limit(limit)
+    both = both.orderBy("turn", "number")
+    return both if limit is None else both.limit(limit)
 
 
 def canonical_spellings(c: Catalog) -> DataFrame:

@@ -654,15 +654,18 @@ def package_batches(c: Catalog) -> DataFrame:
     return status.batches(c.packages("package_id"), ["package_id"], 100)
 
 
+#: Before this moment the listing knows the commits that it names.
+LISTED_UNTIL = datetime.datetime(2025, 6, 1)
+
+
 def _releases(c: Catalog) -> DataFrame:
-    """A listing of releases made from the commits: every third, hashes cut to 7 to 11 characters, and one that isn't known yet for each."""
-    own = c.commits("seq", "hash").where(F.col("seq") % 3 == 0)
-    known = own.select(F.expr("left(hash, 7 + seq % 5)").alias("short_hash"), (F.col("seq") * 10).alias("number")).where(F.col("number") < 11500)
-    return known.unionByName(own.select(F.expr("left(sha1(hash), 9)").alias("short_hash"), (F.col("seq") * 10 + 1).alias("number")))
+    """A listing of releases made from all commits: hashes cut to 7 to 11 characters; of those committed later than ``LISTED_UNTIL`` the catalog has other hashes, so that they are new to it."""
+    later = F.col("committed_at") > F.lit(LISTED_UNTIL)
+    named = F.when(later, F.expr("left(sha1(hash), 9)")).otherwise(F.expr("left(hash, 7 + seq % 5)"))
+    return c.commits("seq", "hash", "committed_at").select(named.alias("short_hash"), (F.col("seq") * 10).alias("number"))
 
 
-@query(""", rel AS (SELECT left(hash, 7 + seq % 5) AS short_hash, seq * 10 AS number FROM co WHERE seq % 3 = 0 AND seq * 10 < 11500
-  UNION ALL SELECT left(sha1(hash), 9), seq * 10 + 1 FROM co WHERE seq % 3 = 0),
+@query(""", rel AS (SELECT CASE WHEN committed_at > TIMESTAMP '2025-06-01' THEN left(sha1(hash), 9) ELSE left(hash, 7 + seq % 5) END AS short_hash, seq * 10 AS number FROM co),
 known AS (SELECT DISTINCT left(hash, n) AS short_hash FROM co, (SELECT DISTINCT length(short_hash) AS n FROM rel)),
 head AS (SELECT coalesce(max(number), 0) AS head FROM rel WHERE short_hash IN (SELECT short_hash FROM known))
 SELECT short_hash, number FROM rel, head WHERE number > head AND short_hash NOT IN (SELECT short_hash FROM known) ORDER BY number LIMIT 4""")
@@ -671,11 +674,11 @@ def pending_commits(c: Catalog) -> DataFrame:
 
 
 @query(""", o AS (SELECT hash, seq AS number FROM co WHERE seq IN (SELECT seq FROM co WHERE (seq, 'x86_64-darwin') NOT IN (SELECT (commit_seq, system) FROM im))),
-p AS (SELECT hash, seq AS number FROM co WHERE seq > 1150)
-SELECT hash, number, turn FROM (SELECT hash, number, 0 AS turn FROM o UNION ALL SELECT hash, number, 1 FROM p WHERE hash NOT IN (SELECT hash FROM o)) ORDER BY turn, number LIMIT 600""")
+p AS (SELECT hash, seq AS number FROM co)
+SELECT hash, number, turn FROM (SELECT hash, number, 0 AS turn FROM o UNION ALL SELECT hash, number, 1 FROM p WHERE hash NOT IN (SELECT hash FROM o)) ORDER BY turn, number""")
 def backfill_first(c: Catalog) -> DataFrame:
     old = status.incomplete_commits(c, ["x86_64-darwin"]).select("hash", F.col("seq").alias("number"))
-    return status.with_backfill(old, c.commits("seq", "hash").where(F.col("seq") > 1150).select("hash", F.col("seq").alias("number")), 600)
+    return status.with_backfill(old, c.commits("seq", "hash").select("hash", F.col("seq").alias("number")), None)
 
 
 @query(""", u AS (SELECT nk, name, count(*) AS n FROM pk JOIN ve USING (package_id) GROUP BY ALL)
