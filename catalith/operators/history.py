@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.operators.intervals import OPEN_END, timeline_ranks
+from catalith.operators.intervals import OPEN_END, timeline_of
 from catalith.operators.lookup import first_per_key
 from catalith.sources.catalog import Catalog, small
 
@@ -20,14 +20,11 @@ def evaluated_rows(c: Catalog) -> DataFrame:
 
 def next_point(rows: DataFrame, scope: str, at: str, points: DataFrame, point: str, out: str) -> DataFrame:
     """Adds the smallest point of the scope beyond ``at``, null if there is none."""
-    points = points.select(scope, point).distinct()
-    ranks, low, high, fits = timeline_ranks(points, scope, point)
-    ranked = points.select(scope, F.col(point).alias(out), F.row_number().over(Window.partitionBy(scope).orderBy(point)).alias("_n"))
-    if fits:
-        ranks, ranked = F.broadcast(ranks), F.broadcast(ranked)
-    clamped = F.greatest(F.lit(low), F.least(F.lit(high), F.col(at))).cast("int")
-    rows = rows.withColumn("_at", clamped).join(ranks.select(scope, F.col("at").alias("_at"), (F.col("through") + 1).alias("_n")), [scope, "_at"], "left")
-    return rows.join(ranked, [scope, "_n"], "left").drop("_at", "_n")
+    points = points.select(scope, F.col(point).alias(out)).where(F.col(scope).isNotNull() & F.col(out).isNotNull()).distinct()
+    timeline = timeline_of(points, scope, out)
+    ranked = points.select(scope, out, F.row_number().over(Window.partitionBy(scope).orderBy(out)).alias("_n"))
+    rows = timeline.ranked(rows, scope, at, "_n", through=True).withColumn("_n", F.col("_n") + 1)
+    return rows.join(F.broadcast(ranked) if timeline.fits else ranked, [scope, "_n"], "left").drop("_n")
 
 
 def presence_runs(c: Catalog, rows: DataFrame) -> DataFrame:

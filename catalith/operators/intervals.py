@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,26 +14,53 @@ OPEN_END = 2147483647
 ENTITY_STARTS = 1_000_000
 
 
-def timeline_ranks(points: DataFrame, scope: str, point: str) -> tuple[DataFrame, int, int, bool]:
-    """How many points of each scope lie before and up to each place of the timeline.
+@dataclass(frozen=True)
+class Timeline:
+    """How many points of each scope lie before and up to a place.
+
+    ``table (scope, block, before, points)`` has one row for each block of ``width`` places from ``low`` to ``high``, with the number of
+    points before the block and, where a block is more than one place, the sorted points in it; a place outside counts as the nearest end.
+    ``fits`` says whether the table is small enough to be broadcast.
+    """
+
+    table: DataFrame
+    low: int
+    high: int
+    width: int
+    fits: bool
+
+    def ranked(self, rows: DataFrame, scope: str, at: str, out: str, through: bool) -> DataFrame:
+        """Adds the number of points of the row's scope before the place ``at``, or up to it; null for a null or unknown scope."""
+        place = F.greatest(F.lit(self.low), F.least(F.lit(self.high), F.col(at))).cast("long")
+        side = F.broadcast(self.table) if self.fits else self.table
+        side = side.select(F.col("scope").alias(scope), F.col("block").alias("_block"), F.col("before").alias("_before_block"), F.col("points").alias("_points"))
+        rows = rows.withColumns({"_place": place, "_block": F.floor((place - self.low) / self.width).cast("long")}).join(side, [scope, "_block"], "left")
+        if self.width == 1:  # all points of a block lie at its place
+            inside = F.when(F.lit(through), F.size("_points")).otherwise(0)
+        else:
+            inside = F.size(F.filter("_points", lambda p: p <= F.col("_place") if through else p < F.col("_place")))
+        return rows.withColumn(out, (F.col("_before_block") + inside).cast("int")).drop("_place", "_block", "_before_block", "_points")
+
+
+def timeline_of(points: DataFrame, scope: str, point: str, rows: int = BROADCAST_ROWS) -> Timeline:
+    """The ``Timeline`` of ``points (scope, point)`` with at most about ``rows`` rows, whatever span the places have.
 
-    Returns ``(scope, at, before, through)`` with one row for each integer of the timeline, one place
-    beyond either end included; these two ends, as a place outside counts as the nearest end; and whether the
-    table is small enough to be broadcast.
     Null scopes and points are no points; copies count once.
     """
-    points = points.select(scope, point).where(F.col(scope).isNotNull() & F.col(point).isNotNull()).distinct()
-    low, high, scopes = points.agg(F.min(point), F.max(point), F.count_distinct(scope)).first()
+    points = points.select(F.col(scope).alias("scope"), F.col(point).cast("long").alias("point")).where(F.col("scope").isNotNull() & F.col("point").isNotNull()).distinct()
+    low, high, scopes, n = points.agg(F.min("point"), F.max("point"), F.count_distinct("scope"), F.count(F.lit(1))).first()
     low, high = (0, 0) if low is None else (low - 1, high + 1)
-    fits = scopes * (high - low + 1) <= BROADCAST_ROWS
-    first = points.select(scope).distinct().select(scope, F.lit(low).cast("int").alias(point), F.lit(0).alias("_real"))
-    w = Window.partitionBy(scope).orderBy(point)
-    steps = points.select(scope, F.col(point).cast("int").alias(point), F.lit(1).alias("_real")).unionByName(first)
-    steps = steps.select(scope, point, "_real", F.sum("_real").over(w).alias("_rank"), F.lead(point).over(w).alias("_next"))
-    at = F.explode(F.sequence(F.col(point), F.coalesce(F.col("_next") - 1, F.lit(high)))).alias("at")
-    ranks = steps.select(scope, at, point, "_real", "_rank")
-    before = F.when(F.col("at") == F.col(point), F.col("_rank") - F.col("_real")).otherwise(F.col("_rank"))
-    return ranks.select(scope, "at", before.alias("before"), F.col("_rank").alias("through")), low, high, fits
+    width = max(1, -(-(high - low + 1) * scopes // rows))
+    own = points.groupBy("scope", F.floor((F.col("point") - low) / width).cast("long").alias("block")).agg(F.array_sort(F.collect_list("point")).alias("points"))  # the points of one block
+    own = own.unionByName(points.select("scope").distinct().select("scope", F.lit(-1).cast("long").alias("block"), F.array().cast("array<bigint>").alias("points")))
+    w = Window.partitionBy("scope").orderBy("block")
+    steps = own.select("scope", "block", "points", F.sum(F.size("points")).over(w).alias("_upto"), F.lead("block").over(w).alias("_next"))
+    last = (high - low) // width
+    at = F.explode(F.sequence(F.col("block"), F.coalesce(F.col("_next") - 1, F.lit(last).cast("long")))).alias("at")
+    table = steps.select("scope", at, "block", "points", "_upto")
+    here = F.col("at") == F.col("block")
+    table = table.select("scope", F.col("at").alias("block"), (F.col("_upto") - F.when(here, F.size("points")).otherwise(0)).alias("before"), F.when(here, F.col("points")).otherwise(F.array().cast("array<bigint>")).alias("points"))
+    return Timeline(table, low, high, width, n <= rows)
 
 
 def continuous_periods(
@@ -84,13 +113,10 @@ def continuous_periods(
 
 def _ranked(rows, e, s, t, scopes, points, scope, point):
     scopes = scopes.where(F.col(e).isNotNull()).groupBy(e).agg(F.min("_scope").alias("_scope"))
-    ranks, low, high, fits = timeline_ranks(points, scope, point)
-    ranks = F.broadcast(ranks) if fits else ranks
-    clamp = lambda c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))).cast("int")
+    timeline = timeline_of(points, scope, point)
     rows = rows.join(scopes, e, "left")
-    for at, rank, out in ((s, "before", "_before"), (t, "through", "_through")):
-        side = ranks.select(F.col(scope).alias("_scope"), F.col("at").alias("_at"), F.col(rank).alias(out))
-        rows = rows.withColumn("_at", clamp(at)).join(side, ["_scope", "_at"], "left").drop("_at")
+    for at, out in ((s, "_before"), (t, "_through")):
+        rows = timeline.ranked(rows, "_scope", at, out, through=at == t)
     return rows.select(e, s, t, F.coalesce("_before", F.lit(0)).alias("_before"), F.coalesce("_through", F.lit(0)).alias("_through"))
 
 

@@ -33,7 +33,7 @@ def backfill_of_variants(spark: SparkSession, base: str) -> DataFrame:
     return keys.join(staged, key).select("variant_id", "first_seq", "last_seq")
 
 
-def p1_found(spark: SparkSession, base: str) -> DataFrame:
+def p1_found(spark: SparkSession, base: str, **limits: int) -> DataFrame:
     ranges = table(spark, base, "variant_ranges").where(~F.coalesce("seeded", F.lit(False)))
     ranges = ranges.select("variant_id", "first_seq", "last_seq").unionByName(backfill_of_variants(spark, base))
     imports = table(spark, base, "commit_systems").select(F.col("system").alias("scope"), F.col("commit_seq").alias("point"))
@@ -41,10 +41,15 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     starts = table(spark, base, "variant_ranges").select("first_seq").unionByName(table(spark, base, "stage_backfill_ranges").select("first_seq"))
     low, high = starts.agg(F.min("first_seq"), F.max("first_seq")).first()
     bounds = None if low is None else (low, high)
-    out = continuous_periods(ranges, "variant_id", "first_seq", "last_seq", scope_of=systems, points=imports, bounds=bounds)
+    out = continuous_periods(ranges, "variant_id", "first_seq", "last_seq", scope_of=systems, points=imports, bounds=bounds, **limits)
     return out.select("variant_id", "piece", "first_seq", "last_seq")
 
 
+def p1_split(spark: SparkSession, base: str) -> DataFrame:
+    """The same where variants with more than one start are large, so that both ways are taken at any size of the tables."""
+    return p1_found(spark, base, entity_starts=1)
+
+
 P1_SQL = f"""
 WITH own AS (
   SELECT variant_id, first_seq, coalesce(last_seq, {OPEN_END}) AS last_seq
@@ -293,6 +298,7 @@ def _p6_table_sql(name: str) -> str:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_split": p1_split,
     "p3_found": p3_found,
     "p3_split": p3_split,
     "p3_counts": p3_counts,
@@ -305,6 +311,7 @@ QUERIES = {
 }
 SQL = {
     "p1_found": P1_SQL,
+    "p1_split": P1_SQL,
     "p3_found": P3_SQL,
     "p3_split": P3_SQL,
     "p3_counts": f"SELECT target, period, reason, count(*) AS n_rows FROM ({P3_SQL}) GROUP BY ALL",

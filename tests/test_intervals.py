@@ -1,9 +1,11 @@
 """Continuous periods and gaps against a set-based version."""
 
+import functools
 import random
 
 import pytest
 
+from catalith.operators import intervals
 from catalith.operators.intervals import OPEN_END, continuous_periods
 
 SCHEMA = "e int, s int, t int, e_extra string, piece string"
@@ -47,6 +49,22 @@ def test_against_brute_force(spark, rows, starts):
     assert rows(got) == brute(ranges, points, scopes)
 
 
+@pytest.mark.parametrize("most,spread", [(500_000, 1), (7, 1), (40, 10_000_019)])
+def test_timeline_of_any_span(spark, rows, monkeypatch, most, spread):
+    """Places like seconds of an epoch: the table follows the limit, not the span."""
+    rng = random.Random(most)
+    points = [(c, rng.randrange(90) * spread) for c in "ab" for _ in range(30)]
+    ranges = [(rng.randrange(5), s := rng.randrange(-3, 95) * spread + rng.randrange(-1, 2), s + rng.randrange(6) * spread) for _ in range(120)]
+    scopes = {k: "ab"[k % 2] for k in range(4)}
+    monkeypatch.setattr(intervals, "timeline_of", functools.partial(intervals.timeline_of, rows=most))
+    timeline = intervals.timeline_of(spark.createDataFrame(points, "c string, p int"), "c", "p")
+    assert timeline.table.count() <= most + 4 or timeline.width == 1
+    got = continuous_periods(
+        frame(spark, ranges), "e", "s", "t", scope_of=spark.createDataFrame([*scopes.items()], "e int, scope string"), points=spark.createDataFrame(points, "scope string, point int"),
+    )
+    assert rows(got) == brute(ranges, points, scopes)
+
+
 def test_empty(spark, rows):
     assert rows(continuous_periods(frame(spark, []), "e", "s", "t")) == []
     points = spark.createDataFrame([], "scope string, point int")
