@@ -13,11 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.functions.display import quoted
 from catalith.operators.nested import _entries, _leaves, _utf8, parse
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Field of ``meta`` that holds a version which the package's name doesn't; producers name it as they like.
-HIDDEN_VERSION = "_hiddenVersion"
 DEFAULT_SYSTEM = "x86_64-linux"
 
 DECODED = pa.schema(
@@ -70,13 +69,16 @@ def store_hash(path: str, prefix: str = "/nix/store/") -> str:
     return path[:32] if len(path) >= 32 else ""
 
 
-def clean_package(attr_path: str, package: dict, hidden_field: str = HIDDEN_VERSION) -> dict:
-    """One record of ``DECODED``; what is missing or of another type is "" or false."""
+def clean_package(attr_path: str, package: dict, hidden_field: str | None) -> dict:
+    """One record of ``DECODED``; what is missing or of another type is "" or false.
+
+    ``hidden_field`` is the field of ``meta`` that holds a version which the package's name doesn't; producers name it as they like, None for none.
+    """
     meta = package.get("meta") if isinstance(package.get("meta"), dict) else {}
     licenses = _flat(meta.get("license"))
     spdx = _first_text([x.get("spdxId") for x in licenses if isinstance(x, dict)])
     outputs = _outputs(package, meta)
-    name, version, hidden = (_clean(x) for x in (package.get("pname"), package.get("version"), meta.get(hidden_field)))
+    name, version, hidden = (_clean(x) for x in (package.get("pname"), package.get("version"), meta.get(hidden_field) if hidden_field else None))
     if not version and hidden:
         version, name = hidden, name.removesuffix("-" + hidden)
     out = {
@@ -148,7 +150,7 @@ def _decoded(records: DataFrame, wanted: str, schema: pa.Schema, package) -> Dat
     return records.select(F.col("raw_id").cast("long").alias("raw_id"), "shape", "payload").mapInArrow(decoded, ddl)
 
 
-def decode_packages(records: DataFrame, hidden_field: str = HIDDEN_VERSION) -> DataFrame:
+def decode_packages(records: DataFrame, hidden_field: str | None) -> DataFrame:
     """``(raw_id, *DECODED)``: one row for each package of the ``eval`` records ``(raw_id, shape, payload)``.
 
     Records whose payload is null, broken or no object give nothing, nor do entries that are no object or whose outputs are
@@ -157,6 +159,12 @@ def decode_packages(records: DataFrame, hidden_field: str = HIDDEN_VERSION) -> D
     return _decoded(records, "eval", DECODED, lambda path, package: clean_package(path, package, hidden_field))
 
 
+def archive_packages(entries: DataFrame, hidden_field: str | None) -> DataFrame:
+    """``DECODED`` of the entries ``(attr_path, package)`` that ``read_archives`` gives."""
+    one = F.concat(F.lit("{"), quoted(F.col("attr_path")), F.lit(":"), F.col("package"), F.lit("}"))
+    return decode_packages(entries.select(F.lit(None).cast("long").alias("raw_id"), F.lit("eval").alias("shape"), one.alias("payload")), hidden_field).drop("raw_id")
+
+
 def decode_latest(records: DataFrame) -> DataFrame:
     """``(raw_id, *LATEST)``: one row for each of the ``latest`` records ``(raw_id, shape, payload)``; broken payloads give nothing, repeated records repeated rows."""
     return _decoded(records, "latest", LATEST, lambda _, record: latest_package(record))
@@ -261,4 +269,4 @@ def _batch(path: str, rows: list[tuple[str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array(c, pa.string()) for c in zip(*rows))], names=["path", "attr_path", "package"])
 
 
-__all__ = ["DECODED", "LATEST", "canonical_json", "clean_package", "decode_latest", "decode_packages", "latest_package", "read_archives", "stream_entries"]
+__all__ = ["DECODED", "LATEST", "archive_packages", "canonical_json", "clean_package", "decode_latest", "decode_packages", "latest_package", "read_archives", "stream_entries"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import version as V
 from catalith.functions.names import name_key
-from catalith.functions.paths import top_level
+from catalith.functions.paths import canonical_name, top_level
 from catalith.operators.history import KEY
 from catalith.operators.merge import backfilled_ranges, overlapping_ranges, previous_imports, staged_ranges
 from catalith.operators.status import numbered, row_counts
@@ -25,6 +25,21 @@ TERM = ["package_id", "name", "attr_path", "top_level_attr"]
 # ---------------------------------------------------------------- what arrives
 
 
+def evaluation_of(decoded: DataFrame, system: str, commit_hash: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``imported`` takes, ``(evals, contents, metas)``, of one evaluation's decoded packages (rows of ``decode.DECODED``).
+
+    A package goes by the name of its attribute path (``canonical_name``); the evaluation's system counts, whatever a package says. Packages without
+    a version are left out. A package with a version but without a store path is a stub that should never have come here: the whole evaluation is refused.
+    """
+    rows = decoded.where(F.col("version") != "").withColumns({"system": F.lit(system), "commit_hash": F.lit(commit_hash), "name": canonical_name(F.col("attr_path"))})
+    rows = materialised(rows.withColumn("name_key", name_key(F.col("name"))))
+    if stubs := rows.where(F.coalesce("store_hash", F.lit("")) == "").select("attr_path").limit(5).collect():
+        raise ValueError(f"refused, as packages have no store path: {[r.attr_path for r in stubs]}")
+    key = ["commit_hash", "system", *KEY, "meta_hash"]
+    contents = rows.select(*key, "store_hash", "store_name", "meta_name", F.array("meta_version").alias("meta_version"), "program", "broken", "insecure", "content_hash")
+    return rows.select(*key, "name", "content_hash"), contents, rows.select("meta_hash", "summary", "description", "homepage", "license", "platforms")
+
+
 def placed_commits(c: Catalog, commits: DataFrame, moment) -> DataFrame:
     """The table of commits with those of ``commits (hash, committed_at)`` that it lacks, numbered on from the head by their time.
 

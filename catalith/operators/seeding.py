@@ -58,6 +58,7 @@ def seed_report(records: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         "packages": records.agg(F.count_distinct("name_key")),
         "versions": records.select(*KEY).distinct().agg(count),
         "variants": records.select(*KEY, "system", "attr_path").distinct().agg(count),
+        "search_terms": records.select("name_key", "attr_path").distinct().agg(count),
         "variant_ranges": records.select(*KEY, "system", "attr_path", "commit_hash").join(tables["commits"].withColumnRenamed("hash", "commit_hash"), "commit_hash", "left_semi").select(*KEY, "system", "attr_path").distinct().agg(count),
     }
     parts = []

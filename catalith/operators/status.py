@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.functions.version import is_prerelease
 from catalith.session import materialised
 from catalith.sources.catalog import Catalog
 
@@ -119,3 +120,9 @@ def order_divergences(rows: DataFrame, group: str, old: str, new: str, ident: st
     """
     w = Window.partitionBy(group).orderBy(old, new, ident).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_max", F.max(new).over(w)).where(F.col("_max") > F.col(new)).select(ident, F.col("_max").alias("before"))
+
+
+def prerelease_divergences(c: Catalog) -> DataFrame:
+    """``(version_id, version, stored, computed)``: versions whose stored mark of a prerelease isn't what their text says."""
+    rows = c.versions("version_id", "version", "prerelease").select("version_id", "version", F.col("prerelease").alias("stored"), is_prerelease(F.col("version")).alias("computed"))
+    return rows.where(~F.col("stored").eqNullSafe(F.col("computed")))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from catalith.functions import version as V
 from catalith.functions.display import ago, byte_size, copy_line, day_tag, describe_query, escape_html, escape_like, etag, highlight, integer, omit_empty, package_path, query_path, rfc3339, short_system, time_tag, unix_seconds, url_segment
-from catalith.functions.paths import arch_os, archive_key, canonical_name, parse_archive_name, split_reference, split_store_path, supported, top_level
+from catalith.functions.names import nfd as nfd_of
+from catalith.functions.paths import arch_os, archive_key, canonical_name, listed_prefixes, parse_archive_name, split_reference, split_store_path, supported, top_level, xml_tag
 from catalith.functions.trigram import similarity
 from catalith.operators import history, importing, lookup, merge, phrase, render, seeding, status
-from catalith.operators.decode import HIDDEN_VERSION, decode_latest, decode_packages
+from catalith.operators.decode import decode_latest, decode_packages
 from catalith.operators.nested import shred
-from catalith.plans.decoded_sql import decoded_sql, latest_sql
+from catalith.plans.decoded_sql import TABLE, clean, decoded_sql, latest_sql, nfd
 from catalith.plans.problems import P6_LEAVES
 from catalith.sources.catalog import Catalog
 
@@ -597,6 +598,7 @@ tl AS (SELECT lower(hash) AS h, row_number() OVER (ORDER BY committed_at, hash):
 @query(_SEED + """SELECT label, n AS got, n AS want FROM (
   SELECT 'packages' AS label, count(DISTINCT nk) AS n FROM rec UNION ALL SELECT 'versions', count(*) FROM (SELECT DISTINCT nk, version FROM rec)
   UNION ALL SELECT 'variants', count(*) FROM (SELECT DISTINCT nk, version, system, attr_path FROM rec)
+  UNION ALL SELECT 'search_terms', count(*) FROM (SELECT DISTINCT nk, attr_path FROM rec)
   UNION ALL SELECT 'variant_ranges', count(*) FROM (SELECT DISTINCT nk, version, system, attr_path FROM rec JOIN tl ON h = ch))""")
 def seed_counts(c: Catalog) -> DataFrame:
     records = seeding.seed_records(c.raw("variant_rows"))
@@ -811,9 +813,13 @@ def outputs_summaries(c: Catalog) -> DataFrame:
     return render.outputs_summary(outputs.join(systems, "raw_id"), ["raw_id"], ["ordinal"])
 
 
+#: The field of ``meta`` with versions that names don't have, as this query's producers would name it.
+HIDDEN_VERSION = "_hiddenVersion"
+
+
 @query(decoded_sql(HIDDEN_VERSION), base=False)
 def decoded_packages(c: Catalog) -> DataFrame:
-    rows = decode_packages(c.raw("raw_records").select("raw_id", "shape", "payload").distinct())  # copies of a record, not paths that clean alike
+    rows = decode_packages(c.raw("raw_records").select("raw_id", "shape", "payload").distinct(), HIDDEN_VERSION)  # copies of a record, not paths that clean alike
     return rows.withColumn("platforms", pipe("platforms")).withColumn("outputs", F.to_json("outputs"))
 
 
@@ -971,4 +977,44 @@ def short_systems(c: Catalog) -> DataFrame:
     return c.variants("variant_id", "system").select("variant_id", short_system(F.col("system")).alias("system"))
 
 
+# ---------------------------------------------------------------- the rest
+
+
+@query(_HIT.format("pyrennet").rstrip() + f""", candidates AS (
+  SELECT version_id, version, sort_key, coalesce(semver_major IS NOT NULL AND coalesce(semver_pre, '') = '' AND [semver_major, semver_minor, semver_patch] >= [1,2,0] AND semver_major < 2, false) AS fits
+  FROM va JOIN hit USING (variant_id) JOIN ve USING (version_id) WHERE va.system = 'x86_64-linux' AND NOT prerelease),
+best AS (SELECT version_id FROM candidates WHERE fits OR version = '^1.2' OR starts_with(version, '^1.2.') OR starts_with(version, '^1.2-') ORDER BY fits DESC, sort_key DESC NULLS LAST, version, version_id LIMIT 1)
+SELECT {_ROW} FROM {_WIDE} WHERE version_id IN (FROM best) AND va.system = 'x86_64-linux' AND NOT prerelease ORDER BY va.system, attr_path LIMIT 1000""")
+def dispatched_search(c: Catalog) -> DataFrame:
+    """A search by name, constraint and system through the one entry, its texts in other case and with blanks around."""
+    return _row(lookup.dispatch(c, name=" Pyrennet", version="^1.2 ", system="X86_64-Linux", no_prerelease=True))
+
+
+@query(_ranked("ocavel").rstrip() + """, listed AS (
+  SELECT ord, version, version_id, sort_key, (SELECT list_sort(list(DISTINCT system)) FROM va WHERE va.version_id = ve.version_id) AS systems, row_number() OVER (PARTITION BY ord ORDER BY sort_key DESC NULLS LAST, version, version_id) AS n
+  FROM hits JOIN ve USING (package_id) WHERE version_id IN (SELECT version_id FROM va))
+SELECT ord, '[' || string_agg(to_json({'version': version, 'systems': systems})::varchar, ',' ORDER BY n) || ']' AS releases FROM listed WHERE n <= 3 GROUP BY 1""")
+def phrase_releases(c: Catalog) -> DataFrame:
+    return phrase.search_phrase(c, "ocavel", releases="3").select("ord", "releases")
+
+
+@query(f", tables AS (SELECT {TABLE} AS nfd_of) SELECT package_id, lower({nfd('name')}) AS name_key, {clean('name')} AS decomposed FROM pk, tables")
+def name_keys(c: Catalog) -> DataFrame:
+    return c.packages("package_id", "name", "name_key").select("package_id", "name_key", nfd_of(F.col("name")).alias("decomposed"))
+
+
+@query("""SELECT seq, 'r/' || (seq * 10) || '.' || left(hash, 7 + seq % 5) || '/' AS prefix, 'page' || seq AS token, left(hash, 12) AS commit FROM co""")
+def listed_releases(c: Catalog) -> DataFrame:
+    """Pages of a release listing, one for each commit, and the file names of its evaluations, read again."""
+    prefix = F.concat(F.lit("r/"), (F.col("seq") * 10).cast("string"), F.lit("."), F.expr("left(hash, 7 + seq % 5)"), F.lit("/"))
+    page = F.concat(F.lit("<List><Prefix>"), prefix, F.lit("</Prefix><Next>page"), F.col("seq").cast("string"), F.lit("</Next></List>"))
+    file = parse_archive_name(F.concat(F.lit("out/hidden-x86_64-linux-"), F.expr("left(hash, 12)"), F.lit(".json.gz")))
+    return c.commits("seq", "hash").select("seq", listed_prefixes(page)[0].alias("prefix"), xml_tag(page, "Next").alias("token"), file["commit"].alias("commit"))
+
+
+@query(SQL["prerelease_flags"].removeprefix(BASE).replace("SELECT version_id,", ", flags AS (SELECT version_id, version, prerelease AS stored,", 1).replace("AS prerelease FROM ve", "AS computed FROM ve)") + " SELECT version_id, version, stored, computed FROM flags WHERE stored IS DISTINCT FROM computed")
+def prerelease_divergences(c: Catalog) -> DataFrame:
+    return status.prerelease_divergences(c)
+
+
 __all__ = ["QUERIES", "SQL"]

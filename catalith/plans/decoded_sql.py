@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 _DECOMPOSED = {chr(n): unicodedata.normalize("NFD", chr(n)) for n in range(0xC0, 0x3000) if unicodedata.normalize("NFD", chr(n)) != chr(n)}
-_TABLE = f"MAP {{{', '.join(f'{a!r}: {b!r}' for a, b in _DECOMPOSED.items())}}}"
+TABLE = f"MAP {{{', '.join(f'{a!r}: {b!r}' for a, b in _DECOMPOSED.items())}}}"
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -52,7 +52,7 @@ def decoded_sql(hidden: str) -> str:
     document = lambda parts: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(parts)) + " || '}'"
     shown = listed("outputs", "'{\"name\":' || to_json(x.n)::varchar || ',\"path\":' || to_json(x.p)::varchar || ',\"default\":' || x.d::varchar || '}'")
     facts = {"summary": "description", "description": "longDescription", "meta_name": "name", "meta_version": "version", "program": "mainProgram"}
-    return ENTRIES + f"""tables AS (SELECT {_TABLE} AS nfd_of),
+    return ENTRIES + f"""tables AS (SELECT {TABLE} AS nfd_of),
 found AS (
   SELECT package, list(spdx ORDER BY place) FILTER (child = 'license' AND spdx <> '') AS ids, list(said ORDER BY place) FILTER (child = 'license' AND said <> '') AS licenses,
     list(said ORDER BY place) FILTER (child = 'homepage' AND said <> '') AS homepages, list(said ORDER BY place) FILTER (child = 'outputsToInstall' AND said IS NOT NULL) AS installed,

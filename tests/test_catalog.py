@@ -263,6 +263,32 @@ def test_whole_backfill(c, rows):
     assert rows(merge._without_stale(again, merge.staged_ranges(again), whole).where("variant_id = 2").select("first_seq", "last_seq", "backfill_last_seq")) == [(2, None, None)]
 
 
+def test_import_of_an_archive(c, rows, tmp_path, capsys):
+    import gzip
+    import json
+
+    from catalith.cli import main
+    from catalith.operators.importing import current
+
+    made = lambda out, **meta: {"pname": "x", "version": "1.30.0", "system": "other", "outputs": {"out": out}, "outputName": "out", "meta": {"description": "d", **meta}}
+    packages = {"go_1_30": made("/nix/store/" + "b" * 32 + "-go"), "new": {**made("/nix/store/" + "c" * 32 + "-new"), "version": ""}, "dot": {**made("/nix/store/" + "d" * 32 + "-dot", hid="v2"), "version": ""}, "listed": {"outputs": []}}
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        json.dump({"version": 2, "packages": packages}, f)
+    asked = ["import", c.base, str(tmp_path / "a.json.gz"), "--commit", "F" * 40, "--date", "2026-02-01T00:00:00", "--system", LINUX, "--hidden-field", "hid", "--to", str(tmp_path)]
+    main(asked)
+    new = current(c.spark, str(tmp_path))
+    got = {r.attr_path: r for r in new.variants().where("commit_seq = 6").collect()}
+    assert set(got) == {"go_1_30", "dot"} and got["go_1_30"].system == LINUX and got["go_1_30"].meta_id == got["dot"].meta_id == 2 and len(got["dot"].content_hash) == 64
+    assert rows(new.packages("package_id", "name").where("package_id > 5")) == [(6, "dot")] and new.commits().where(F.col("hash") == "f" * 40).count() == 1
+    assert {r.version for r in lookup.versions_by_name(new, "go").collect()} == {"1.30.0", "1.22.0", "1.21.0"}
+    with pytest.raises(SystemExit, match="need"):
+        main(asked[:3])
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        json.dump({"stub": made("")}, f)
+    with pytest.raises(SystemExit, match="no store path"):
+        main(asked)
+
+
 def test_two_runs_cannot_publish_one_catalog(c, tmp_path):
     from catalith.operators.importing import _pointers, current, publish
 
@@ -308,7 +334,7 @@ def test_seed(spark, rows):
     assert rows(t["packages"]) == [(1, "Go")] and rows(t["versions"].select("version", "prerelease", "semver_major", "semver_pre")) == [("1.0", False, None, None), ("1.1-rc1", True, None, None)]
     assert rows(t["variants"].select("attr_path", "system", "commit_seq", "content_hash")) == sorted([("go", LINUX, 2, "h2"), ("go_1", LINUX, None, "h"), ("go", MAC, None, None)], key=str)
     assert t["variant_ranges"].count() == 1 and t["search_terms"].count() == 2
-    assert {(r.label, r.got == r.want) for r in seed_report(records, t).collect()} == {(k, True) for k in ("packages", "versions", "variants", "variant_ranges")}
+    assert {(r.label, r.got == r.want) for r in seed_report(records, t).collect()} == {(k, True) for k in ("packages", "versions", "variants", "variant_ranges", "search_terms")}
     empty = seeded(records.limit(0), commits)
     assert [empty[k].count() for k in ("packages", "versions", "variants", "variant_ranges")] == [0, 0, 0, 0]
 

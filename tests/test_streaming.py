@@ -32,23 +32,25 @@ def test_stream(spark, rows, tmp_path):
     assert spark.read.parquet(f"{folder}/rows").count() == 6
 
 
+HIDDEN = "_hiddenVersion"
 PACKAGES = {"p": {"pname": "dot-v0.3", "outputs": {"out": "/nix/store/" + "a" * 32 + "-x", "bin": None}, "outputName": "out", "meta": {"_hiddenVersion": "v0.3", "platforms": [["b", ["a"]], {"x": 1}], "license": [{"fullName": "x"}, "mit"], "outputsToInstall": ["man", "out"]}}, "stub": {"outputs": []}}
 
 
 def test_decoding(spark):
-    p = clean_package("p", PACKAGES["p"])
+    p = clean_package("p", PACKAGES["p"], HIDDEN)
     assert (p["name"], p["version"], p["system"], p["store_hash"], p["license"], p["platforms"]) == ("dot", "v0.3", "x86_64-linux", "a" * 32, "mit", ["a", "b"])
     assert [(o["name"], o["default"]) for o in p["outputs"]] == [("out", True), ("man", True), ("bin", False)]
     same = json.loads(json.dumps(PACKAGES["p"]))
     same["meta"]["platforms"] = ["a", "b"]
-    assert clean_package("other", same)["content_hash"] == p["content_hash"] != clean_package("p", {**same, "version": "2"})["content_hash"]
+    assert clean_package("other", same, HIDDEN)["content_hash"] == p["content_hash"] != clean_package("p", {**same, "version": "2"}, HIDDEN)["content_hash"]
     df = spark.createDataFrame([(1, "eval", json.dumps(PACKAGES)), (2, "latest", "{}"), (3, "eval", None)], "raw_id long, shape string, payload string")
-    got = decode_packages(df).collect()
+    got = decode_packages(df, HIDDEN).collect()
+    assert clean_package("p", PACKAGES["p"], None)["version"] == ""
     assert [(r.raw_id, r.attr_path, r.content_hash) for r in got] == [(1, "p", p["content_hash"])]
 
 
 def test_records_of_both_shapes_have_one_address(spark):
-    p = clean_package("p", PACKAGES["p"])
+    p = clean_package("p", PACKAGES["p"], HIDDEN)
     same = {k: p[k] for k in ("attr_path", "system", "store_hash", "store_name", "meta_name", "program", "summary", "description", "homepage", "license", "broken", "insecure", "platforms")}
     same |= {"store_version": p["version"], "meta_version": [p["meta_version"]], "outputs": [{**o, "nar": "cached"} for o in p["outputs"]], "commit_hash": "c"}
     got = latest_package(same)
