@@ -164,7 +164,7 @@ def quoted(text: Column) -> Column:
 
 
 def describe_query(phrase: Column, name: Column, version: Column, system: Column) -> Column:
-    """What was asked for, in words of the query; empty and null fields are left out."""
+    """What was asked for, in words of the query; empty and null fields are left out. The wording is a fixed value, as responses must read alike."""
     doubled = F.replace(phrase, F.lit('"'), F.lit('""'))
     full_text = F.concat(F.lit('^"'), doubled, F.lit('" OR ^"'), doubled, F.lit('"* OR "'), doubled, F.lit('" OR "'), doubled, F.lit('"*'))
     said = [F.when(phrase != "", F.concat(F.lit("phrase = "), quoted(phrase), F.lit(" = "), quoted(full_text)))]

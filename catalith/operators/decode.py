@@ -55,7 +55,7 @@ def _first_text(values: list) -> str:
 
 
 def _outputs(package: dict, meta: dict) -> list[dict]:
-    """The default output, those that are installed, then the rest by name."""
+    """The default output, those that are installed, then the rest by name: a fixed order, as it is part of the content address."""
     left = {k: v if isinstance(v, str) else "" for k, v in package["outputs"].items()}
     main = package.get("outputName") if isinstance(package.get("outputName"), str) else ""
     first = [main] if main else []
@@ -133,21 +133,23 @@ def _texts(record: dict) -> dict:
     return {k: _utf8([v])[0] if isinstance(v, str) else _utf8(v) if k in ("platforms", "meta_version") and isinstance(v, list) else v for k, v in record.items()}
 
 
-def _decoded(records: DataFrame, wanted: str, schema: pa.Schema, package) -> DataFrame:
-    """``(raw_id, *schema)`` of ``package(path, object)`` for each package of the records of one shape."""
-    whole = pa.schema([("raw_id", pa.int64()), *schema])
+def _decoded(records: DataFrame, wanted: str, schema: pa.Schema, package, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(raw_id, *carry, *schema)`` of ``package(path, object)`` for each package of the records of one shape; ``carry`` are text columns of theirs."""
+    carried = [f"_{k}" for k in carry]  # their names may be those of decoded columns
+    whole = pa.schema([("raw_id", pa.int64()), *((k, pa.string()) for k in carried), *schema])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw_id, shape, payload in zip(*(batch.column(c).to_pylist() for c in ("raw_id", "shape", "payload"))):
+            for raw_id, shape, payload, *more in zip(*(batch.column(c).to_pylist() for c in range(3 + len(carry)))):
                 if shape == wanted:
-                    rows += [_texts({"raw_id": raw_id} | package(path, found)) for path, found, _ in _entries(shape, parse(payload))]
+                    own = {"raw_id": raw_id} | dict(zip(carried, more))
+                    rows += [own | _texts(package(path, found)) for path, found, _ in _entries(shape, parse(payload))]
             yield pa.RecordBatch.from_pylist(rows, whole)
 
     kinds = {pa.string(): "string", pa.bool_(): "boolean", DECODED.field("platforms").type: "array<string>", DECODED.field("outputs").type: "array<struct<name:string,path:string,default:boolean>>"}
-    ddl = "raw_id long, " + ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
-    return records.select(F.col("raw_id").cast("long").alias("raw_id"), "shape", "payload").mapInArrow(decoded, ddl)
+    ddl = "raw_id long, " + ", ".join([*(f"{k} string" for k in carried), *(f"{f.name} {kinds[f.type]}" for f in schema)])
+    return records.select(F.col("raw_id").cast("long").alias("raw_id"), "shape", "payload", *(F.col(k).cast("string").alias(a) for k, a in zip(carry, carried))).mapInArrow(decoded, ddl)
 
 
 def decode_packages(records: DataFrame, hidden_field: str | None) -> DataFrame:
@@ -165,9 +167,12 @@ def archive_packages(entries: DataFrame, hidden_field: str | None) -> DataFrame:
     return decode_packages(entries.select(F.lit(None).cast("long").alias("raw_id"), F.lit("eval").alias("shape"), one.alias("payload")), hidden_field).drop("raw_id")
 
 
-def decode_latest(records: DataFrame) -> DataFrame:
-    """``(raw_id, *LATEST)``: one row for each of the ``latest`` records ``(raw_id, shape, payload)``; broken payloads give nothing, repeated records repeated rows."""
-    return _decoded(records, "latest", LATEST, lambda _, record: latest_package(record))
+def decode_latest(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(raw_id, *carry, *LATEST)``: one row for each of the ``latest`` records ``(raw_id, shape, payload)``; broken payloads give nothing, repeated records repeated rows.
+
+    ``carry`` are text columns of the records, which come out with a ``_`` before their names.
+    """
+    return _decoded(records, "latest", LATEST, lambda _, record: latest_package(record), carry)
 
 
 # ---------------------------------------------------------------- archives

@@ -21,7 +21,7 @@ def variants_of(c: Catalog, term: str) -> DataFrame:
     Two walks and a union, so that either side keeps its own pushed filter; copies of a record are made one among the hits alone.
     """
     v = c.raw("variants").withColumnRenamed("id", "variant_id")
-    named = c.packages_named(literal_rows(c.spark, [(name_key_of(term),)], "name_key string")).select("package_id")
+    named = c.packages_named(given(literal_rows(c.spark, [(name_key_of(term),)], "name_key string"), 1)).select("package_id")
     owned = c.raw("versions").select(F.col("id").alias("version_id"), "package_id").join(named, "package_id", "left_semi").select("version_id")
     by_name = v.select("variant_id", "version_id").join(owned, "version_id", "left_semi").select("variant_id", "version_id")
     by_path = v.where(F.col("attr_path") == term).select("variant_id", "version_id")

@@ -115,25 +115,23 @@ def legacy_documents(rows: DataFrame) -> DataFrame:
     The first row by system and path gives the version's facts, the first of a system those of the system; fields that are null, "", false, 0 or empty are left out,
     the name never.
     """
-    info = ["commit_hash", "version", "summary", "description", "homepage", "license"]
-    listed = F.filter("platforms", supported)
-    kept = lambda x, empty: F.when(x != F.lit(empty), x)
+    text = lambda k: F.when(F.col(k) != "", F.col(k)).alias(k)
     several = lambda x: F.when(F.size(x) > 0, x)
-    updated = kept(unix_seconds(F.col("last_updated")), 0)
-    shared = [kept(F.col("commit_hash"), "").alias("commit_hash"), updated.alias("last_updated"), kept(F.col("version"), "").alias("version"), several(listed).alias("platforms")]
-    shared += [kept(F.col(k), "").alias(k) for k in info[2:]]
-    own = [kept(F.col(k), "").alias(k) for k in ("system", "store_hash", "store_name", "store_version", "meta_name")] + [several(F.col("meta_version")).alias("meta_version")]
+    updated = unix_seconds(F.col("last_updated"))
+    shared = [text("commit_hash"), F.when(updated != 0, updated).alias("last_updated"), text("version"), several(F.filter("platforms", supported)).alias("platforms")]
+    shared += map(text, ("summary", "description", "homepage", "license"))
+    own = [*map(text, ("system", "store_hash", "store_name", "store_version", "meta_name")), several(F.col("meta_version")).alias("meta_version")]
     flags = [F.when(F.col(k), True).alias(k) for k in ("broken", "insecure")]
-    one = F.struct("attr_path", "program", F.struct(*shared).alias("shared"), F.struct(*own).alias("own"), F.struct(*flags).alias("flags"))
-    by = rows.groupBy("package_id", "version_id", "name", "system").agg(F.array_sort(F.collect_list(F.struct("attr_path", "variant_id", one.alias("r")))).alias("a"))
-    first = F.col("a")[0]["r"]
-    paths = F.transform("a", lambda x: x["r"]["attr_path"])
-    programs = several(F.filter(F.transform("a", lambda x: x["r"]["program"]), lambda x: x != ""))
-    entry = F.struct(first["shared"].alias("shared"), F.to_json(F.struct(*(first["shared"][k].alias(k) for k in ("commit_hash", "last_updated", "version", "platforms", *info[2:])), *(first["own"][k].alias(k) for k in ("system", "store_hash", "store_name", "store_version", "meta_name", "meta_version")), paths.alias("attr_paths"), programs.alias("programs"), *(first["flags"][k].alias(k) for k in ("broken", "insecure")))).alias("text"))
-    whole = by.groupBy("package_id", "version_id", "name").agg(F.array_sort(F.collect_list(F.struct("system", entry.alias("e")))).alias("s"))  # a row a system
-    head = F.to_json(F.struct(*(F.col("s")[0]["e"]["shared"][k].alias(k) for k in ("commit_hash", "last_updated", "version", "platforms", *info[2:])), "name"))
-    systems = F.array_join(F.transform("s", lambda x: F.concat(quoted(x["system"]), F.lit(":"), x["e"]["text"])), ",")
-    return whole.withColumns({"_h": head, "_s": systems}).select("package_id", "version_id", F.concat(F.expr("left(_h, length(_h) - 1)"), F.lit(',"systems":{'), "_s", F.lit("}}")).alias("document"))
+    one = F.struct("attr_path", "variant_id", "program", F.struct(*shared).alias("shared"), F.struct(*own).alias("own"), F.struct(*flags).alias("flags"))
+    by = rows.groupBy("package_id", "version_id", "name", "system").agg(F.array_sort(F.collect_list(one)).alias("a"))
+    programs = several(F.filter(F.col("a.program"), lambda x: x != ""))
+    by = by.select("package_id", "version_id", "name", "system", F.col("a")[0].alias("first"), F.col("a.attr_path").alias("attr_paths"), programs.alias("programs"))
+    entry = F.to_json(F.struct("first.shared.*", "first.own.*", "attr_paths", "programs", "first.flags.*"))
+    listed = F.array_sort(F.collect_list(F.struct("system", F.col("first.shared").alias("shared"), entry.alias("entry"))))
+    whole = by.groupBy("package_id", "version_id", "name").agg(listed.alias("s"))  # a row a system
+    whole = whole.withColumn("shared", F.col("s")[0]["shared"]).withColumn("_head", F.to_json(F.struct("shared.*", "name")))
+    systems = F.array_join(F.transform("s", lambda x: F.concat(quoted(x["system"]), F.lit(":"), x["entry"])), ",")
+    return whole.select("package_id", "version_id", F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"systems":{'), systems, F.lit("}}")).alias("document"))
 
 
 def status_document(c: Catalog, names: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalith.functions import version as V
 from catalith.functions.names import blank_trimmed, with_name_key
 from catalith.functions.paths import top_level
+from catalith.operators.decode import decode_latest
 from catalith.operators.lookup import first_per_key
 from catalith.operators.merge import numbered_commits
 from catalith.operators.status import numbered
@@ -27,6 +28,18 @@ def seed_records(rows: DataFrame) -> DataFrame:
     return with_name_key(parts.where(F.col("version") != "").distinct(), "name", "name_key")
 
 
+def records_of_packages(rows: DataFrame) -> DataFrame:
+    """The same of a database's rows ``(name, version, system, attr_path, latest_json)``, whose JSON is a ``latest`` record.
+
+    The row's own name, version, system and path count; contents get the addresses that an evaluation of them would have. Rows without a name, a version or
+    complete JSON are left out.
+    """
+    keys = ("name", "version", "system", "attr_path")
+    known = rows.where((F.col("name") != "") & (F.col("version") != "")).select(*keys, F.lit(None).cast("long").alias("raw_id"), F.lit("latest").alias("shape"), F.col("latest_json").alias("payload"))
+    made = decode_latest(known, keys).select(*(F.col(f"_{k}").alias(k) for k in keys), "meta_hash", F.lower("commit_hash").alias("commit_hash"), "content_hash", "store_hash", "store_name")
+    return with_name_key(made.distinct(), "name", "name_key")
+
+
 def seeded(records: DataFrame, commits: DataFrame) -> dict[str, DataFrame]:
     """The tables of a catalog that holds just ``records`` (of ``seed_records``), at ``commits (hash, committed_at)``.
 

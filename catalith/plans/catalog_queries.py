@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import version as V
 from catalith.functions.display import ago, byte_size, copy_line, day_tag, describe_query, escape_html, escape_like, etag, highlight, integer, omit_empty, package_path, query_path, rfc3339, short_system, time_tag, unix_seconds, url_segment
+from catalith.functions.names import PHRASE_ALIASES
 from catalith.functions.names import nfd as nfd_of
 from catalith.functions.paths import arch_os, archive_key, canonical_name, listed_prefixes, parse_archive_name, split_reference, split_store_path, supported, top_level, xml_tag
 from catalith.functions.trigram import similarity
@@ -288,7 +289,18 @@ def phrase_ranking_alias(c: Catalog) -> DataFrame:
     return phrase.rank_phrase(c, "oldbird", aliases={"oldbird": ["vessimur"]}).withColumn("rank", F.round("rank", 6))
 
 
-@query()
+_KNOWN = "MAP {" + ", ".join(f"'{k}': [{', '.join(repr(a) for a in v)}]" for k, v in PHRASE_ALIASES.items()) + "}"
+
+
+@query(f""", asked AS (SELECT DISTINCT name AS phrase, lower(name) AS low, {_TRIGRAMS.format('name')} AS b, CASE WHEN regexp_matches(name, '[\\p{{L}}\\p{{N}}]') THEN coalesce({_KNOWN}[lower(name)], []) ELSE [] END AS known
+  FROM pk WHERE package_id % 20 = 0),
+g AS (SELECT *, {_TRIGRAMS.format('name')} AS a, {_TRIGRAMS.format('attr_path')} AS p FROM te),
+s AS (SELECT *, {_similar('a', 'b')} AS sa, {_similar('p', 'b')} AS sp, list_contains(known, lower(name)) OR list_contains(known, lower(attr_path)) AS alias FROM g, asked),
+r AS (SELECT phrase, package_id, name, CASE WHEN alias THEN 2000 WHEN lower(name) = low THEN 1000 WHEN lower(attr_path) = low THEN 900 WHEN starts_with(lower(name), low) THEN 800 WHEN starts_with(lower(attr_path), low) THEN 700 ELSE 0 END
+    + 100 * greatest(sa, sp) + CASE WHEN top IS NULL THEN 0 ELSE 25 END AS rank
+  FROM s WHERE alias OR starts_with(lower(name), low) OR starts_with(lower(attr_path), low) OR sa >= 0.3 OR sp >= 0.3),
+best AS (SELECT phrase, package_id, name, max(rank) AS rank FROM r GROUP BY ALL)
+SELECT phrase, row_number() OVER (PARTITION BY phrase ORDER BY rank DESC, name, package_id)::int AS ord, package_id, name, round(rank, 6) AS rank FROM best QUALIFY ord <= 50""")
 def phrase_rankings(c: Catalog) -> DataFrame:
     """The ranking of many phrases at once: the name of each package whose id is divisible by 20."""
     asked = c.packages("package_id", "name").where(F.col("package_id") % 20 == 0)

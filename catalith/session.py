@@ -25,7 +25,7 @@ def materialised(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         if not shared:
-            if not sc.master.startswith("local["):
+            if sc.master.split("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir is unset on a cluster")
             shared = tempfile.mkdtemp(prefix="catalith-checkpoint-")
         sc.setCheckpointDir(shared)

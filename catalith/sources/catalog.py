@@ -53,7 +53,7 @@ class Catalog:
         return rows.select(*cols) if cols else rows
 
     def packages_named(self, keys: DataFrame) -> DataFrame:
-        """``(package_id, *keys)`` of the packages whose key is in ``keys (name_key, ...)``, a table small enough to be broadcast.
+        """``(package_id, *keys)`` of the packages whose key is in ``keys (name_key, ...)``.
 
         A stored key is filtered by the scan. Else names within ASCII are compared in lower case by the JVM; only the others see Python.
         """
@@ -61,7 +61,7 @@ class Catalog:
         if "name_key" not in rows.columns:
             plain = F.col("name").rlike(r"^[\x00-\x7f]*$")
             rows = rows.where(plain).select("package_id", F.lower("name").alias("name_key")).unionByName(rows.where(~plain).select("package_id", name_key(F.col("name")).alias("name_key")))
-        return rows.join(F.broadcast(keys), "name_key").distinct()
+        return rows.join(keys, "name_key").distinct()
 
     def versions(self, *cols: str, among: DataFrame | None = None) -> DataFrame:
         return self._records("versions", "id", "version_id", cols, among)

@@ -27,3 +27,14 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     if key not in _schemas:
         _schemas[key] = spark.read.parquet(path).schema
     return spark.read.schema(_schemas[key]).parquet(path)
+
+
+def database_table(spark: SparkSession, url: str, name: str, *, key: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database over JDBC, whose driver must be on the class path; filters and columns are pushed to it.
+
+    With an integer ``key`` column and its bounds the rows are read in ``parts`` ranges at once; rows beyond the bounds come with the first and the last.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, fetchsize="10000", **options)
+    if key:
+        reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    return reader.load()

@@ -339,6 +339,29 @@ def test_seed(spark, rows):
     assert [empty[k].count() for k in ("packages", "versions", "variants", "variant_ranges")] == [0, 0, 0, 0]
 
 
+def test_seed_of_a_database(spark, rows, tmp_path):
+    import json
+
+    from catalith.operators.decode import latest_package
+    from catalith.operators.seeding import records_of_packages, seeded
+    from catalith.sources.tables import database_table
+
+    one = {"commit_hash": "AA", "store_hash": "s" * 32, "store_name": "go", "store_version": "1.0", "platforms": ["b", "a"], "outputs": [{"name": "out", "nar": "x"}]}
+    data = [(1, "Go", "1.0", LINUX, "go", json.dumps(one)), (2, "Go", "1.1", MAC, "go", json.dumps({})), (3, "Go", "1.2", MAC, "go", "{"), (4, "", "1.2", MAC, "go", "{}"), (5, "Go", "", MAC, "go", "{}")]
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:seed;create=true"
+    spark.createDataFrame(data, "id int, name string, version string, system string, attr_path string, latest_json string").write.format("jdbc").options(
+        url=url, dbtable="pkg", createTableColumnTypes="name varchar(99), version varchar(99), system varchar(99), attr_path varchar(99), latest_json varchar(2000)"
+    ).save()
+    read = database_table(spark, url, "pkg", key="id", low=2, high=4, parts=3)
+    assert read.rdd.getNumPartitions() == 2 and read.count() == 5
+    records = records_of_packages(read.union(read).toDF(*(k.lower() for k in read.columns)))
+    got = {r.version: r for r in records.collect()}
+    assert set(got) == {"1.0", "1.1"} and got["1.0"].content_hash == latest_package(one)["content_hash"] and got["1.0"].name_key == "go" and got["1.0"].commit_hash == "aa"
+    t = seeded(records, spark.createDataFrame([("aa", DAY)], "hash string, committed_at timestamp_ntz"))
+    assert rows(t["variants"].select("system", "commit_seq")) == [(MAC, None), (LINUX, 1)] and t["variant_ranges"].count() == 1
+
+
 def test_documents_of_status_and_older_responses(c, rows):
     import json
 
