@@ -254,7 +254,8 @@ def test_whole_backfill(c, rows):
     assert rows(after["search_terms"].where("package_id = 6").select("attr_path")) == [("old",)]
     again = Catalog(c.spark, c.base)
     again._raw = {**c._raw, **after}
-    assert {tuple(r)[3:] for r in changes(again, backfilled(again, ranges, dated, metas, windows)).collect()} == {(0, 0)}
+    repeated = backfilled(again, ranges, dated, metas, windows)
+    assert {tuple(r)[3:] for r in changes(again, {k: repeated[k] for k in ("packages", "variants", "variant_ranges")}).collect()} == {(0, 0)}
     with pytest.raises(ValueError, match="refused"):
         backfilled(c, c.raw("stage_backfill_ranges"), dated)
     # Only part of what an earlier backfill had joined to a live range is staged now: the range begins at the import after it again.
