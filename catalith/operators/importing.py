@@ -192,7 +192,7 @@ def backfilled(c: Catalog, ranges: DataFrame, dated: DataFrame, metas: DataFrame
     variants = materialised(written_over(c.variants("variant_id", *VARIANT, *CONTENT), _identified(dated, packages, versions, meta).withColumn("content_hash", F.lower("content_hash")), late=True))
     after = Catalog(c.spark, c.base)
     after._raw = c._raw | {"packages": packages.withColumnRenamed("package_id", "id"), "versions": versions.withColumnRenamed("version_id", "id"), "variants": variants.withColumnRenamed("variant_id", "id"), "stage_backfill_ranges": ranges}
-    staged = materialised(staged_ranges(after))
+    staged = staged_ranges(after)
     if met := overlapping_ranges(after, staged, windows, taken_back=True).limit(5).collect():
         raise ValueError(f"refused, as live ranges are met: {[tuple(r) for r in met]}")
     return _stored(packages, versions, meta, variants, backfilled_ranges(after, staged, windows), _terms(c, dated, packages), c.imports(), c.commits())

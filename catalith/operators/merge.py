@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalith.operators.history import KEY, next_point
 from catalith.operators.intervals import OPEN_END
 from catalith.operators.lookup import first_per_key
+from catalith.session import materialised
 from catalith.sources.catalog import Catalog, small
 
 #: Share of changed variants from which an import is worth a warning.
@@ -126,7 +127,7 @@ def staged_ranges(c: Catalog) -> DataFrame:
     rows = c.raw("stage_backfill_ranges").distinct().join(c.packages("package_id", "name_key"), "name_key")
     rows = rows.join(c.versions("version_id", "package_id", "version"), ["package_id", "version"])
     rows = rows.join(c.variants("variant_id", "version_id", "system", "attr_path"), ["version_id", "system", "attr_path"])
-    return rows.select("variant_id", "system", "first_seq", "last_seq", "next_seq").distinct()
+    return materialised(rows.select("variant_id", "system", "first_seq", "last_seq", "next_seq").distinct())  # needed more than once
 
 
 def covered_points(c: Catalog, staged: DataFrame) -> DataFrame:
@@ -170,7 +171,10 @@ def stale_parts(c: Catalog, staged: DataFrame, windows: DataFrame | None = None)
 def _without_stale(c: Catalog, staged: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """The table of ranges with stale parts taken back: whole ones go, extended ones start where the forward import had started them."""
     ranges = c.ranges()
-    marked = ranges.join(stale_parts(c, staged, windows).distinct(), ["variant_id", "first_seq"], "left")
+    stale = materialised(stale_parts(c, staged, windows).distinct())
+    if stale.isEmpty():
+        return ranges
+    marked = ranges.join(stale, ["variant_id", "first_seq"], "left")
     reaches = F.col("last_seq").isNull() | (F.col("last_seq") > F.col("backfill_last_seq"))
     extended = marked.where(~F.col("whole") & reaches).join(c.variants("variant_id", "system"), "variant_id")
     back = next_point(extended, "system", "backfill_last_seq", c.imports("system", "commit_seq"), "commit_seq", "_start").withColumns({"first_seq": F.col("_start"), "backfill_last_seq": F.lit(None).cast("int")})
