@@ -116,9 +116,13 @@ def byte_size(n: Column) -> Column:
 
 
 def ago(moment: Column, now: Column) -> Column:
-    """How long ago in one coarse unit, each rounded from the one before."""
+    """How long ago, as ``elapsed`` says it."""
+    return elapsed(F.unix_timestamp(now) - F.unix_timestamp(moment))
+
+
+def elapsed(n: Column) -> Column:
+    """So many seconds ago in one coarse unit, each rounded from the one before."""
     steps = (("minute", 60, 60), ("hour", 60, 24), ("day", 24, 60), ("month", 30.4, 24), ("year", 365.25, None))
-    n = F.unix_timestamp(now) - F.unix_timestamp(moment)
     out = F.when(n < 0, "in the future").when(n < 60, "just now")
     days = None
     for unit, size, below in steps:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions import version as V
-from catalith.functions.display import ago, byte_size, copy_line, day_tag, describe_query, escape_html, escape_like, etag, highlight, integer, omit_empty, package_path, query_path, rfc3339, short_system, time_tag, unix_seconds, url_segment
+from catalith.functions.display import byte_size, copy_line, day_tag, describe_query, elapsed, escape_html, escape_like, etag, highlight, integer, omit_empty, package_path, query_path, rfc3339, short_system, time_tag, unix_seconds, url_segment
 from catalith.functions.names import PHRASE_ALIASES
 from catalith.functions.names import nfd as nfd_of
 from catalith.functions.paths import arch_os, archive_key, canonical_name, listed_prefixes, parse_archive_name, split_reference, split_store_path, supported, top_level, xml_tag
@@ -908,15 +908,16 @@ SELECT meta_id, CASE WHEN hit > 0 THEN """ + " || ".join([_HTML.format("left(sum
 FROM (SELECT * EXCLUDE (hash), hash AS meta_hash, replace(license, '"', '""') AS q, summary || '@' || license AS ref FROM longer)""")
 def response_texts(c: Catalog) -> DataFrame:
     """The remaining text functions over the metadata: highlights, tags, sizes, ages, queries, references, file names."""
-    now = F.lit(datetime.datetime(2026, 1, 1))
+    number = F.col("meta_id").cast("bigint")  # its products exceed an int, and the moments made of it a timestamp
+    now = F.lit(int(datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC).timestamp()))
     ref = split_reference(F.concat("summary", F.lit("@"), "license"))
     name = parse_archive_name(F.concat(F.lit("out/eval-x86_64-linux-"), F.substring("meta_hash", 1, 40), F.lit(".json.gz")))
     rows = c.meta("meta_id", "meta_hash", "summary", "license", "homepage", "platforms")
     kinds = [(k, t) for k, t in rows.dtypes if k in ("summary", "license", "homepage", "platforms")]
     return rows.select(
         *["meta_id", highlight(F.col("summary"), "pa").alias("highlight"), etag(F.col("summary")).alias("etag")],
-        *[omit_empty(kinds).alias("document"), byte_size(F.col("meta_id") * 977).alias("size"), integer(F.col("meta_id") * 977).alias("shown")],
-        ago(F.timestamp_seconds(F.lit(1700000000) + F.col("meta_id") * 40000), now).alias("age"),
+        *[omit_empty(kinds).alias("document"), byte_size(number * 977).alias("size"), integer(number * 977).alias("shown")],
+        elapsed(now - (F.lit(1700000000) + number * 40000)).alias("age"),
         describe_query(F.col("license"), F.col("summary"), F.lit(""), F.lit(None).cast("string")).alias("asked"),
         *[ref["name"].alias("ref_name"), ref["version"].alias("ref_version"), name["system"].alias("file_system"), name["commit"].alias("file_commit")],
     )

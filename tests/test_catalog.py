@@ -421,6 +421,19 @@ def test_pending_commits_of_a_whole_listing(spark, tmp_path):
     assert got == [n * 10 for n in range(30, 40)]
 
 
+def test_response_texts_of_large_ids(spark, rows, tmp_path):
+    """Sizes and ages of ids whose products no int holds, up to the largest."""
+    from catalith.plans.catalog_queries import QUERIES
+
+    want = [
+        (1, "977 B", "977", "2 years ago"), (1680, "1.6 MiB", "1,641,360", "7 hours ago"), (1681, "1.6 MiB", "1,642,337", "in the future"), (11188, "10.4 MiB", "10,930,676", "in the future"),
+        (53688, "50.0 MiB", "52,453,176", "in the future"), (2198039, "2.0 GiB", "2,147,484,103", "in the future"), (2**31 - 1, "1.9 TiB", "2,098,091,523,119", "in the future"),
+    ]
+    spark.createDataFrame([(i, f"m{i}", "s", "", "", "", []) for i, *_ in want] * 2, SCHEMAS["meta"]).coalesce(1).write.parquet(f"{tmp_path}/meta.parquet")
+    got = QUERIES["response_texts"](spark, str(tmp_path)).select("meta_id", "size", "shown", "age")
+    assert rows(got) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("partitions,adaptive", [(16, True), (16, False), (3, True)])
 def test_numbers_of_many_wide_rows(spark, partitions, adaptive):
     """Every row has its number, whatever adaptive execution does to the pieces."""
